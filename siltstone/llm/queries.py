@@ -7,13 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing, simhash, toxicity
+from siltstone.llm import mixing, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "virtual_finish")
+
+
+#: The same queue in SQL; the fixed point of the targets is found by a recursive query.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::DOUBLE AS source_size, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source
+), r AS (
+  SELECT 0 AS n, source, source_size, w, false AS stopped, (SELECT sum(source_size) FROM s) / (SELECT sum(w) FROM s) AS level FROM s
+  UNION ALL
+  SELECT n + 1, source, source_size, w, stopped2,
+    (sum(source_size) OVER () - sum(CASE WHEN stopped2 THEN 3 * source_size ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN stopped2 THEN 0 ELSE w END) OVER (), 0)
+  FROM (SELECT *, stopped OR w * level > 3 * source_size AS stopped2, bool_or(NOT stopped AND w * level > 3 * source_size) OVER () AS more FROM r) WHERE more
+), t AS (
+  SELECT source, source_size::BIGINT AS source_size, CASE WHEN stopped THEN 3 * source_size ELSE w * level END AS target FROM r WHERE n = (SELECT max(n) FROM r)
+), q AS (
+  SELECT d.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS st FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), p AS (
+  SELECT *, greatest(0, least(size, round(target)::BIGINT - st)) AS p0, greatest(0, least(size, round(target)::BIGINT - st - source_size)) AS p1, greatest(0, least(size, round(target)::BIGINT - st - 2 * source_size)) AS p2 FROM q
+)
+SELECT doc_id, size, source_size, target, (p0 + p1 + p2)::BIGINT AS taken,
+  (CASE WHEN size > 0 AND 2 * p0 >= size THEN 1 ELSE 0 END + CASE WHEN size > 0 AND 2 * p1 >= size THEN 1 ELSE 0 END + CASE WHEN size > 0 AND 2 * p2 >= size THEN 1 ELSE 0 END)::INTEGER AS copies,
+  CASE WHEN target > 0 THEN (st + size) / target END AS virtual_finish
+FROM p
+"""
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,8 +63,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_pack_sequences, op5_toxicity, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op4_pack_sequences, op5_toxicity, op7_mix_sources, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mix_sources": OP7_SQL}
