@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, mixing, packing, simhash, toxicity
+from siltstone.llm import embeddings, mixing, packing, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,29 @@ FROM p
 """
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Windows as text, first holder by a plain minimum.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS p, w FROM d WHERE len(w) >= 13
+), g AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS t FROM x
+), f AS (
+  SELECT doc_id, p, min(doc_id) OVER (PARTITION BY t) AS first FROM g
+), r AS (
+  SELECT doc_id, list(DISTINCT q) AS gone FROM (SELECT doc_id, unnest(generate_series(p, p + 12)) AS q FROM f WHERE first < doc_id) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(list_transform(w, lambda y, i: CASE WHEN list_contains(coalesce(gone, []), i) THEN NULL ELSE y END), lambda y: y IS NOT NULL), lambda y: y), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -85,8 +108,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_near_dedup, op4_pack_sequences, op5_toxicity, op7_mix_sources, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_embedding_near_dedup, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op7_mix_sources": OP7_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_substring_dedup": OP8_SQL}
