@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, mixing, packing, simhash, substrings, toxicity
+from siltstone.llm import embeddings, html, mixing, packing, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -108,7 +112,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_near_dedup, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
