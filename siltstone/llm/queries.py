@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, html, mixing, packing, simhash, substrings, toxicity
+from siltstone.llm import embeddings, html, mixing, packing, simhash, spotsigs, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,10 @@ FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+def op3_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,7 +116,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
