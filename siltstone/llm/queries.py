@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, html, mixing, packing, simhash, spotsigs, substrings, toxicity
+from siltstone.llm import embeddings, html, lines, mixing, packing, simhash, spotsigs, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,12 @@ FROM d LEFT JOIN r USING (doc_id)
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), kept)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -116,7 +122,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
