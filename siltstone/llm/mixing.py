@@ -46,9 +46,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
 
 
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: str = "mix"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, max_repeats: int = 3, seed: str = "mix", ordered: bool = True
 ) -> DataFrame:
-    """One row per input row, in order of virtual time over all sources:
+    """One row per input row, in order of virtual time over all sources (if ``ordered``):
     ``doc_id, source, size, source_size, target, taken, copies, virtual_start, virtual_finish``.
 
     size counts the words of the text (null: 0). taken is the words that the mix takes, repeats
@@ -91,7 +91,7 @@ def mix(
         served.alias("virtual_start"),
         F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).alias("virtual_finish"),
     )
-    return out.repartitionByRange(partitions(spark), "virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
+    return out if not ordered else out.repartitionByRange(partitions(spark), "virtual_finish", "doc_id").sortWithinPartitions("virtual_finish", "doc_id")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -100,6 +100,6 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Documents without words take no part in the weights and stay once. All columns are returned.
     Rows that repeat an id must be equal rows; each is taken as often as the first of them.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("_copies"))
+    plan = mix(docs, id_col, text_col, source_col, ordered=False, **options).groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("_copies"))
     plan = plan.select(F.col("doc_id").alias("_id"), F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))).alias("_copy"))
     return docs.join(plan, docs[id_col].eqNullSafe(F.col("_id"))).select(*[docs[c] for c in docs.columns])

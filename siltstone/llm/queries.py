@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, html, lines, mixing, packing, simhash, spotsigs, substrings, toxicity
+from siltstone.llm import embeddings, html, lines, mixing, packing, quality, simhash, spotsigs, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "virtual_finish")
 
@@ -122,7 +126,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op6_quality, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
