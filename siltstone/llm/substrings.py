@@ -159,7 +159,7 @@ class _Batch:
 def _mail(shards: np.ndarray, batch: int, a: np.ndarray) -> list[tuple]:
     """Rows of the sorted values for each shard."""
     cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist() if len(shards) else []
-    return [(int(shards[i]), batch, a[i:j].tobytes(), None, None, None) for i, j in zip(cuts, [*cuts[1:], len(shards)], strict=True)]
+    return [(int(shards[i]), batch, a[i:j].tobytes(), None, None, None) for i, j in zip(cuts, [*cuts, len(shards)][1:], strict=True)]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -251,7 +251,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         order = np.lexsort((run_f, shards))
         rows, low = [], np.array(oldest, np.int64)
         cuts = np.flatnonzero(np.append(True, shards[order][1:] != shards[order][:-1])).tolist() if len(order) else []
-        for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        for i, j in zip(cuts, [*cuts, len(order)][1:], strict=True):
             some = order[i:j]
             text = [texts[k] for k in some.tolist()]
             rows.append((int(shards[some[0]]), batch, some.astype(np.int64).tobytes(), low[some].tobytes(), run_f[some].tobytes(), b"\n".join(text)))
