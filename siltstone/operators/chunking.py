@@ -6,6 +6,8 @@ shuffle by section. The tokenizer is the lossless one of ``functions.text``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,14 +45,23 @@ def _split(part: Column, separator: str) -> Column:
     return F.filter(with_end, lambda p: p != "")
 
 
+def _level(separator: str, size: int) -> Callable[[Column], Column]:
+    """One level of splitting: fragments that fit or lack the separator pass on."""
+
+    def split(f: Column) -> Column:
+        parts = F.transform(_split(f["t"], separator), lambda p: F.struct(p.alias("t"), n_pieces(p).alias("n")))
+        return F.when((f["n"] <= size) | ~F.contains(f["t"], F.lit(separator)), F.array(f)).otherwise(parts)
+
+    return split
+
+
 def fragments(text: Column, size: int) -> Column:
     """array<struct<t: string, n: int>>: parts of at most ``size`` tokens, cut at the coarsest separators that do."""
-    made = F.transform(F.array(text), lambda t: F.struct(t.alias("t"), n_pieces(t).alias("n")))
+    sized = lambda p: F.struct(p.alias("t"), n_pieces(p).alias("n"))
+    made = F.transform(F.array(text), sized)
     for s in SEPARATORS:
-        made = F.flatten(
-            F.transform(made, lambda f, s=s: F.when((f["n"] <= size) | ~F.contains(f["t"], F.lit(s)), F.array(f)).otherwise(F.transform(_split(f["t"], s), lambda p: F.struct(p.alias("t"), n_pieces(p).alias("n")))))
-        )
-    cut = lambda f: F.transform(_windows(pieces(f["t"]), size, 0), lambda p: F.struct(p.alias("t"), n_pieces(p).alias("n")))
+        made = F.flatten(F.transform(made, _level(s, size)))
+    cut = lambda f: F.transform(_windows(pieces(f["t"]), size, 0), sized)
     return F.flatten(F.transform(made, lambda f: F.when(f["n"] <= size, F.array(f)).otherwise(cut(f))))
 
 
