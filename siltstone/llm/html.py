@@ -37,6 +37,7 @@ BAD_NAMES = re.compile(
     r"comments?|commentlist|disqus|replies|reply|respond|reviews?|discussion|cookies?|consent|gdpr|notices?|alerts?|notifications?|disclaimer|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|search|"
     r"share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|copyright|legal|skip|forms?|tags|tagcloud|bio|outbrain|taboola|paywall|complementary|contentinfo|dialog|hidden|popular|trending)$"
 )
+OWN_HEADER = {"article", "post", "entry", "story", "content"}
 GOOD_NAMES = re.compile(r"^(article|articlebody|content|post|entry|story|main|maincontent|body|text|page)$")
 
 
@@ -70,7 +71,7 @@ def _names(attrs: str) -> tuple[int, bool]:
             hidden = True
         elif key in ("class", "id", "role"):
             parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            if any(BAD_NAMES.match(p) for p in parts):
+            if any(BAD_NAMES.match(p) for p in parts) or "header" in parts and not OWN_HEADER & set(parts):
                 named = -1
             elif not named and any(GOOD_NAMES.match(p) for p in parts):
                 named = 1

@@ -23,6 +23,11 @@ def test_no_article_element():
     assert got == "\n\n".join(["Heading", text.strip(), text.strip(), "Short one."])
 
 
+def test_headers_by_name():
+    got = html.main_text(page('<div class="site-header"><p>A site, with a motto, here.</p></div><article><div class="article-header"><h1>Title</h1></div><p>Text, of it.</p><p class="notice">Moved, since then.</p></article>'))
+    assert got == "Title\n\nText, of it."
+
+
 def test_broken_markup():
     assert html.main_text("<article><h1>T<p><b>One.<br><p>Two, three.</div><p>Four") == "T\n\nOne.\n\nTwo, three.\n\nFour"
     assert html.main_text("<article><p a='>'>x < y & z</p><!-- <p>no --><p>&#233;&#x4e2d;</p><script>1") == "x < y & z\n\né中"
