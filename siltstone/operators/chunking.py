@@ -24,6 +24,11 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError(f"size must be positive and overlap in [0, size); got {size}, {overlap}")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row, not once per element of a lambda around it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _windows(tokens: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` tokens, each ``size - overlap`` after the last; the one that reaches the end is the last."""
     n, step = F.size(tokens), size - overlap
@@ -35,14 +40,13 @@ def fixed(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Array of chunks; blank texts give none, short ones themselves."""
     check_sizes(size, overlap)
     blank = strip(text) == ""
-    return F.when(blank | text.isNull(), F.array().cast("array<string>")).otherwise(F.element_at(F.transform(F.array(pieces(text)), lambda t: F.when(F.size(t) <= size, F.array(text)).otherwise(_windows(t, size, overlap))), 1))
+    return F.when(blank | text.isNull(), F.array().cast("array<string>")).otherwise(_let(pieces(text), lambda t: F.when(F.size(t) <= size, F.array(text)).otherwise(_windows(t, size, overlap))))
 
 
 def _split(part: Column, separator: str) -> Column:
     """Parts with the separator put back on all but the last; empty ones dropped."""
-    got = F.split(part, f"\\Q{separator}\\E", -1)
-    with_end = F.transform(got, lambda p, i: F.when(i < F.size(got) - 1, F.concat(p, F.lit(separator))).otherwise(p))
-    return F.filter(with_end, lambda p: p != "")
+    ended = lambda got: F.transform(got, lambda p, i: F.when(i < F.size(got) - 1, F.concat(p, F.lit(separator))).otherwise(p))
+    return F.filter(_let(F.split(part, f"\\Q{separator}\\E", -1), ended), lambda p: p != "")
 
 
 def _level(separator: str, size: int) -> Callable[[Column], Column]:
@@ -61,7 +65,7 @@ def fragments(text: Column, size: int) -> Column:
     made = F.transform(F.array(text), sized)
     for s in SEPARATORS:
         made = F.flatten(F.transform(made, _level(s, size)))
-    cut = lambda f: F.transform(_windows(pieces(f["t"]), size, 0), sized)
+    cut = lambda f: F.transform(_let(pieces(f["t"]), lambda t: _windows(t, size, 0)), sized)
     return F.flatten(F.transform(made, lambda f: F.when(f["n"] <= size, F.array(f)).otherwise(cut(f))))
 
 
@@ -82,9 +86,9 @@ def recursive(text: Column, size: int = 512, overlap: int = 64) -> Column:
     merged = F.aggregate(fragments(text, size), start, merge, lambda acc: F.when(acc["t"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["t"]))))
     kept = F.filter(merged, lambda c: strip(c) != "")
     if overlap:
-        tail = lambda c: F.element_at(F.transform(F.array(pieces(c)), lambda t: F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - overlap + 1), F.lit(overlap)), "")), 1)
+        tail = lambda c: _let(pieces(c), lambda t: F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - overlap + 1), F.lit(overlap)), ""))
         led = lambda k: F.transform(k, lambda c, i: F.when(i == 0, c).otherwise(F.concat(tail(F.get(k, i - 1)), c)))
-        kept = F.element_at(F.transform(F.array(kept), led), 1)
+        kept = _let(kept, led)
     short = n_pieces(text) <= size
     return F.when((strip(text) == "") | text.isNull(), F.array().cast("array<string>")).when(short, F.array(text)).otherwise(kept)
 
