@@ -5,8 +5,9 @@ class's shingles, lower-cased, run from the start of each word to ``REACH`` char
 a line in a script without spaces has those of ``WIDE`` characters at each place. Its signature is a one-permutation MinHash: shingle hashes are
 dealt to ``VALUES`` bins by their low bits, and each bin keeps its least, all in one hash aggregate.
 Groups of four values, taken side by side and again crosswise, are the bands. Classes that share a
-band are candidates; their exact Jaccard over all shingles decides; components of the links keep
-their first line.
+band are candidates; their exact Jaccard over all shingles decides. In each bucket a few pairs are
+compared first, then all pairs that their links leave in different components; components of the
+links keep their first line.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import connected_components, stored
+from siltstone.llm.common import connected_components, split_buckets, stored
 
 REACH, WIDE, VALUES = 4, 5, 16
 BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[i + 4 * j for j in range(4)] for i in range(4)]
 #: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Most classes of one part of a bucket; a block compares two parts at once.
+PART = 2048
 _UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7A3]"
 
 
@@ -58,43 +61,68 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(*least)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that share a band: each with its bucket's first class and the two before it.
-
-    Not all pairs of a bucket are made: near copies share several bands, so a link that one bucket
-    skips is found in another, or bridged by other lines of the component.
-    """
+def buckets(classes: DataFrame) -> DataFrame:
+    """``(k, h1, f, p, q)``: the classes of each band's buckets of two and more, with the bucket's first class and the two before by h1."""
     key = lambda b: F.when(F.coalesce(*[F.col(f"v{i}") for i in BANDS[b]]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(f"v{i}", F.lit(-1)) for i in BANDS[b]]))
     banded = classes.select("h1", F.explode(F.array_compact(F.array(*[key(b) for b in range(len(BANDS))]))).alias("k"))
     bucket = W.partitionBy("k").orderBy("h1")
-    seen = banded.select("h1", F.first("h1").over(bucket).alias("f"), F.lag("h1", 1).over(bucket).alias("p"), F.lag("h1", 2).over(bucket).alias("q")).where("p IS NOT NULL")
-    pairs = seen.select(F.col("h1").alias("a"), F.explode(F.array_compact(F.array("f", "p", "q"))).alias("b")).where("a <> b")
+    seen = banded.select("k", "h1", F.first("h1").over(bucket).alias("f"), F.lag("h1", 1).over(bucket).alias("p"), F.lag("h1", 2).over(bucket).alias("q"), F.lead("h1", 1).over(bucket).alias("x"))
+    return seen.where("p IS NOT NULL OR x IS NOT NULL").drop("x")
+
+
+def candidates(seen: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` compared first: each class of a bucket with its first class and the two before it; all pairs of a bucket of four."""
+    pairs = seen.where("p IS NOT NULL").select(F.col("h1").alias("a"), F.explode(F.array_compact(F.array("f", "p", "q"))).alias("b")).where("a <> b")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _alike(threshold: float) -> Column:
+    """Whether the Jaccard of ``sa`` and ``sb`` reaches the threshold; sizes too far apart are told first."""
+    na, nb, shared = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
+    return (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb)) & (shared >= F.lit(threshold) * (na + nb - shared))
+
+
+def rest_links(seen: DataFrame, parts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Edges ``(a, b)`` between classes that share a bucket and that no link has joined yet.
+
+    Buckets of four are done, and so are those whose classes all are in one component. In the others
+    every pair of classes of different components is compared, in blocks; only links leave the join.
+    """
+    named = seen.select("k", "h1").join(parts, F.col("h1") == F.col("node"), "left").select("k", "h1", F.coalesce("component", "h1").alias("c"))
+    still = named.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 4 AND c0 <> c1").select("k")
+    blocks = split_buckets(stored(named.join(still, "k")), ["k"], PART, F.col("h1"))
+    full = stored(blocks.join(sets, "h1").select("k", "lo", "hi", "part", "h1", "c", "s"))
+    a = full.where("part = lo").select("k", "lo", "hi", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
+    b = full.where("part = hi").select("k", "lo", "hi", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
+    return a.join(b, ["k", "lo", "hi"]).where(apart & _alike(threshold)).select("a", "b")
+
+
 def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """A table on disk, marked for broadcast if it has few rows, or little weight of 4 bytes each."""
     n = df.agg(F.count("*") + F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()[0]
     return F.broadcast(df) if n <= MOST_BROADCAST * (1 if weight is None else 4) else df
 
 
-def links(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Edges ``(a, b)`` between classes (by h1) whose Jaccard over all shingles reaches the threshold."""
-    pairs = stored(candidates(signatures(docs, id_col, text_col)))
-    nodes = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+def components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``(node, component)`` of classes (by h1) linked by a Jaccard over all shingles that reaches the threshold."""
+    seen = stored(buckets(signatures(docs, id_col, text_col)))
+    nodes = seen.select("h1").distinct()
     wanted = _small(stored(lines.join(nodes, "h1").groupBy("h1").agg(F.min(F.struct("row", "pos")).alias("at")).select("h1", "at.row", "at.pos")))
     some = _rows(docs, id_col, text_col).join(wanted.select("row").distinct(), "row", "left_semi")
     hashes = F.array_distinct(F.transform(shingles(F.col("line")), _hash))
     sets = stored(_lines(some).join(wanted, ["row", "pos"]).dropDuplicates(["h1"]).select("h1", hashes.alias("s")))
-    both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    both = candidates(seen).join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
+    links = stored(both.where(_alike(threshold)).select("a", "b"))
+    parts = connected_components(links)
+    more = stored(rest_links(seen, parts, sets, threshold))
+    return connected_components(links.union(more)) if more.head(1) else parts
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``(row, gone)``: for each row of ``_rows`` that loses lines, their positions."""
     lines = stored(_lines(_rows(docs, id_col, text_col)).select("did", "row", "pos", *_hashes()))
-    parts = connected_components(links(docs, lines, id_col, text_col, threshold))
+    parts = components(docs, lines, id_col, text_col, threshold)
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     known = often.join(parts, F.col("h1") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL").select("h1", "h2", F.coalesce("component", "h1").alias("part"), F.when(F.col("node").isNull(), F.col("h2")).alias("own"))
     placed = stored(lines.join(known, ["h1", "h2"]).select("did", "row", "pos", "part", "own"))

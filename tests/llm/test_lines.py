@@ -79,3 +79,25 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     want = sorted((r["doc_id"] or 0, r["text"] or "") for r in lines.dedup_lines(docs).collect())
     monkeypatch.setattr(lines, "MOST_BROADCAST", -1)
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in lines.dedup_lines(docs).collect()) == want
+
+
+def test_all_classes_of_a_bucket_are_compared(spark):
+    """Lines that share a long bucket and are linked to few of its others, so that neighbours by hash tell little."""
+    r = random.Random(3)
+    sets = []
+    for g in range(40):  # pairs of lines with equal bands, each alike to its twin only
+        own = [hash((g, i)) % (1 << 40) for i in range(10)]
+        sets += [(2 * g, [*own, -1]), (2 * g + 1, [*own, -2])]
+    r.shuffle(sets)
+    order = {h: n for n, (h, _) in enumerate(sets)}  # h1 is a random order
+    classes = spark.createDataFrame([(n,) + (7,) * lines.VALUES for n in order.values()], ", ".join(["h1 long", *[f"v{i} long" for i in range(lines.VALUES)]]))
+    seen = lines.buckets(classes)
+    table = spark.createDataFrame([(order[h], s) for h, s in sets], "h1 long, s array<long>")
+    none = spark.createDataFrame([], "node long, component long")
+    want = {tuple(sorted((order[2 * g], order[2 * g + 1]))) for g in range(40)}
+    assert not want <= {tuple(x) for x in lines.candidates(seen).collect()}
+    for part in (2048, 7):
+        lines.PART, old = part, lines.PART
+        got = {tuple(sorted(x)) for x in lines.rest_links(seen, none, table, 0.8).collect()}
+        lines.PART = old
+        assert got == want
