@@ -1,8 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 Equal lines form classes first, so that a line in a third of all documents costs one row per task. A
-class's shingles, lower-cased, run from the start of each word to ``REACH`` characters into the next;
-a line in a script without spaces has those of ``WIDE`` characters at each place. Its signature is a one-permutation MinHash: shingle hashes are
+class's shingles are the ``WIDE`` characters at each place of the lower-cased line. Its signature is a one-permutation MinHash: shingle hashes are
 dealt to ``VALUES`` bins by their low bits, and each bin keeps its least, all in one hash aggregate.
 Groups of four values, taken side by side and again crosswise, are the bands. Classes that share a
 band are candidates; their exact Jaccard over all shingles decides. In each bucket a few pairs are
@@ -18,26 +17,28 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import connected_components, split_buckets, stored
 
-REACH, WIDE, VALUES = 4, 5, 16
+WIDE, VALUES = 5, 16
+#: Places of a line whose shingles are made from one piece of it.
+PIECE = 64
+#: Not used here: what the word shingles that the older tests compare with take of the next word.
+REACH = 4
 BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[i + 4 * j for j in range(4)] for i in range(4)]
 #: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 500_000
 #: Most classes of one part of a bucket; a block compares two parts at once.
 PART = 2048
-_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uAC00-\uD7A3]"
 
 
 def shingles(line: Column) -> Column:
-    """A line's shingles with repeats, as array<struct<a: word, b: next word or null>>; hash them by ``_hash``."""
+    """The hashes of a line's shingles, with repeats: of every ``WIDE`` characters in a row, or of a shorter line as a whole."""
     low = F.lower(line)
-    wide, words = line.rlike(_UNSPACED), F.split(low, " ", -1)
-    parts = F.concat(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{WIDE}}}))."), F.lit(1)), F.when(F.length(low) < WIDE, F.array(low)).otherwise(F.array().cast("array<string>")))
-    pairs = F.element_at(F.transform(F.array(words), lambda w: F.arrays_zip(w.alias("a"), F.slice(w, 2, 1 << 30).alias("b"))), 1)
-    return F.when(wide, F.arrays_zip(parts.alias("a"), F.array().cast("array<string>").alias("b"))).otherwise(pairs)
+    found = F.when(F.length(low) < WIDE, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{WIDE}}}))."), F.lit(1)))
+    return F.transform(found, lambda s: F.xxhash64(s))
 
 
-def _hash(shingle: Column) -> Column:
-    return F.xxhash64(shingle["a"], F.substring(shingle["b"], 1, REACH))
+def _pieces(line: Column) -> Column:
+    """A line, lower-cased, as pieces of at most ``PIECE`` + ``WIDE`` - 1 characters that hold each shingle once; what is left at the end may hold none."""
+    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{PIECE + WIDE - 1}}})).{{1,{PIECE}}}"), F.lit(1))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,7 +57,10 @@ def _hashes() -> list[Column]:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(h1, v0 ... v15)``: one row per class of equal lines; a bin without shingles is null."""
-    hashed = _lines(_rows(docs, id_col, text_col)).select(*_hashes(), F.explode(shingles(F.col("line"))).alias("s")).select("h1", "h2", _hash(F.col("s")).alias("h"))
+    pieces = _lines(_rows(docs, id_col, text_col)).select(*_hashes(), F.posexplode(_pieces(F.col("line"))).alias("no", "piece"))
+    last = F.length("piece") - (WIDE - 1)
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).when(F.col("no") == 0, F.array(F.lit(1)))
+    hashed = pieces.select("h1", "h2", "piece", F.explode(starts).alias("at")).select("h1", "h2", F.xxhash64(F.substring("piece", F.col("at"), F.lit(WIDE))).alias("h"))
     least = [F.min(F.when(F.col("h").bitwiseAND(F.lit(VALUES - 1)) == i, F.shiftrightunsigned("h", 32))).alias(f"v{i}") for i in range(VALUES)]
     return hashed.groupBy("h1", "h2").agg(*least)
 
@@ -76,13 +80,18 @@ def candidates(seen: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alike(threshold: float) -> Column:
-    """Whether the Jaccard of ``sa`` and ``sb`` reaches the threshold; sizes too far apart are told first."""
-    na, nb, shared = F.size("sa"), F.size("sb"), F.size(F.array_intersect("sa", "sb"))
-    return (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb)) & (shared >= F.lit(threshold) * (na + nb - shared))
+def _alike(sets: Column, threshold: float) -> Column:
+    """Whether the Jaccard of the sets ``a`` and ``b`` of a struct, each worked out once, reaches the threshold."""
 
+    def decide(x: Column) -> Column:
+        na, nb = F.size(x["a"]), F.size(x["b"])
+        near = F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb)
+        return near & F.element_at(F.transform(F.array(F.size(F.array_intersect(x["a"], x["b"]))), lambda n: n >= F.lit(threshold) * (na + nb - n)), 1)
 
-def rest_links(seen: DataFrame, parts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    return F.element_at(F.transform(F.array(sets), decide), 1)
+
+
+def rest_links(seen: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Edges ``(a, b)`` between classes that share a bucket and that no link has joined yet.
 
     Buckets of four are done, and so are those whose classes all are in one component. In the others
@@ -91,11 +100,12 @@ def rest_links(seen: DataFrame, parts: DataFrame, sets: DataFrame, threshold: fl
     named = seen.select("k", "h1").join(parts, F.col("h1") == F.col("node"), "left").select("k", "h1", F.coalesce("component", "h1").alias("c"))
     still = named.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 4 AND c0 <> c1").select("k")
     blocks = split_buckets(stored(named.join(still, "k")), ["k"], PART, F.col("h1"))
-    full = stored(blocks.join(sets, "h1").select("k", "lo", "hi", "part", "h1", "c", "s"))
-    a = full.where("part = lo").select("k", "lo", "hi", F.col("h1").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"))
-    b = full.where("part = hi").select("k", "lo", "hi", F.col("h1").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
+    full = stored(blocks.join(texts, "h1").select("k", "lo", "hi", "part", "h1", "c", "line"))
+    keys = ["k", "lo", "hi"]  # the line is shuffled, not its shingles
+    a = full.where("part = lo").repartition(*keys).select(*keys, F.col("h1").alias("a"), F.col("c").alias("ca"), F.array_distinct(shingles(F.col("line"))).alias("sa"))
+    b = full.where("part = hi").repartition(*keys).select(*keys, F.col("h1").alias("b"), F.col("c").alias("cb"), F.array_distinct(shingles(F.col("line"))).alias("sb"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
-    return a.join(b, ["k", "lo", "hi"]).where(apart & _alike(threshold)).select("a", "b")
+    return a.join(b, keys).where(apart & _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), threshold)).select("a", "b")
 
 
 def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -110,12 +120,12 @@ def components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, th
     nodes = seen.select("h1").distinct()
     wanted = _small(stored(lines.join(nodes, "h1").groupBy("h1").agg(F.min(F.struct("row", "pos")).alias("at")).select("h1", "at.row", "at.pos")))
     some = _rows(docs, id_col, text_col).join(wanted.select("row").distinct(), "row", "left_semi")
-    hashes = F.array_distinct(F.transform(shingles(F.col("line")), _hash))
-    sets = stored(_lines(some).join(wanted, ["row", "pos"]).dropDuplicates(["h1"]).select("h1", hashes.alias("s")))
-    both = candidates(seen).join(sets.select(F.col("h1").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h1").alias("b"), F.col("s").alias("sb")), "b")
-    links = stored(both.where(_alike(threshold)).select("a", "b"))
+    texts = stored(_lines(some).join(wanted, ["row", "pos"]).dropDuplicates(["h1"]).select("h1", "line"))
+    both = candidates(seen).join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
+    sets = F.struct(*[F.array_distinct(shingles(F.col(f"l{x}"))).alias(x) for x in "ab"])
+    links = stored(both.where(_alike(sets, threshold)).select("a", "b"))
     parts = connected_components(links)
-    more = stored(rest_links(seen, parts, sets, threshold))
+    more = stored(rest_links(seen, parts, texts, threshold))
     return connected_components(links.union(more)) if more.head(1) else parts
 
 

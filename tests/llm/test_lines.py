@@ -86,13 +86,13 @@ def test_all_classes_of_a_bucket_are_compared(spark):
     r = random.Random(3)
     sets = []
     for g in range(40):  # pairs of lines with equal bands, each alike to its twin only
-        own = [hash((g, i)) % (1 << 40) for i in range(10)]
-        sets += [(2 * g, [*own, -1]), (2 * g + 1, [*own, -2])]
+        own = "".join(r.choice("abcdefgh") for _ in range(60))
+        sets += [(2 * g, own + "y"), (2 * g + 1, own + "z")]
     r.shuffle(sets)
     order = {h: n for n, (h, _) in enumerate(sets)}  # h1 is a random order
     classes = spark.createDataFrame([(n,) + (7,) * lines.VALUES for n in order.values()], ", ".join(["h1 long", *[f"v{i} long" for i in range(lines.VALUES)]]))
     seen = lines.buckets(classes)
-    table = spark.createDataFrame([(order[h], s) for h, s in sets], "h1 long, s array<long>")
+    table = spark.createDataFrame([(order[h], s) for h, s in sets], "h1 long, line string")
     none = spark.createDataFrame([], "node long, component long")
     want = {tuple(sorted((order[2 * g], order[2 * g + 1]))) for g in range(40)}
     assert not want <= {tuple(x) for x in lines.candidates(seen).collect()}
@@ -101,3 +101,33 @@ def test_all_classes_of_a_bucket_are_compared(spark):
         got = {tuple(sorted(x)) for x in lines.rest_links(seen, none, table, 0.8).collect()}
         lines.PART = old
         assert got == want
+
+
+def gram_set(line):
+    low, k = line.lower(), lines.WIDE
+    return {low[i : i + k] for i in range(max(1, len(low) - k + 1))}
+
+
+def test_short_lines_with_a_changed_character_are_linked(spark, monkeypatch):
+    """A changed character takes two of a short line's words, but few of its character shingles."""
+    r = random.Random(6)
+    say = lambda: " ".join("".join(r.choice("abcdefghijkl") for _ in range(r.randint(4, 9))) for _ in range(r.randint(9, 14)))
+    base = [say() for _ in range(40)]
+    rows = [(i, x) for i, x in enumerate(base)] + [(100 + i, x[:-1] + "Z") for i, x in enumerate(base)]
+    monkeypatch.setitem(globals(), "shingle_set", gram_set)
+    want = dict(zip([d for d, _ in rows], plain(rows)))
+    assert all(want[100 + i] == "" for i in range(40))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[100 + i] == "" for i in range(40)) >= 39 and all(got[i] == base[i] for i in range(40))
+
+
+def test_shingles_of_long_lines_are_made_once_each(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(1)
+    texts = ["a", "abcde", "x" * 3, *["".join(r.choice("abÄ短😀 ") for _ in range(n)).strip() + "." for n in (62, 63, 64, 65, 66, 67, 68, 69, 127, 128, 129, 132, 133, 500)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    low = lambda c: [F.array_min(F.transform(F.filter(lines.shingles(c), lambda h: h.bitwiseAND(F.lit(lines.VALUES - 1)) == i), lambda h: F.shiftrightunsigned(h, 32))).alias(f"v{i}") for i in range(lines.VALUES)]
+    want = sorted(map(repr, docs.select(F.xxhash64("text").alias("h1"), *low(F.col("text"))).collect()))
+    got = lines.signatures(docs, "doc_id", "text")
+    assert sorted(map(repr, got.select("h1", *[f"v{i}" for i in range(lines.VALUES)]).collect())) == want
