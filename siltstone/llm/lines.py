@@ -11,6 +11,8 @@ links keep their first line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,7 +70,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def buckets(classes: DataFrame) -> DataFrame:
     """``(k, h1, f, p, q)``: the classes of each band's buckets of two and more, with the bucket's first class and the two before by h1."""
     key = lambda b: F.when(F.coalesce(*[F.col(f"v{i}") for i in BANDS[b]]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(f"v{i}", F.lit(-1)) for i in BANDS[b]]))
-    banded = classes.select("h1", F.explode(F.array_compact(F.array(*[key(b) for b in range(len(BANDS))]))).alias("k"))
+    return neighbours(classes.select("h1", F.explode(F.array_compact(F.array(*[key(b) for b in range(len(BANDS))]))).alias("k")))
+
+
+def neighbours(banded: DataFrame) -> DataFrame:
+    """As ``buckets``, of rows ``(h1, k)``."""
     bucket = W.partitionBy("k").orderBy("h1")
     seen = banded.select("k", "h1", F.first("h1").over(bucket).alias("f"), F.lag("h1", 1).over(bucket).alias("p"), F.lag("h1", 2).over(bucket).alias("q"), F.lead("h1", 1).over(bucket).alias("x"))
     return seen.where("p IS NOT NULL OR x IS NOT NULL").drop("x")
@@ -80,6 +86,10 @@ def candidates(seen: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def line_set(line: Column) -> Column:
+    return F.array_distinct(shingles(line))
+
+
 def _alike(sets: Column, threshold: float) -> Column:
     """Whether the Jaccard of the sets ``a`` and ``b`` of a struct, each worked out once, reaches the threshold."""
 
@@ -91,7 +101,7 @@ def _alike(sets: Column, threshold: float) -> Column:
     return F.element_at(F.transform(F.array(sets), decide), 1)
 
 
-def rest_links(seen: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def rest_links(seen: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float, set_of: Callable[[Column], Column] = line_set) -> DataFrame:
     """Edges ``(a, b)`` between classes that share a bucket and that no link has joined yet.
 
     Buckets of four are done, and so are those whose classes all are in one component. In the others
@@ -102,8 +112,8 @@ def rest_links(seen: DataFrame, parts: DataFrame, texts: DataFrame, threshold: f
     blocks = split_buckets(stored(named.join(still, "k")), ["k"], PART, F.col("h1"))
     full = stored(blocks.join(texts, "h1").select("k", "lo", "hi", "part", "h1", "c", "line"))
     keys = ["k", "lo", "hi"]  # the line is shuffled, not its shingles
-    a = full.where("part = lo").repartition(*keys).select(*keys, F.col("h1").alias("a"), F.col("c").alias("ca"), F.array_distinct(shingles(F.col("line"))).alias("sa"))
-    b = full.where("part = hi").repartition(*keys).select(*keys, F.col("h1").alias("b"), F.col("c").alias("cb"), F.array_distinct(shingles(F.col("line"))).alias("sb"))
+    a = full.where("part = lo").repartition(*keys).select(*keys, F.col("h1").alias("a"), F.col("c").alias("ca"), set_of(F.col("line")).alias("sa"))
+    b = full.where("part = hi").repartition(*keys).select(*keys, F.col("h1").alias("b"), F.col("c").alias("cb"), set_of(F.col("line")).alias("sb"))
     apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
     return a.join(b, keys).where(apart & _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), threshold)).select("a", "b")
 
@@ -121,11 +131,16 @@ def components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, th
     wanted = _small(stored(lines.join(nodes, "h1").groupBy("h1").agg(F.min(F.struct("row", "pos")).alias("at")).select("h1", "at.row", "at.pos")))
     some = _rows(docs, id_col, text_col).join(wanted.select("row").distinct(), "row", "left_semi")
     texts = stored(_lines(some).join(wanted, ["row", "pos"]).dropDuplicates(["h1"]).select("h1", "line"))
+    return settled(seen, texts, threshold)
+
+
+def settled(seen: DataFrame, texts: DataFrame, threshold: float, set_of: Callable[[Column], Column] = line_set) -> DataFrame:
+    """``(node, component)`` by all links inside the buckets of ``seen``; ``set_of`` makes a set of hashes of the ``line`` in ``texts (h1, line)``."""
     both = candidates(seen).join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    sets = F.struct(*[F.array_distinct(shingles(F.col(f"l{x}"))).alias(x) for x in "ab"])
+    sets = F.struct(*[set_of(F.col(f"l{x}")).alias(x) for x in "ab"])
     links = stored(both.where(_alike(sets, threshold)).select("a", "b"))
     parts = connected_components(links)
-    more = stored(rest_links(seen, parts, texts, threshold))
+    more = stored(rest_links(seen, parts, texts, threshold, set_of))
     return connected_components(links.union(more)) if more.head(1) else parts
 
 

@@ -17,7 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import connected_components, cut, partitions, split_buckets, stream_groups, words_of
+from siltstone.llm import lines
+from siltstone.llm.common import connected_components, cut, partitions, split_buckets, stored, stream_groups, words_of
 
 #: Most rows of one part of a bucket; a block compares two parts at once.
 PART = 4096
@@ -110,7 +111,44 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return blocks.select("fp", *keys).repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
+def similar_links(docs: DataFrame, text_col: str, shingle_words: int, similarity: float, words: int = 5) -> DataFrame:
+    """Edges between the fingerprints of texts whose Jaccard over ``words``-word shingles reaches ``similarity``; exact.
+
+    Sets of n shingles that reach it share one of the first n - ceil(similarity * n) + 1 of either by
+    hash order. These are the keys of buckets, inside which all links are found as among lines.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, int]]:
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.unique(shingle_hashes(t, words).view(np.int64))
+                if len(s):
+                    yield row, t, s, int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, t, s, u in each(batches):
+            fp = int(np.uint64(majority(shingle_hashes(t, shingle_words))).astype(np.int64))
+            keys = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (row, u, fp)] + [pa.array([keys], pa.list_(pa.int64()))], names=["row", "u", "fp", "keys"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, s, u in each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([s], pa.list_(pa.int64()))], names=["h1", "line"])
+
+    rows = docs.select(F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    marked = stored(rows.mapInArrow(mark, "row long, u long, fp long, keys array<long>"))
+    classes = stored(marked.groupBy("u").agg(F.min("fp").alias("one"), F.min("row").alias("row")))
+    banded = marked.dropDuplicates(["u"]).select(F.col("u").alias("h1"), F.explode("keys").alias("k"))
+    seen = stored(lines.neighbours(banded))
+    wanted = classes.join(seen.select(F.col("h1").alias("u")).distinct(), "u", "left_semi").select("row")
+    sets = stored(rows.join(wanted, "row", "left_semi").mapInArrow(whole, "h1 long, line array<long>").dropDuplicates(["h1"]))
+    parts = lines.settled(seen, sets, similarity, lambda s: s)
+    ends = parts.join(classes.select(F.col("u").alias("node"), F.col("one").alias("a")), "node").join(classes.select(F.col("u").alias("component"), F.col("one").alias("b")), "component").select("a", "b")
+    same = marked.select("u", "fp").distinct().join(classes, "u").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    return ends.union(same).where("a <> b").distinct()
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """``(id_col, fp long, component_id long)``: one row per input row.
 
     component_id is the smallest id whose fingerprint is reachable by links of at most ``radius``
@@ -118,23 +156,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and enter the search once, so a group of copies of any size costs one row. Repeated ids keep
     their rows. A row with a null id gets the component of its fingerprint; component_id is null
     only where no row of the component has an id. An empty table gives an empty result; other
-    columns are not read, so clashing names do no harm.
+    columns are not read, so clashing names do no harm. With ``similarity``, texts whose Jaccard over
+    five-word shingles reaches it are linked too, whatever their fingerprints.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
     classes = fps.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    found = connected_components(links(classes.select("fp"), radius))
+    edges = links(classes.select("fp"), radius)
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, text_col, shingle_words, similarity))
+    found = connected_components(edges)
     labelled = classes.join(found, classes.fp == found.node, "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
     least = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return fps.join(labelled.join(least, "_root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """Keep one document of each component: the one with the smallest id.
 
     All columns of ``docs`` are returned. Rows that repeat the id of a kept document all have its
     content class and stay only once if they are the same document: of rows with equal id one is
     kept. Rows with a null id cannot name a component and are kept.
     """
-    keep = simhash_components(docs, id_col, text_col, shingle_words, radius).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    keep = simhash_components(docs, id_col, text_col, shingle_words, radius, similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
     kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -96,3 +96,29 @@ def test_majority_of_long_texts():
     h = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(70_000)], np.uint64)
     plain = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > len(h))
     assert simhash.majority(h) == plain
+
+
+def test_the_pipelines_stage_drops_all_copies_alike_in_five_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    rows = []
+    for g in range(12):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice([100, 500]))]
+        for c in range(6):
+            w = list(words)
+            for _ in range(c if len(w) > 100 else min(c, 1)):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((10 * g + c, " ".join(w)))
+    label = {d: d for d, _ in rows}
+    sets, near = [grams(t) for _, t in rows], {d: c for d, _, c in plain_components(rows)}
+    for _ in range(6):
+        for i, (a, _) in enumerate(rows):
+            for j, (b, _) in enumerate(rows):
+                if near[a] == near[b] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    label[a] = label[b] = min(label[a], label[b])
+    want = sorted(d for d, c in label.items() if d == c)
+    assert len(want) < sum(d == c for d, c in near.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == want
