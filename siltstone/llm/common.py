@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: The characters that separate words in every contract of this package.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; set one of our own only where none is set."""
+    """Use the shared folder of the session; set one of our own only where none is set and one process does all work."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
 
 
@@ -37,6 +41,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A table on disk, marked for broadcast if it has few rows, or little weight of 4 bytes each."""
+    n = df.agg(F.count("*") + F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= MOST_BROADCAST * (1 if weight is None else 4) else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,50 +1,91 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone.
 
 Equal lines form classes first, so that a line in a third of all documents costs one row per task. A
-class's shingles are the ``WIDE`` characters at each place of the lower-cased line. Its signature is a one-permutation MinHash: shingle hashes are
-dealt to ``VALUES`` bins by their low bits, and each bin keeps its least, all in one hash aggregate.
-Groups of four values, taken side by side and again crosswise, are the bands. Classes that share a
-band are candidates; their exact Jaccard over all shingles decides. In each bucket a few pairs are
-compared first, then all pairs that their links leave in different components; components of the
-links keep their first line.
+class's shingles are the ``WIDE`` characters at each place of the lower-cased line. Each value of its
+signature is the least exclusive-or of a seed and the shingles' hashes, all in one hash aggregate.
+The values are the points of an affine plane, whose lines are the bands: any two share one value at
+most. Classes that share a band are candidates; one that also agrees in the low bits of enough values
+is compared, and its exact Jaccard over all shingles decides. In each bucket all classes are compared
+with the bucket's first, then all pairs that the links leave in different components; components of
+the links keep their first line.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import connected_components, split_buckets, stored
+from siltstone.llm.common import connected_components, small, split_buckets, stored
 
-WIDE, VALUES = 5, 16
-#: Places of a line whose shingles are made from one piece of it.
-PIECE = 64
-#: Not used here: what the word shingles that the older tests compare with take of the next word.
-REACH = 4
-BANDS = [[4 * i + j for j in range(4)] for i in range(4)] + [[i + 4 * j for j in range(4)] for i in range(4)]
-#: Rows of a table that may be broadcast; a larger one is joined by a shuffle.
-MOST_BROADCAST = 500_000
+WIDE = 5
+#: Places of a line whose shingles always enter the signature; of the others those do whose hash is
+#: negative, as only these can be least: the seeds are not negative.
+FIRST = 64
 #: Most classes of one part of a bucket; a block compares two parts at once.
 PART = 2048
 
 
+def order_of(lines: int) -> int:
+    """Order of the plane (values of a band): more lines, longer bands, so that buckets stay small."""
+    return 4 if lines < 1 << 25 else 5 if lines < 1 << 31 else 7
+
+
+def bands(order: int, classes: int | None = None) -> list[list[int]]:
+    """Lines of the affine plane of that order (4, or a prime) over ``order`` squared points, of as many parallel classes as values of a band if not told."""
+
+    def times(a: int, b: int) -> int:
+        if order != 4:
+            return a * b % order
+        r = (a if b & 1 else 0) ^ ((a << 1) if b & 2 else 0)
+        return r ^ 7 if r & 4 else r
+
+    plus = (lambda a, b: a ^ b) if order == 4 else (lambda a, b: (a + b) % order)
+    return [[x * order + plus(times(m, x), c) for x in range(order)] for m in range(classes or order) for c in range(order)]
+
+
+def _seeds(order: int) -> list[int]:
+    r = random.Random(5)
+    return [r.getrandbits(62) for _ in range(order * order)]
+
+
+def sketch_bits(values: int) -> int:
+    """Bits that a value has in the sketch of 64."""
+    return 64 // values if values > 16 else 4
+
+
+def most_apart(values: int, threshold: float, shared: int, miss: float = 0.003) -> int:
+    """The most values in whose low bits two sets of that Jaccard that share a band of ``shared`` values differ, but with a probability of ``miss``."""
+    free = values - shared
+    p = (1 - threshold) * (1 - 0.5 ** sketch_bits(values))
+    tail, t = 1.0, -1
+    while tail > miss:
+        t += 1
+        tail -= comb(free, t) * p**t * (1 - p) ** (free - t)
+    return t
+
+
+def _points(line: Column) -> Column:
+    """The lower-cased line, four bytes a character."""
+    return F.encode(F.lower(line), "UTF-32")
+
+
 def shingles(line: Column) -> Column:
     """The hashes of a line's shingles, with repeats: of every ``WIDE`` characters in a row, or of a shorter line as a whole."""
-    low = F.lower(line)
-    found = F.when(F.length(low) < WIDE, F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{WIDE}}}))."), F.lit(1)))
-    return F.transform(found, lambda s: F.xxhash64(s))
 
+    def each(b: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(b) - (4 * WIDE - 1), F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda p: F.xxhash64(F.substring(b, p, F.lit(4 * WIDE))))
 
-def _pieces(line: Column) -> Column:
-    """A line, lower-cased, as pieces of at most ``PIECE`` + ``WIDE`` - 1 characters that hold each shingle once; what is left at the end may hold none."""
-    return F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{1,{PIECE + WIDE - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.element_at(F.transform(F.array(_points(line)), each), 1)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(did, row, text)``; row tells rows with equal id and different text apart."""
+    """``(did, row, text)``; did and row together tell rows with equal id and different text apart."""
     return docs.select(F.col(id_col).cast("long").alias("did"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -57,128 +98,165 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(h1, v0 ... v15)``: one row per class of equal lines; a bin without shingles is null."""
-    pieces = _lines(_rows(docs, id_col, text_col)).select(*_hashes(), F.posexplode(_pieces(F.col("line"))).alias("no", "piece"))
-    last = F.length("piece") - (WIDE - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).when(F.col("no") == 0, F.array(F.lit(1)))
-    hashed = pieces.select("h1", "h2", "piece", F.explode(starts).alias("at")).select("h1", "h2", F.xxhash64(F.substring("piece", F.col("at"), F.lit(WIDE))).alias("h"))
-    least = [F.min(F.when(F.col("h").bitwiseAND(F.lit(VALUES - 1)) == i, F.shiftrightunsigned("h", 32))).alias(f"v{i}") for i in range(VALUES)]
-    return hashed.groupBy("h1", "h2").agg(*least)
+def signatures(docs: DataFrame, text_col: str, order: int) -> DataFrame:
+    """``(h1, v0, v1 ...)``: one row per class of equal lines."""
+    lines = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line")).where(F.col("line").rlike(r"\S"))
+    coded = lines.select(F.xxhash64("line").alias("h1"), _points(F.col("line")).alias("b"))
+    placed = coded.select("h1", "b", F.explode(F.sequence(F.lit(0), F.greatest(F.length("b") / 4 - WIDE, F.lit(0)).cast("int"))).alias("i"))
+    hashed = placed.select("h1", "i", F.xxhash64(F.substring("b", F.col("i") * 4 + 1, F.lit(4 * WIDE))).alias("h")).where(f"i < {FIRST} OR h < 0")
+    return hashed.groupBy("h1").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(s))).alias(f"v{i}") for i, s in enumerate(_seeds(order))])
 
 
-def buckets(classes: DataFrame) -> DataFrame:
-    """``(k, h1, f, p, q)``: the classes of each band's buckets of two and more, with the bucket's first class and the two before by h1."""
-    key = lambda b: F.when(F.coalesce(*[F.col(f"v{i}") for i in BANDS[b]]).isNotNull(), F.xxhash64(F.lit(b), *[F.coalesce(f"v{i}", F.lit(-1)) for i in BANDS[b]]))
-    return neighbours(classes.select("h1", F.explode(F.array_compact(F.array(*[key(b) for b in range(len(BANDS))]))).alias("k")))
+def banded(classes: DataFrame, order: int) -> DataFrame:
+    """``(k, h1, sk)``: a row for each class and band, with the low bits of its values."""
+    n = order * order
+    low = sketch_bits(n)
+    sketch = [F.shiftleft(F.col(f"v{i}").bitwiseAND(F.lit((1 << low) - 1)), low * i) for i in range(n)]
+    sk = sketch[0]
+    for c in sketch[1:]:
+        sk = sk.bitwiseOR(c)
+    keys = F.array(*[F.xxhash64(F.lit(j), *[f"v{i}" for i in b]) for j, b in enumerate(bands(order))])
+    return classes.select("h1", sk.alias("sk"), F.explode(keys).alias("k"))
 
 
-def neighbours(banded: DataFrame) -> DataFrame:
-    """As ``buckets``, of rows ``(h1, k)``."""
+def shared(rows: DataFrame) -> DataFrame:
+    """The rows ``(k, h1, sk)`` of buckets of two and more."""
     bucket = W.partitionBy("k").orderBy("h1")
-    seen = banded.select("k", "h1", F.first("h1").over(bucket).alias("f"), F.lag("h1", 1).over(bucket).alias("p"), F.lag("h1", 2).over(bucket).alias("q"), F.lead("h1", 1).over(bucket).alias("x"))
-    return seen.where("p IS NOT NULL OR x IS NOT NULL").drop("x")
+    seen = rows.select("k", "h1", "sk", F.lag("h1", 1).over(bucket).alias("p"), F.lead("h1", 1).over(bucket).alias("x"))
+    return seen.where("p IS NOT NULL OR x IS NOT NULL").select("k", "h1", "sk")
 
 
-def candidates(seen: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` compared first: each class of a bucket with its first class and the two before it; all pairs of a bucket of four."""
-    pairs = seen.where("p IS NOT NULL").select(F.col("h1").alias("a"), F.explode(F.array_compact(F.array("f", "p", "q"))).alias("b")).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def apart(a: Column, b: Column, values: int) -> Column:
+    """In how many values' low bits two sketches differ."""
+    low = sketch_bits(values)
+    x = a.bitwiseXOR(b)
+    y = x
+    for i in range(1, low):
+        y = y.bitwiseOR(F.shiftrightunsigned(x, i))
+    mask = sum(1 << (low * i) for i in range(values))
+    return F.bit_count(y.bitwiseAND(F.lit(mask)))
 
 
-def line_set(line: Column) -> Column:
-    return F.array_distinct(shingles(line))
+def _alike(sets: Column, na: Column, nb: Column, threshold: float) -> Column:
+    """Whether the Jaccard of the hashes ``a`` and ``b`` of a struct, of na and nb different ones, reaches the threshold."""
+    shared = F.element_at(F.transform(F.array(sets), lambda x: F.size(F.array_intersect(x["a"], x["b"]))), 1)
+    return (F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb)) & (shared * (1 + threshold) >= F.lit(threshold) * (na + nb) - 1e-6)
 
 
-def _alike(sets: Column, threshold: float) -> Column:
-    """Whether the Jaccard of the sets ``a`` and ``b`` of a struct, each worked out once, reaches the threshold."""
+BLOCK = ["k", "lo", "hi"]
 
-    def decide(x: Column) -> Column:
-        na, nb = F.size(x["a"]), F.size(x["b"])
-        near = F.least(na, nb) >= F.lit(threshold) * F.greatest(na, nb)
-        return near & F.element_at(F.transform(F.array(F.size(F.array_intersect(x["a"], x["b"]))), lambda n: n >= F.lit(threshold) * (na + nb - n)), 1)
 
-    return F.element_at(F.transform(F.array(sets), decide), 1)
+def near_blocks(seen: DataFrame, values: int, most: int) -> DataFrame:
+    """``(k, lo, hi, part, h1, sk)``: the classes that agree in enough values with another of their bucket, in blocks; no pair leaves the join."""
+    blocks = stored(split_buckets(seen, ["k"], PART, F.col("h1")).select(*BLOCK, "part", "h1", "sk"))
+    other = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns])
+    same = (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
+    meet = (F.col("h1") != F.col("_h1")) & ((F.col("lo") == F.col("hi")) | (F.col("part") != F.col("_part")))
+    near = apart(F.col("sk"), F.col("_sk"), values) <= most
+    return blocks.join(other, same & meet & near, "left_semi")
 
 
-def rest_links(seen: DataFrame, parts: DataFrame, texts: DataFrame, threshold: float, set_of: Callable[[Column], Column] = line_set) -> DataFrame:
-    """Edges ``(a, b)`` between classes that share a bucket and that no link has joined yet.
+def first_links(blocks: DataFrame, texts: DataFrame, values: int, most: int, threshold: float, set_of: Callable[[Column], Column]) -> DataFrame:
+    """Edges ``(a, b)`` of a block's classes with its first one by h1 and with the two before them by the sketch's order, in which like ones stand together."""
+    ranked = W.partitionBy(*BLOCK).orderBy("sk", "h1")
+    firsts = W.partitionBy(*BLOCK).orderBy("sk", "h1").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    seen = blocks.select("h1", "sk", F.struct(F.min("h1").over(firsts).alias("h1"), F.min_by("sk", "h1").over(firsts).alias("sk")).alias("f"), *[F.lag(F.struct("h1", "sk"), i).over(ranked).alias(x) for i, x in ((1, "p"), (2, "q"))])
+    met = seen.select("h1", "sk", F.explode(F.array("f", "p", "q")).alias("o")).where((F.col("h1") != F.col("o.h1")) & (apart(F.col("sk"), F.col("o.sk"), values) <= most))
+    pairs = met.select(F.least("h1", "o.h1").alias("a"), F.greatest("h1", "o.h1").alias("b")).distinct()
+    end = lambda x: texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    return both.where(_alike(F.struct(*[set_of(F.col(f"l{x}")).alias(x) for x in "ab"]), F.col("na"), F.col("nb"), threshold)).select("a", "b")
 
-    Buckets of four are done, and so are those whose classes all are in one component. In the others
-    every pair of classes of different components is compared, in blocks; only links leave the join.
+
+def rest_links(blocks: DataFrame, parts: DataFrame, texts: DataFrame, values: int, most: int, threshold: float, set_of: Callable[[Column], Column]) -> DataFrame:
+    """Edges ``(a, b)`` between classes of a block that no link has joined yet.
+
+    Blocks whose classes all are in one component are done. In the others every pair of classes of
+    different components that agree in enough values is compared; only links leave the join.
     """
-    named = seen.select("k", "h1").join(parts, F.col("h1") == F.col("node"), "left").select("k", "h1", F.coalesce("component", "h1").alias("c"))
-    still = named.groupBy("k").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 4 AND c0 <> c1").select("k")
-    blocks = split_buckets(stored(named.join(still, "k")), ["k"], PART, F.col("h1"))
-    full = stored(blocks.join(texts, "h1").select("k", "lo", "hi", "part", "h1", "c", "line"))
-    keys = ["k", "lo", "hi"]  # the line is shuffled, not its shingles
-    a = full.where("part = lo").repartition(*keys).select(*keys, F.col("h1").alias("a"), F.col("c").alias("ca"), set_of(F.col("line")).alias("sa"))
-    b = full.where("part = hi").repartition(*keys).select(*keys, F.col("h1").alias("b"), F.col("c").alias("cb"), set_of(F.col("line")).alias("sb"))
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b")))
-    return a.join(b, keys).where(apart & _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), threshold)).select("a", "b")
-
-
-def _small(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """A table on disk, marked for broadcast if it has few rows, or little weight of 4 bytes each."""
-    n = df.agg(F.count("*") + F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()[0]
-    return F.broadcast(df) if n <= MOST_BROADCAST * (1 if weight is None else 4) else df
-
-
-def components(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """``(node, component)`` of classes (by h1) linked by a Jaccard over all shingles that reaches the threshold."""
-    seen = stored(buckets(signatures(docs, id_col, text_col)))
-    nodes = seen.select("h1").distinct()
-    wanted = _small(stored(lines.join(nodes, "h1").groupBy("h1").agg(F.min(F.struct("row", "pos")).alias("at")).select("h1", "at.row", "at.pos")))
-    some = _rows(docs, id_col, text_col).join(wanted.select("row").distinct(), "row", "left_semi")
-    texts = stored(_lines(some).join(wanted, ["row", "pos"]).dropDuplicates(["h1"]).select("h1", "line"))
-    return settled(seen, texts, threshold)
-
-
-def settled(seen: DataFrame, texts: DataFrame, threshold: float, set_of: Callable[[Column], Column] = line_set) -> DataFrame:
-    """``(node, component)`` by all links inside the buckets of ``seen``; ``set_of`` makes a set of hashes of the ``line`` in ``texts (h1, line)``."""
-    both = candidates(seen).join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    sets = F.struct(*[set_of(F.col(f"l{x}")).alias(x) for x in "ab"])
-    links = stored(both.where(_alike(sets, threshold)).select("a", "b"))
+    named = blocks.join(parts, F.col("h1") == F.col("node"), "left").select(*BLOCK, "part", "h1", "sk", F.coalesce("component", "h1").alias("c"))
+    still = named.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 2 AND c0 <> c1").select(*BLOCK)
+    full = stored(named.join(still, BLOCK).join(texts, "h1").select(*BLOCK, "part", "h1", "sk", "c", "line", "n"))
+
+    def side(x: str) -> DataFrame:  # the line is shuffled, not its shingles
+        own = "part = lo" if x == "a" else "part = hi"
+        return full.where(own).repartition(*BLOCK).select(*BLOCK, F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("sk").alias(f"k{x}"), F.col("n").alias(f"n{x}"), set_of(F.col("line")).alias(f"s{x}"))
+
+    meet = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (apart(F.col("ka"), F.col("kb"), values) <= most)
+    return side("a").join(side("b"), BLOCK).where(meet & _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+
+
+def settled(blocks: DataFrame, texts: DataFrame, values: int, most: int, threshold: float, set_of: Callable[[Column], Column] = shingles) -> DataFrame:
+    """``(node, component)`` by all links inside the blocks; ``set_of`` makes the hashes of the ``line`` in ``texts (h1, line, n)``, n different ones each."""
+    links = stored(first_links(blocks, texts, values, most, threshold, set_of))
     parts = connected_components(links)
-    more = stored(rest_links(seen, parts, texts, threshold, set_of))
-    return connected_components(links.union(more)) if more.head(1) else parts
+    more = stored(rest_links(blocks, parts, texts, values, most, threshold, set_of))
+    return connected_components(parts.select("node", "component").union(more)) if more.head(1) else parts
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``(row, gone)``: for each row of ``_rows`` that loses lines, their positions."""
-    lines = stored(_lines(_rows(docs, id_col, text_col)).select("did", "row", "pos", *_hashes()))
-    parts = components(docs, lines, id_col, text_col, threshold)
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    known = often.join(parts, F.col("h1") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL").select("h1", "h2", F.coalesce("component", "h1").alias("part"), F.when(F.col("node").isNull(), F.col("h2")).alias("own"))
-    placed = stored(lines.join(known, ["h1", "h2"]).select("did", "row", "pos", "part", "own"))
-    first = placed.groupBy("part", "own").agg(F.min(F.struct(F.col("did").isNull().alias("no_id"), "did", "row", "pos")).alias("keeper"))
-    first = first.select(F.col("part").alias("p"), F.col("own").alias("o"), F.col("keeper.row").alias("r"), F.col("keeper.pos").alias("i"))
-    gone = placed.join(first, (F.col("part") == F.col("p")) & F.col("own").eqNullSafe(F.col("o"))).where("row <> r OR pos <> i")
-    return gone.groupBy("row").agg(F.collect_set("pos").alias("gone"))
+def components(rows: DataFrame, classes: DataFrame, lines: int, threshold: float) -> DataFrame:
+    """``(node, h2, component)`` of classes, by h1, linked by a Jaccard over all shingles that reaches the threshold; ``classes`` has ``(h1, h2, n, at)``."""
+    order = order_of(lines)
+    values, most = order * order, most_apart(order * order, threshold, order)
+    seen = stored(shared(banded(signatures(rows, "text", order), order)))
+    blocks = stored(near_blocks(seen, values, most))
+    wanted = stored(classes.join(small(blocks.select("h1").distinct()), "h1", "left_semi").groupBy("h1").agg(F.min(F.struct("h2", "at")).alias("x")).select("h1", "x.h2", "x.at.did", "x.at.row", "x.at.pos"))
+    at = wanted.groupBy("did", "row").agg(F.collect_list(F.struct("pos", "h1")).alias("at"))  # bounded by the lines of one text
+    found = rows.join(small(at.select(F.col("did").alias("_did"), F.col("row").alias("_row"), "at"), F.size("at") * 4), F.col("did").eqNullSafe(F.col("_did")) & (F.col("row") == F.col("_row")))
+    picked = found.select("at", F.split("text", "\n", -1).alias("all")).select(F.explode(F.element_at(F.transform(F.array("all"), lambda a: F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), F.get(a, x["pos"]).alias("line")))), 1)).alias("x"))
+    texts = stored(picked.select("x.h1", "x.line", F.size(F.array_distinct(shingles(F.col("x.line")))).alias("n")))
+    parts = settled(blocks, texts, values, most, threshold)
+    return parts.join(wanted.select("h1", "h2"), F.col("node") == F.col("h1")).select("node", "h2", "component")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """All columns of ``docs`` with the text's kept lines as ``text_col``, plus ``__n_lines, __n_removed long``.
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``(did, row, gone)``: for each row of ``_rows`` that loses lines, their positions."""
+    rows = _rows(docs, id_col, text_col)
+    lines = stored(_lines(rows).select("did", "row", "pos", *_hashes()))
+    place = F.struct(F.col("did").isNull().alias("no_id"), "did", "row", "pos")
+    classes = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("at")))
+    parts = components(rows, classes, lines.count(), threshold)
+    linked = parts.select("node", F.col("h2").alias("_h2"), "component")
+    known = classes.join(small(stored(linked)), (F.col("h1") == F.col("node")) & (F.col("h2") == F.col("_h2")), "left").where("n > 1 OR node IS NOT NULL")
+    known = stored(known.select("h1", "h2", "at", "component"))
+    first = known.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("at").alias("keeper"))
+    kept = known.join(first, F.col("component") == F.col("c"), "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
+    kept = small(stored(kept.select("h1", "h2", F.col("keeper.row").alias("r"), F.col("keeper.did").alias("d"), F.col("keeper.pos").alias("i"))))
+    gone = lines.join(kept, ["h1", "h2"]).where("NOT (row = r AND did <=> d AND pos = i)")
+    return gone.groupBy("did", "row").agg(F.collect_set("pos").alias("gone"))
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """``(doc, text, n_lines, n_removed)``: each row as a struct, and its kept lines."""
+    gone = removed_lines(docs, id_col, text_col, threshold).select(F.col("did").alias("_did"), F.col("row").alias("_row"), "gone")
+    gone = small(stored(gone), F.size("gone"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = rows.select("doc", F.col(f"doc.`{id_col}`").cast("long").alias("did"), F.col(f"doc.`{text_col}`").cast("string").alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("did", "text"))
+    joined = rows.join(gone, F.col("did").eqNullSafe(F.col("_did")) & (F.col("row") == F.col("_row")), "left")
+    left = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone"))
+    kept = F.element_at(F.transform(F.array(F.split("text", "\n", -1)), lambda a: F.array_join(F.transform(left(a), lambda i: F.get(a, i)), "\n")), 1)
+    n = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    count = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(n).cast("long").alias("n_lines")
+    return joined.select("doc", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), count, F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of ``docs`` with the text's kept lines as ``text_col``, and two long columns: its number of lines, and of removed lines.
 
     Lines are what stands between line feeds. Of each component of lines linked by Jaccard >=
     threshold the first stays: by smallest id (null last), then position. Blank lines are left alone.
     Null and empty texts have no lines and stay as they are. Rows that repeat an id with equal text
     are one document and lose the same lines; with other text they are told apart by content. An
-    empty table gives an empty result; other columns pass through.
+    empty table gives an empty result; other columns pass through whatever their names, except that
+    columns named as ``counts`` are replaced.
     """
-    gone = _small(stored(removed_lines(docs, id_col, text_col, threshold).select(F.col("row").alias("__key"), F.col("gone").alias("__gone"))), F.size("__gone"))
-    keyed = docs.withColumn("__row", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)))
-    joined = keyed.join(gone, F.col("__row") == F.col("__key"), "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    n = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
-    out = joined.withColumn("__n_lines", F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, 0).otherwise(n).cast("long"))
-    out = out.withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept))
-    return out.select(*docs.columns, "__n_lines", "__n_removed")
+    done = _deduped(docs, id_col, text_col, threshold)
+    own = [F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in counts]
+    return done.select(*own, F.col("n_lines").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def keep_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with the kept lines as their texts; documents that lost all their lines go."""
-    done = dedup_lines(docs, id_col, text_col, threshold)
-    return done.where((F.col("__n_removed") == 0) | F.col(text_col).rlike(r"\S")).select(*docs.columns)
+    done = _deduped(docs, id_col, text_col, threshold).where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -74,7 +74,7 @@ FROM d LEFT JOIN r USING (doc_id)
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    return done.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), kept)
+    return done.select("doc_id", "n_lines", "n_removed", kept)
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import lines
-from siltstone.llm.common import connected_components, cut, partitions, split_buckets, stored, stream_groups, words_of
+from siltstone.llm.common import connected_components, partitions, small, split_buckets, stored, stream_groups, words_of
 
 #: Most rows of one part of a bucket; a block compares two parts at once.
 PART = 4096
+#: Words of a shingle where texts are compared by a similarity, and values and number of the bands that find them.
+WORDS, ROWS, TABLES = 5, 4, 24
+_ODD = np.random.default_rng(19).integers(0, 1 << 63, ROWS * TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: str | None, shingle_words: int, seed: int = 42) -> np.ndarray:
@@ -47,17 +50,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``(id_col, fp long)`` for each row; null and wordless texts have fingerprint 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([majority(shingle_hashes(t, shingle_words)) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"{id_col} long, fp long")
-
-
 def masks(radius: int, seed: int = 7) -> list[int]:
     """The 2^(radius+1) - 1 table masks over 64 bits, as signed longs."""
     width = radius + 1
@@ -111,43 +103,83 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return blocks.select("fp", *keys).repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def similar_links(docs: DataFrame, text_col: str, shingle_words: int, similarity: float, words: int = 5) -> DataFrame:
-    """Edges between the fingerprints of texts whose Jaccard over ``words``-word shingles reaches ``similarity``; exact.
+def _minhash(hashes: np.ndarray, rows: int = ROWS, tables: int = TABLES) -> tuple[int, np.ndarray]:
+    """A sketch of 63 bits and the band keys of a set of hashes."""
+    odd = _ODD[: rows * tables]
+    low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(low, (hashes[at : at + 2048, None] * odd).min(0), out=low)
+    bits = (low[:63] >> np.uint64(24)) & np.uint64(1)
+    keys = np.arange(1, tables + 1, dtype=np.uint64)
+    for column in low.reshape(tables, rows).T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return int((bits << np.arange(63, dtype=np.uint64)).sum()), keys.view(np.int64)
 
-    Sets of n shingles that reach it share one of the first n - ceil(similarity * n) + 1 of either by
-    hash order. These are the keys of buckets, inside which all links are found as among lines.
-    """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, int]]:
-        for b in batches:
-            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.unique(shingle_hashes(t, words).view(np.int64))
-                if len(s):
-                    yield row, t, s, int(np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64))
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: bool) -> DataFrame:
+    """``(id, t, fp)`` of each row, t a hash of its text; for ``similar`` also ``u, n, sk, keys``: of the set of its ``WORDS``-word shingles a hash, the size, a sketch and the band keys (null without words)."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, t, s, u in each(batches):
-            fp = int(np.uint64(majority(shingle_hashes(t, shingle_words))).astype(np.int64))
-            keys = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (row, u, fp)] + [pa.array([keys], pa.list_(pa.int64()))], names=["row", "u", "fp", "keys"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = np.array([majority(shingle_hashes(t, shingle_words)) for t in texts], np.uint64)
+            columns = [b.column(0), b.column(1), pa.array(fp.view(np.int64))]
+            if similar:
+                more = []
+                for t in texts:
+                    s = np.unique(shingle_hashes(t, WORDS))
+                    more.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64).item(), len(s), *_minhash(s)) if len(s) else (None,) * 4)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+                columns += [pa.array(c, k) for c, k in zip(zip(*more, strict=True) if more else [[]] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["id", "t", "fp"] + ["u", "n", "sk", "keys"] * similar
+    kinds = "id long, t long, fp long" + ", u long, n int, sk long, keys array<long>" * similar
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, kinds)
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """Edges between the fingerprints of texts whose Jaccard over ``WORDS``-word shingles reaches ``similarity``.
+
+    A radius that takes in such texts would need 2^17 covering tables, so these are found by MinHash:
+    ``TABLES`` bands of ``ROWS`` values miss a pair at 0.8 with a probability below 1e-5, and the
+    links inside the bands' buckets are worked out exactly as among lines.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, s, u in each(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([s], pa.list_(pa.int64()))], names=["h1", "line"])
-
-    rows = docs.select(F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    marked = stored(rows.mapInArrow(mark, "row long, u long, fp long, keys array<long>"))
-    classes = stored(marked.groupBy("u").agg(F.min("fp").alias("one"), F.min("row").alias("row")))
-    banded = marked.dropDuplicates(["u"]).select(F.col("u").alias("h1"), F.explode("keys").alias("k"))
-    seen = stored(lines.neighbours(banded))
-    wanted = classes.join(seen.select(F.col("h1").alias("u")).distinct(), "u", "left_semi").select("row")
-    sets = stored(rows.join(wanted, "row", "left_semi").mapInArrow(whole, "h1 long, line array<long>").dropDuplicates(["h1"]))
-    parts = lines.settled(seen, sets, similarity, lambda s: s)
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, WORDS).view(np.int64)) for t in b.column(0).to_pylist()]
+            names = [np.uint64(xxhash.xxh64_intdigest(np.sort(s.view(np.uint64)).tobytes())).view(np.int64).item() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())], names=["h1", "line", "n"])
+
+    some = marked.where("u IS NOT NULL")
+    classes = stored(some.groupBy("u").agg(F.min("fp").alias("one"), F.min("t").alias("t")))
+    banded = some.select("u", "sk", "keys").dropDuplicates(["u"]).select(F.col("u").alias("h1"), "sk", F.explode("keys").alias("k"))
+    most = lines.most_apart(63, similarity, ROWS, 1e-5)
+    blocks = stored(lines.near_blocks(stored(lines.shared(banded)), 63, most))
+    wanted = small(classes.join(blocks.select(F.col("h1").alias("u")).distinct(), "u", "left_semi").select(F.col("t").alias("_t")).distinct())
+    text = F.col(text_col).cast("string")
+    found = docs.select(text.alias("text"), F.xxhash64(text).alias("t")).join(wanted, F.col("t") == F.col("_t"), "left_semi")
+    sets = stored(found.select("text").mapInArrow(whole, "h1 long, line array<long>, n int").dropDuplicates(["h1"]))
+    parts = lines.settled(blocks, sets, 63, most, similarity, lambda s: s)
     ends = parts.join(classes.select(F.col("u").alias("node"), F.col("one").alias("a")), "node").join(classes.select(F.col("u").alias("component"), F.col("one").alias("b")), "component").select("a", "b")
-    same = marked.select("u", "fp").distinct().join(classes, "u").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+    same = some.select("u", "fp").distinct().join(classes, "u").select(F.col("fp").alias("a"), F.col("one").alias("b"))
     return ends.union(same).where("a <> b").distinct()
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, radius: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """The marked rows, and ``(fp, root)`` of each fingerprint."""
+    marked = stored(_marked(docs, id_col, text_col, shingle_words, similarity is not None))
+    classes = marked.select("fp").distinct()
+    edges = links(classes, radius)
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, marked, text_col, similarity))
+    found = connected_components(edges)
+    return marked, classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """``(id_col, fp long, component_id long)``: one row per input row.
 
@@ -159,24 +191,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns are not read, so clashing names do no harm. With ``similarity``, texts whose Jaccard over
     five-word shingles reaches it are linked too, whatever their fingerprints.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    classes = fps.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    edges = links(classes.select("fp"), radius)
-    if similarity is not None:
-        edges = edges.union(similar_links(docs, text_col, shingle_words, similarity))
-    found = connected_components(edges)
-    labelled = classes.join(found, classes.fp == found.node, "left").select("fp", "_least", F.coalesce("component", "fp").alias("_root"))
-    least = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    return fps.join(labelled.join(least, "_root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    marked, labelled = _labelled(docs, id_col, text_col, shingle_words, radius, similarity)
+    ids = marked.groupBy("fp").agg(F.min("id").alias("least")).join(labelled, "fp")
+    least = ids.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(ids.join(least, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
-    """Keep one document of each component: the one with the smallest id.
+    """Keep one document of each component: the one with the smallest id (null last), then by a hash of the text.
 
-    All columns of ``docs`` are returned. Rows that repeat the id of a kept document all have its
-    content class and stay only once if they are the same document: of rows with equal id one is
-    kept. Rows with a null id cannot name a component and are kept.
+    All columns of ``docs`` are returned, whatever their names. Rows that repeat an id with another
+    text are documents of their own; of rows with equal id and text one stays, whichever. An empty
+    table gives an empty result.
     """
-    keep = simhash_components(docs, id_col, text_col, shingle_words, radius, similarity).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("_keep"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    marked, labelled = _labelled(docs, id_col, text_col, shingle_words, radius, similarity)
+    ranked = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("first"))
+    first = ranked.join(labelled, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_id"), F.col("first.t").alias("_t"))
+    again = marked.groupBy("id", "t").agg(F.count("*").alias("m")).where("m > 1")
+    first = stored(first.join(again, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_t") == F.col("t")), "left").select("_id", "_t", F.col("m").isNotNull().alias("_again")))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    rows = rows.select("doc", F.col(f"doc.`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"doc.`{text_col}`").cast("string")).alias("t"))
+    kept = rows.join(small(first), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    out = kept.where("NOT _again")
+    if first.where("_again").head(1):
+        out = out.union(kept.where("_again").dropDuplicates(["id", "t"]))
+    return out.select("doc.*")

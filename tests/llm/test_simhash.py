@@ -74,7 +74,17 @@ def test_blocks_of_large_buckets_lose_no_link(spark, monkeypatch):
 def test_drop_keeps_one_of_each_component_and_all_columns(spark):
     rows = [(1, "a b c d", "x"), (2, "a b c d", "y"), (2, "a b c d", "y"), (3, "completely other words here now", "z"), (None, "a b c d", "n")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    assert sorted((r[0] or 0, r[2]) for r in kept) == [(0, "n"), (1, "x"), (3, "z")]
+    assert sorted((r[0] or 0, r[2]) for r in kept) == [(1, "x"), (3, "z")]
+
+
+def test_drop_tells_rows_with_one_id_apart_and_takes_any_names(spark):
+    rows = [(1, "a b c d", "x", "k", 1), (1, "words of another document are here", "y", "l", 2), (1, "a b c d", "x", "k", 1), (None, "quite a third text that has no id", "z", "m", 3)]
+    names = ["doc_id", "text", "_keep", "doc", "t"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep string, doc string, t int")
+    for similarity in (None, 0.8):
+        kept = simhash.drop_near_duplicates(docs, similarity=similarity)
+        assert kept.columns == names and sorted(r["t"] for r in kept.collect()) == [1, 2, 3]
+        assert simhash.drop_near_duplicates(docs.limit(0), similarity=similarity).collect() == []
 
 
 def test_empty(spark):
