@@ -9,82 +9,50 @@ cutting pieces out of the least filled sequences, so that at most one sequence o
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
-#: Whole pieces and words whose ids a Python worker remembers; the cache is emptied at this size.
-CACHE = 900_000
-#: A space at either end of a text or beside other white space.
-ODD = re.compile(r"^ | $|\s | \s")
+#: Fixed value: how the byte-level vocabularies of this kind cut a text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, tiktoken.Encoding] = {}
 
 
-class PieceEncoder:
-    """Ids of a byte-level BPE vocabulary of the tokenizers library, remembered by piece.
+def _letters() -> dict[str, int]:
+    """The byte that each character of a vocabulary file stands for: printable ones for themselves, the others for the characters from 256 on, in order."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    The library splits a text into pieces that are encoded alone. A single space between two other
-    characters that are not white space always starts a piece, so a text whose spaces all stand so
-    can be cut there and each part looked up; any other text is split by the library as a whole.
-    A piece of letters ends before a full stop or comma. Ids must be below 65,536; they are kept as
-    two bytes each.
-    """
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        if tok.normalizer is not None or tok.get_vocab_size() > 1 << 16:
-            raise ValueError("a vocabulary of at most 65,536 ids without a normalizer is needed")
-        self.split, self.model = tok.pre_tokenizer.pre_tokenize_str, tok.model
-        self.parts: dict[str, bytes] = {}  # by the part without the space before it
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = np.array([x.id for x in self.model.tokenize(piece)], "<u2").tobytes()
-            if len(self.pieces) >= CACHE // 8:
-                self.pieces.clear()
-            if len(piece) <= 64:
-                self.pieces[piece] = got
-        return got
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a space and the part."""
-        if part[-1] in ".," and part[:-1].isalpha():
-            got = (self.parts.get(part[:-1]) or self._part(part[:-1])) + self._piece(part[-1])
-        else:
-            got = b"".join([self._piece(p) for p, _ in self.split(f" {part}")])
-        if len(self.parts) >= CACHE:
-            self.parts.clear()
-        if len(part) <= 64:
-            self.parts[part] = got
-        return got
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u2")
-        if ODD.search(text):
-            return np.frombuffer(b"".join([self._piece(p) for p, _ in self.split(text)]), "<u2")
-        known, part = self.parts.get, self._part
-        first, *words = text.split(" ")
-        out = [self._piece(p) for p, _ in self.split(first)]
-        out += [known(w) or part(w) for w in words]
-        return np.frombuffer(b"".join(out), "<u2")
-
-
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each vocabulary and Python worker."""
+def encoder(path: str) -> tiktoken.Encoding:
+    """One encoder for each vocabulary file of the tokenizers library and Python worker.
+
+    The file must hold a byte-level BPE without a normalizer whose merges stand in the order of
+    their ids, as a merge is then told by the id of its result. The strings of special tokens are
+    ordinary text.
+    """
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        before, model = file["pre_tokenizer"] or {}, file["model"]
+        special = {t["id"] for t in file["added_tokens"]}
+        vocab = {t: i for t, i in model["vocab"].items() if i not in special}
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        whole = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        if file["normalizer"] or model["type"] != "BPE" or not whole or merged != sorted(merged):
+            raise ValueError("a byte-level BPE vocabulary without a normalizer, its merges in the order of ids, is needed")
+        letters = _letters()
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+        _encoders[path] = tiktoken.Encoding(path, pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
@@ -151,7 +119,8 @@ def pack_documents(
     executor. Each document's ids end with ``end_id``, so that null, empty and blank texts still give
     one token. Groups hold about ``group_chars`` characters and never less than one whole document;
     their number follows the input, and equal input gives equal sequences. Repeated rows are packed
-    each on its own; null ids are packed like others. An empty table gives no rows; columns but the
+    each on its own; null ids are packed like others, dealt
+    by their text. An empty table gives no rows; columns but the
     two named are not read. padded_to is the sequence's length with its padding: capacity, or the
     sequence's own length where that is a power of two.
     """
@@ -162,17 +131,16 @@ def pack_documents(
         group = key[0].as_py()
         rows = [(d, t or "") for b in batches for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        enc, tail = encoder(vocabulary), np.array([end_id], "<u2")
-        ids = []
+        encode, ids = encoder(vocabulary).encode_ordinary, []
         for i, (d, t) in enumerate(rows):
-            ids.append(np.concatenate([enc.encode(t), tail]))
+            ids.append(np.array([*encode(t), end_id], "<u4"))
             rows[i] = (d, None)
         out: list[tuple] = []
         for s, pieces in enumerate(pack([len(x) for x in ids], capacity)):
             offset, length = 0, sum(p[2] for p in pieces)
             padded = length if length & (length - 1) == 0 else capacity
             for d, start, n in pieces:
-                crc = zlib.crc32(ids[d][start : start + n].astype("<u4").tobytes())
+                crc = zlib.crc32(ids[d][start : start + n])
                 out.append((rows[d][0], start, n, crc, len(ids[d]), (group << 32) + s, offset, padded))
                 offset += n
         for at in range(0, len(out), 10_000):
@@ -180,6 +148,6 @@ def pack_documents(
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long")), F.lit(groups)).alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(groups)).alias("group"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     return dealt.groupBy("group").applyInArrow(run, SCHEMA)

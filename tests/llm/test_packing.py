@@ -59,7 +59,7 @@ def test_empty_and_repeated_rows(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab .,'s\n\t 1é日  ªʰ²<|>"), max_size=40))
 def test_ids_are_the_tokenizers(tokenizer, text):
-    assert packing.encoder(PATH).encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -79,3 +79,21 @@ def test_first_fit_is_the_first_with_room():
         want = next(i for i, f in enumerate(free) if f >= n)
         free[want] -= n
         assert tree.place(n) == want
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(PATH, encoding="utf-8"))
+    file["model"]["merges"][:2] = file["model"]["merges"][1::-1]
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    with pytest.raises(ValueError):
+        packing.encoder(str(tmp_path / "v.json"))
+
+
+def test_ids_of_every_kind_of_character_are_the_tokenizers(tokenizer):
+    for at in range(0, 0xD800, 64):
+        text = " ".join(f"a{chr(c)} {chr(c)}b{chr(c)}{chr(c)}1 {chr(c)}1" for c in range(at, at + 64))
+        assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    for text in (" " * 50_000 + "x", "a" * 50_000, "!?" * 20_000, "x \n" * 20_000):
+        assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
