@@ -54,14 +54,14 @@ def _seeds(order: int) -> list[int]:
 
 
 def sketch_bits(values: int) -> int:
-    """Bits that a value has in the sketch of 64."""
+    """Bits that a value has in each of the two sketches of 64."""
     return 64 // values if values > 16 else 4
 
 
 def most_apart(values: int, threshold: float, shared: int, miss: float = 0.003) -> int:
     """The most values in whose low bits two sets of that Jaccard that share a band of ``shared`` values differ, but with a probability of ``miss``."""
     free = values - shared
-    p = (1 - threshold) * (1 - 0.5 ** sketch_bits(values))
+    p = (1 - threshold) * (1 - 0.25 ** sketch_bits(values))
     tail, t = 1.0, -1
     while tail > miss:
         t += 1
@@ -108,28 +108,31 @@ def signatures(docs: DataFrame, text_col: str, order: int) -> DataFrame:
 
 
 def banded(classes: DataFrame, order: int) -> DataFrame:
-    """``(k, h1, sk)``: a row for each class and band, with the low bits of its values."""
+    """``(k, h1, sk, s2)``: a row for each class and band, with the low bits of its values."""
     n = order * order
     low = sketch_bits(n)
-    sketch = [F.shiftleft(F.col(f"v{i}").bitwiseAND(F.lit((1 << low) - 1)), low * i) for i in range(n)]
-    sk = sketch[0]
-    for c in sketch[1:]:
-        sk = sk.bitwiseOR(c)
+
+    def sketch(skip: int) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(n):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"v{i}", skip).bitwiseAND(F.lit((1 << low) - 1)), low * i))
+        return out
+
     keys = F.array(*[F.xxhash64(F.lit(j), *[f"v{i}" for i in b]) for j, b in enumerate(bands(order))])
-    return classes.select("h1", sk.alias("sk"), F.explode(keys).alias("k"))
+    return classes.select("h1", sketch(0).alias("sk"), sketch(low).alias("s2"), F.explode(keys).alias("k"))
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows ``(k, h1, sk)`` of buckets of two and more."""
+    """The rows ``(k, h1, sk, s2)`` of buckets of two and more."""
     bucket = W.partitionBy("k").orderBy("h1")
-    seen = rows.select("k", "h1", "sk", F.lag("h1", 1).over(bucket).alias("p"), F.lead("h1", 1).over(bucket).alias("x"))
-    return seen.where("p IS NOT NULL OR x IS NOT NULL").select("k", "h1", "sk")
+    seen = rows.select("k", "h1", "sk", "s2", F.lag("h1", 1).over(bucket).alias("p"), F.lead("h1", 1).over(bucket).alias("x"))
+    return seen.where("p IS NOT NULL OR x IS NOT NULL").select("k", "h1", "sk", "s2")
 
 
-def apart(a: Column, b: Column, values: int) -> Column:
-    """In how many values' low bits two sketches differ."""
+def apart(a: tuple[Column, Column], b: tuple[Column, Column], values: int) -> Column:
+    """In how many values' low bits two pairs of sketches differ."""
     low = sketch_bits(values)
-    x = a.bitwiseXOR(b)
+    x = a[0].bitwiseXOR(b[0]).bitwiseOR(a[1].bitwiseXOR(b[1]))
     y = x
     for i in range(1, low):
         y = y.bitwiseOR(F.shiftrightunsigned(x, i))
@@ -144,25 +147,34 @@ def _alike(sets: Column, na: Column, nb: Column, threshold: float) -> Column:
 
 
 BLOCK = ["k", "lo", "hi"]
+#: Most classes of a block that gives its pairs.
+SMALL = 64
 
 
 def near_blocks(seen: DataFrame, values: int, most: int) -> DataFrame:
-    """``(k, lo, hi, part, h1, sk)``: the classes that agree in enough values with another of their bucket, in blocks; no pair leaves the join."""
-    blocks = stored(split_buckets(seen, ["k"], PART, F.col("h1")).select(*BLOCK, "part", "h1", "sk"))
+    """``(k, lo, hi, part, h1, sk, s2)``: the classes that agree in enough values with another of their bucket, in blocks; no pair leaves the join."""
+    blocks = stored(split_buckets(seen, ["k"], PART, F.col("h1")).select(*BLOCK, "part", "h1", "sk", "s2"))
     other = blocks.select(*[F.col(c).alias(f"_{c}") for c in blocks.columns])
     same = (F.col("k") == F.col("_k")) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))
     meet = (F.col("h1") != F.col("_h1")) & ((F.col("lo") == F.col("hi")) | (F.col("part") != F.col("_part")))
-    near = apart(F.col("sk"), F.col("_sk"), values) <= most
+    near = apart((F.col("sk"), F.col("s2")), (F.col("_sk"), F.col("_s2")), values) <= most
     return blocks.join(other, same & meet & near, "left_semi")
 
 
 def first_links(blocks: DataFrame, texts: DataFrame, values: int, most: int, threshold: float, set_of: Callable[[Column], Column]) -> DataFrame:
     """Edges ``(a, b)`` of a block's classes with its first one by h1 and with the two before them by the sketch's order, in which like ones stand together."""
     ranked = W.partitionBy(*BLOCK).orderBy("sk", "h1")
-    firsts = W.partitionBy(*BLOCK).orderBy("sk", "h1").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    seen = blocks.select("h1", "sk", F.struct(F.min("h1").over(firsts).alias("h1"), F.min_by("sk", "h1").over(firsts).alias("sk")).alias("f"), *[F.lag(F.struct("h1", "sk"), i).over(ranked).alias(x) for i, x in ((1, "p"), (2, "q"))])
-    met = seen.select("h1", "sk", F.explode(F.array("f", "p", "q")).alias("o")).where((F.col("h1") != F.col("o.h1")) & (apart(F.col("sk"), F.col("o.sk"), values) <= most))
+    every = ranked.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = F.struct(F.min("h1").over(every).alias("h1"), *[F.min_by(c, "h1").over(every).alias(c) for c in ("sk", "s2")])
+    before = [F.lag(F.struct("h1", "sk", "s2"), i).over(ranked) for i in (1, 2)]
+    met = blocks.select("h1", "sk", "s2", F.array(first, *before).alias("others")).select("h1", "sk", "s2", F.explode("others").alias("o"))
+    met = met.where((F.col("h1") != F.col("o.h1")) & (apart((F.col("sk"), F.col("s2")), (F.col("o.sk"), F.col("o.s2")), values) <= most))
     pairs = met.select(F.least("h1", "o.h1").alias("a"), F.greatest("h1", "o.h1").alias("b")).distinct()
+    return _verified(pairs, texts, threshold, set_of)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, set_of: Callable[[Column], Column]) -> DataFrame:
+    """The pairs ``(a, b)`` whose Jaccard reaches the threshold."""
     end = lambda x: texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
     both = pairs.join(end("a"), "a").join(end("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     return both.where(_alike(F.struct(*[set_of(F.col(f"l{x}")).alias(x) for x in "ab"]), F.col("na"), F.col("nb"), threshold)).select("a", "b")
@@ -172,18 +184,23 @@ def rest_links(blocks: DataFrame, parts: DataFrame, texts: DataFrame, values: in
     """Edges ``(a, b)`` between classes of a block that no link has joined yet.
 
     Blocks whose classes all are in one component are done. In the others every pair of classes of
-    different components that agree in enough values is compared; only links leave the join.
+    different components that agree in enough values is compared. A small block gives its pairs,
+    which other blocks may give too, once; from a large one only links leave the join.
     """
-    named = blocks.join(parts, F.col("h1") == F.col("node"), "left").select(*BLOCK, "part", "h1", "sk", F.coalesce("component", "h1").alias("c"))
-    still = named.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 2 AND c0 <> c1").select(*BLOCK)
-    full = stored(named.join(still, BLOCK).join(texts, "h1").select(*BLOCK, "part", "h1", "sk", "c", "line", "n"))
-
-    def side(x: str) -> DataFrame:  # the line is shuffled, not its shingles
-        own = "part = lo" if x == "a" else "part = hi"
-        return full.where(own).repartition(*BLOCK).select(*BLOCK, F.col("h1").alias(x), F.col("c").alias(f"c{x}"), F.col("sk").alias(f"k{x}"), F.col("n").alias(f"n{x}"), set_of(F.col("line")).alias(f"s{x}"))
-
-    meet = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (apart(F.col("ka"), F.col("kb"), values) <= most)
-    return side("a").join(side("b"), BLOCK).where(meet & _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    named = blocks.join(parts, F.col("h1") == F.col("node"), "left").select(*BLOCK, "part", "h1", "sk", "s2", F.coalesce("component", "h1").alias("c"))
+    still = named.groupBy(*BLOCK).agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 AND c0 <> c1").select(*BLOCK, "m")
+    full = stored(named.join(still, BLOCK))
+    meet = (F.col("ca") != F.col("cb")) & ((F.col("lo") < F.col("hi")) | (F.col("a") < F.col("b"))) & (apart((F.col("ka"), F.col("la")), (F.col("kb"), F.col("lb")), values) <= most)
+
+    def ends(rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.where(own).repartition(*BLOCK).select(*BLOCK, *[F.col(c).alias(f"{p}{x}" if p else x) for c, p in (("h1", ""), ("c", "c"), ("sk", "k"), ("s2", "l"))], *[c.alias(f"{p}{x}") for c, p in zip(more, "ns", strict=False)]) for x, own in (("a", "part = lo"), ("b", "part = hi")))
+
+    a, b = ends(full.where(F.col("m") <= SMALL))
+    links = _verified(a.join(b, BLOCK).where(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, threshold, set_of)
+    large = full.where(F.col("m") > SMALL).join(texts, "h1").select(*full.columns, "line", "n")  # the line is shuffled, not its shingles
+    a, b = ends(large, F.col("n"), set_of(F.col("line")))
+    alike = _alike(F.struct(F.col("sa").alias("a"), F.col("sb").alias("b")), F.col("na"), F.col("nb"), threshold)
+    return links.union(a.join(b, BLOCK).where(meet & alike).select("a", "b"))
 
 
 def settled(blocks: DataFrame, texts: DataFrame, values: int, most: int, threshold: float, set_of: Callable[[Column], Column] = shingles) -> DataFrame:

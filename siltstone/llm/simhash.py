@@ -103,22 +103,23 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return blocks.select("fp", *keys).repartition(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _minhash(hashes: np.ndarray, rows: int = ROWS, tables: int = TABLES) -> tuple[int, np.ndarray]:
-    """A sketch of 63 bits and the band keys of a set of hashes."""
+def _minhash(hashes: np.ndarray, rows: int = ROWS, tables: int = TABLES) -> tuple[int, int, np.ndarray]:
+    """Two sketches of 63 bits and the band keys of a set of hashes."""
     odd = _ODD[: rows * tables]
     low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(low, (hashes[at : at + 2048, None] * odd).min(0), out=low)
-    bits = (low[:63] >> np.uint64(24)) & np.uint64(1)
+    place = np.arange(63, dtype=np.uint64)
+    one, two = (int((((low[:63] >> np.uint64(at)) & np.uint64(1)) << place).sum()) for at in (24, 25))
     keys = np.arange(1, tables + 1, dtype=np.uint64)
     for column in low.reshape(tables, rows).T:
         keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
         keys ^= keys >> np.uint64(31)
-    return int((bits << np.arange(63, dtype=np.uint64)).sum()), keys.view(np.int64)
+    return one, two, keys.view(np.int64)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similar: bool) -> DataFrame:
-    """``(id, t, fp)`` of each row, t a hash of its text; for ``similar`` also ``u, n, sk, keys``: of the set of its ``WORDS``-word shingles a hash, the size, a sketch and the band keys (null without words)."""
+    """``(id, t, fp)`` of each row, t a hash of its text; for ``similar`` also ``u, n, sk, s2, keys``: of the set of its ``WORDS``-word shingles a hash, the size, sketches and the band keys (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,13 +130,13 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sim
                 more = []
                 for t in texts:
                     s = np.unique(shingle_hashes(t, WORDS))
-                    more.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64).item(), len(s), *_minhash(s)) if len(s) else (None,) * 4)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                columns += [pa.array(c, k) for c, k in zip(zip(*more, strict=True) if more else [[]] * 4, kinds, strict=True)]
+                    more.append((np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64).item(), len(s), *_minhash(s)) if len(s) else (None,) * 5)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                columns += [pa.array(c, k) for c, k in zip(zip(*more, strict=True) if more else [[]] * 5, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["id", "t", "fp"] + ["u", "n", "sk", "keys"] * similar
-    kinds = "id long, t long, fp long" + ", u long, n int, sk long, keys array<long>" * similar
+    names = ["id", "t", "fp"] + ["u", "n", "sk", "s2", "keys"] * similar
+    kinds = "id long, t long, fp long" + ", u long, n int, sk long, s2 long, keys array<long>" * similar
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(run, kinds)
 
@@ -156,7 +157,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, text_col: str, similarity:
 
     some = marked.where("u IS NOT NULL")
     classes = stored(some.groupBy("u").agg(F.min("fp").alias("one"), F.min("t").alias("t")))
-    banded = some.select("u", "sk", "keys").dropDuplicates(["u"]).select(F.col("u").alias("h1"), "sk", F.explode("keys").alias("k"))
+    banded = some.select("u", "sk", "s2", "keys").dropDuplicates(["u"]).select(F.col("u").alias("h1"), "sk", "s2", F.explode("keys").alias("k"))
     most = lines.most_apart(63, similarity, ROWS, 1e-5)
     blocks = stored(lines.near_blocks(stored(lines.shared(banded)), 63, most))
     wanted = small(classes.join(blocks.select(F.col("h1").alias("u")).distinct(), "u", "left_semi").select(F.col("t").alias("_t")).distinct())

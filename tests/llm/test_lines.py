@@ -91,6 +91,7 @@ def test_shuffled_joins_and_small_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(common, "MOST_BROADCAST", -1)
     monkeypatch.setattr(lines, "PART", 7)
+    monkeypatch.setattr(lines, "SMALL", 2)
     want = dict(zip([d for d, _ in rows], plain(rows)))
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs).collect()} == want
 
@@ -150,9 +151,13 @@ def test_shingles_stand_at_every_place(spark):
 
 def test_sketches_differ_in_as_many_values(spark):
     r = random.Random(2)
-    for values in (16, 25, 49):
+    for values in (16, 25, 49, 63):
         low = lines.sketch_bits(values)
-        a, b = ([r.getrandbits(low) for _ in range(values)] for _ in range(2))
-        number = lambda v: sum(x << (low * i) for i, x in enumerate(v)) if sum(x << (low * i) for i, x in enumerate(v)) < 1 << 63 else sum(x << (low * i) for i, x in enumerate(v)) - (1 << 64)
-        got = spark.range(1).select(lines.apart(F.lit(number(a)), F.lit(number(b)), values)).first()[0]
-        assert got == sum(x != y for x, y in zip(a, b))
+        pairs = [[[r.getrandbits(low) if r.random() < 0.5 else 0 for _ in range(values)] for _ in range(2)] for _ in range(2)]
+
+        def column(v):
+            n = sum(x << (low * i) for i, x in enumerate(v))
+            return F.lit(n - (1 << 64) if n >> 63 else n)
+
+        got = spark.range(1).select(lines.apart(*[tuple(map(column, p)) for p in pairs], values)).first()[0]
+        assert got == sum(x != y for x, y in zip(zip(*pairs[0]), zip(*pairs[1])))
