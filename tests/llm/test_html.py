@@ -46,6 +46,39 @@ def test_cut_is_the_least_of_all_labellings():
         assert abs(cost(html.min_cut(scores, edges)) - min(cost(y) for y in itertools.product([False, True], repeat=n))) < 1e-6
 
 
+def test_the_cut_corrects_what_a_blocks_own_text_says():
+    """Planted wrong scores: long texts in boilerplate, bare words in an article."""
+    long = "A long text, with commas, full stops. It reads like an article of its own, and goes on. " * 3
+    r, corrected = random.Random(5), 0
+    for _ in range(40):
+        inside = [long if r.random() < 0.5 else r.choice(["Yes", "1984", "The end", "Table two"]) for _ in range(r.randint(1, 9))]
+        outside = [long if r.random() < 0.6 else r.choice(["Log in", "Share"]) for _ in range(r.randint(1, 9))]
+        tags = [r.choice(["p", "div", "li"]) for _ in outside]
+        away = r.choice(["aside", 'div class="comments"', 'section id="related"', "footer"])
+        name = away.split()[0]
+        main = r.choice(["article", "main"])
+        text = page(f"<{main}>" + "".join(f"<p>{x}</p>" for x in inside) + f"</{main}><{away}><div>" + "".join(f"<{k}>{x}</{k}>" for k, x in zip(tags, outside)) + f"</div></{name}>")
+        found, tree = html.blocks(text)
+        kept = [b.text for b, ok in zip(found, html.label(found, tree)) if ok]
+        assert kept == [x.strip() for x in inside]
+        corrected += sum((html.score(b) > 0) != ok for b, ok in zip(found, html.label(found, tree)))
+    assert corrected > 60
+    text = "<body><div>" + "".join(f"<p>{x}</p>" for x in (long, long, "Yes", long, long)) + '</div><ul><li><a href="a">One</a></li><li><a href="b">Two</a></li></ul></body>'
+    assert html.main_text(text) == "\n\n".join([long.strip(), long.strip(), "Yes", long.strip(), long.strip()])
+
+
+def test_long_and_deep_pages():
+    import time
+
+    began = time.time()
+    each = "".join(f"<p>Paragraph number {i}, of some length, with words.</p><div class='x'><a href=z>Buy {i}</a></div>" for i in range(50_000))
+    found, tree = html.blocks(page(each))
+    assert len(found) == 100_000 and sum(html.label(found, tree)) > 0
+    deep = page("<div>" * 30_000 + "<p>Text, in depth, of an article.</p>" + "</div>" * 30_000 + "<p>More of it, here.</p>")
+    assert html.main_text(deep).count("\n\n") == 1
+    assert time.time() - began < 40
+
+
 def test_long_pages():
     body = "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(3000))
     assert html.main_text(page(f"{MENU}<article>{body}</article>{FOOT}")).count("\n\n") == 2999
