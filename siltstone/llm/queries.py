@@ -38,13 +38,24 @@ WITH RECURSIVE d AS (
   SELECT source, source_size::BIGINT AS source_size, CASE WHEN stopped THEN 3 * source_size ELSE w * level END AS target FROM r WHERE n = (SELECT max(n) FROM r)
 ), q AS (
   SELECT d.*, t.source_size, t.target, (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS st FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), p AS (
-  SELECT *, greatest(0, least(size, round(target)::BIGINT - st)) AS p0, greatest(0, least(size, round(target)::BIGINT - st - source_size)) AS p1, greatest(0, least(size, round(target)::BIGINT - st - 2 * source_size)) AS p2 FROM q
+), u AS (
+  SELECT *, unnest(generate_series(0, least(2, floor((target - st) / source_size)::BIGINT))) AS turn FROM q WHERE size > 0 AND target > 0 AND st <= target
+), e AS (
+  SELECT *, CASE WHEN st + turn * source_size + size > target THEN ceil(size / 1000.0::DOUBLE)::BIGINT ELSE size END AS pk FROM u
+), g AS (
+  SELECT *, unnest(generate_series(0, (size - 1) // pk)) AS j FROM e
+), h AS (
+  SELECT *, least(pk, size - j * pk) AS n, (st + turn * source_size + j * pk + least(pk, size - j * pk))::DOUBLE / target AS vf FROM g
+), o AS (
+  SELECT *, sum(n) OVER (ORDER BY vf, source IS NOT NULL, source, turn, j, k, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, (SELECT round(sum(target)) FROM t)::BIGINT AS budget FROM h
+), y AS (
+  SELECT source, k, doc_id, size, turn, sum(greatest(0, least(n, budget - upto + n))) AS p FROM o GROUP BY ALL
+), z AS (
+  SELECT source, k, doc_id, size, sum(p)::BIGINT AS taken, sum(CASE WHEN 2 * p >= size THEN 1 ELSE 0 END)::INTEGER AS copies FROM y WHERE p > 0 GROUP BY ALL
 )
-SELECT doc_id, size, source_size, target, (p0 + p1 + p2)::BIGINT AS taken,
-  (CASE WHEN size > 0 AND 2 * p0 >= size THEN 1 ELSE 0 END + CASE WHEN size > 0 AND 2 * p1 >= size THEN 1 ELSE 0 END + CASE WHEN size > 0 AND 2 * p2 >= size THEN 1 ELSE 0 END)::INTEGER AS copies,
-  CASE WHEN target > 0 THEN (st + size) / target END AS virtual_finish
-FROM p
+SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(z.taken, 0)::BIGINT AS taken, coalesce(z.copies, 0)::INTEGER AS copies,
+  CASE WHEN target > 0 THEN (st + q.size) / target END AS virtual_finish
+FROM q LEFT JOIN z ON q.source IS NOT DISTINCT FROM z.source AND q.k = z.k AND q.doc_id IS NOT DISTINCT FROM z.doc_id
 """
 
 

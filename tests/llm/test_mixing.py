@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import mixing
 
@@ -26,14 +27,23 @@ def plain(rows):
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + size(t)
-    targets, out = plain_targets(sizes), {}
+    targets, queue, out = plain_targets(sizes), [], {}
     for source in sizes:
         own = sorted(((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d, size(t)) for d, t, s in rows if s == source))
         at = 0
         for _, d, n in own:
-            out[d] = n, sizes[source], targets[source], sum(max(0, min(n, round(targets[source]) - at - r * sizes[source])) for r in range(3))
+            out[d] = [n, sizes[source], targets[source], 0]
+            for turn in range(3 if targets[source] else 0):
+                start = at + turn * sizes[source]
+                if n and start <= targets[source]:
+                    each = n if start + n <= targets[source] else -(-n // mixing.PACKETS)
+                    queue += [((start + min(j + each, n)) / targets[source], source is not None, source or "", turn, j, d, min(each, n - j)) for j in range(0, n, each)]
             at += n
-    return out
+    left = round(sum(targets.values()))
+    for *_, d, n in sorted(queue):
+        out[d][3] += min(n, left)
+        left -= min(n, left)
+    return {d: tuple(x) for d, x in out.items()}
 
 
 def corpus(seed):
@@ -53,6 +63,9 @@ def test_shares_are_those_of_the_plain_queue(spark, seed):
     for d in want:
         assert got[d][:2] == want[d][:2] and got[d][3] == want[d][3] and got[d][2] == pytest.approx(want[d][2])
     assert all(t <= 3 * n for n, _, _, t in got.values())
+    for s in {s for _, _, s in rows}:
+        mine = [got[d] for d, _, x in rows if x == s]
+        assert abs(sum(m[3] for m in mine) - mine[0][2]) <= 6
 
 
 def test_rows_come_in_order_of_virtual_time(spark):
@@ -69,3 +82,13 @@ def test_apply_takes_whole_documents(spark):
 
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
+
+
+def test_apply_deals_copies_out_and_takes_any_names(spark):
+    rows = [(1, "a b c", "s1", "x"), (1, "a b c", "s1", "x"), (1, "other words are here", "s1", "y"), (None, "k l m", "s2", "z"), (None, "k l", "s2", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string").withColumn("copies", F.lit(7))
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns
+    plan = mixing.mix(docs).collect()
+    assert got.count() == sum(r["copies"] for r in plan)
+    assert mixing.apply_mix(docs.limit(0)).collect() == []
