@@ -5,12 +5,19 @@
     python -m siltstone.cli index --chunks chunks --out index
     python -m siltstone.cli search --index index --chunks chunks --text "a question" --config rerank
     python -m siltstone.cli eval-retrieval --index index --chunks chunks --items items.jsonl --out runs --config hybrid
+    python -m siltstone.cli query --index index --chunks chunks --text "a question" --config multi-query --model package.module:function
+    python -m siltstone.cli generate-evals --chunks chunks --out items.jsonl --model package.module:function
+    python -m siltstone.cli eval-generation --index index --chunks chunks --items items.jsonl --out runs --model package.module:function
+    python -m siltstone.cli eval-ragas --index index --chunks chunks --items items.jsonl --out runs --model package.module:function
+
+A model is a function from a prompt to a reply; it is named, imported where it runs, and may raise.
 """
 
 from __future__ import annotations
 
 import argparse
 import datetime as dt
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +25,19 @@ from pyspark.sql import functions as F
 from siltstone.config import load_settings
 from siltstone.functions.text import preview
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import chunking, ingest, metrics, sparse
+from siltstone.operators import chunking, evals, grounding, ingest, metrics, sparse
 from siltstone.plans import retrieval
 from siltstone.sources import sinks, tables
+from siltstone.sources.scratch import stored
+
+
 
-SEARCHES = {"sparse": retrieval.search_sparse, "dense": retrieval.search_dense, "hybrid": retrieval.search_hybrid, "rerank": retrieval.search_reranked}
+def _model(name: str) -> grounding.Model | None:
+    """The model ``package.module:function``; none for an empty name."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return grounding.pandas_model(lambda prompt: getattr(importlib.import_module(module), function)(prompt))
 
 
 def _corpus(spark: SparkSession, args: argparse.Namespace) -> retrieval.Corpus:
@@ -62,7 +77,7 @@ def index(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def search(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     corpus, question = _corpus(spark, args), spark.createDataFrame([("q", args.text)], "query_id string, text string")
-    hits = SEARCHES[args.config](corpus, question, args.k).select("chunk_id", "rank")
+    hits = retrieval.search(args.config, corpus, question, args.k, _model(args.model)).select("chunk_id", "rank")
     return hits.join(corpus.chunks, "chunk_id").select("rank", "chunk_id", preview(F.col("text")).alias("preview")).orderBy("rank")
 
 
@@ -71,7 +86,7 @@ def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     items = tables.eval_items(spark, args.items)
     asked = items.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     wanted = items.select(F.col("id").alias("query_id"), "type", F.col("source_chunk_ids").alias("gold"))
-    hits = SEARCHES[args.config](corpus, asked, k)
+    hits = stored(retrieval.search(args.config, corpus, asked, k, _model(args.model), load_settings().n_rewrites).select("query_id", "chunk_id", "rank"))
     run = metrics.evaluate(hits, wanted, k, args.config, args.strategy)
     now = dt.datetime.now(dt.UTC).isoformat()
     sinks.write_run(metrics.per_query(hits, wanted, k), run, args.out, args.config, args.strategy, k, now)
@@ -79,13 +94,63 @@ def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return run
 
 
+def _answers(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified answers to the questions, and the passages that they were given."""
+    s, corpus, model = load_settings(), _corpus(spark, args), _model(args.model)
+    found = retrieval.search(args.config, corpus, questions, s.context_k, model, s.n_rewrites).select("query_id", "chunk_id", "rank")
+    hits = stored(found.join(corpus.chunks.select("chunk_id", "section_title", "text"), "chunk_id"))
+    return stored(retrieval.answer(corpus, questions, model, hits, s.context_k)), hits
+
+
+def query(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """One question, answered from the passages found, with verified quotes."""
+    answered, hits = _answers(spark, args, spark.createDataFrame([("q", args.text)], "query_id string, text string"))
+    cited = answered.select("answer", "abstained", F.explode_outer("citations").alias("c"))
+    return cited.select("answer", "abstained", F.col("c.chunk_id").alias("chunk_id"), F.col("c.supporting_quote").alias("supporting_quote"))
+
+
+def generate_evals(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    s = load_settings()
+    items = stored(evals.generate_eval_set(tables.table(spark, args.chunks), _model(args.model), args.single_hop, args.no_answer, args.seed, s.min_chunk_tokens, s.min_confidence))
+    sinks.write_json(items.where("reason IS NULL").drop("reason"), args.out)
+    return evals.counters(items)
+
+
+def eval_generation(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Refusal on the items without an answer."""
+    items = tables.eval_items(spark, args.items).where("type = 'no_answer'")
+    answered, _ = _answers(spark, args, items.select(F.col("id").alias("query_id"), F.col("question").alias("text")))
+    now = dt.datetime.now(dt.UTC).isoformat()
+    rows = answered.select(F.col("query_id").alias("id"), "question", F.col("abstained").alias("refused"), "answer", F.size("citations").alias("n_citations"), "citations")
+    run = stored(grounding.refusal_rates(answered).select(F.lit(args.config).alias("config"), "*", F.lit(now).alias("timestamp")))
+    sinks.write_answers_run("generation", rows, run, args.out, args.config, now)
+    return run
+
+
+def eval_ragas(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """Faithfulness and relevance of the answers to the items that have one, judged by the model."""
+    s, items = load_settings(), tables.eval_items(spark, args.items).where("type <> 'no_answer'")
+    answered, hits = _answers(spark, args, items.select(F.col("id").alias("query_id"), F.col("question").alias("text")))
+    context = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]), "\n\n").alias("context"))
+    judged = answered.join(context, "query_id", "left").select(F.col("query_id").alias("id"), "question", "answer", "abstained", "context")
+    scored = stored(evals.judge(judged, _model(args.model), hash_bag, s.n_reverse))
+    now = dt.datetime.now(dt.UTC).isoformat()
+    run = stored(evals.run_means(scored).select(F.lit(args.config).alias("config"), "*", F.lit(now).alias("timestamp")))
+    sinks.write_answers_run("ragas", scored, run, args.out, args.config, now)
+    return run
+
+
 COMMANDS = {
     "fetch": (fetch, ["metadata", "out"], {"since": "", "until": ""}),
     "parse": (parse, ["pages", "out"], {}),
     "chunk": (chunk, ["sections", "out"], {"strategy": "recursive"}),
     "index": (index, ["chunks", "out"], {}),
-    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10}),
-    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive"}),
+    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": ""}),
+    "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank"}),
+    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive", "model": ""}),
+    "generate-evals": (generate_evals, ["chunks", "out", "model"], {"single-hop": 200, "no-answer": 30, "seed": 42}),
+    "eval-generation": (eval_generation, ["index", "chunks", "items", "out", "model"], {"config": "rerank"}),
+    "eval-ragas": (eval_ragas, ["index", "chunks", "items", "out", "model"], {"config": "rerank"}),
 }
 
 

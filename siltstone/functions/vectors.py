@@ -25,14 +25,18 @@ def normalized(a: Column) -> Column:
     return F.when(norm(a) == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / norm(a)))
 
 
-def hash_bag(rows: DataFrame, id_cols: list[str], text_col: str = "text", dim: int = 32) -> DataFrame:
-    """``id_cols, vector``: a stand-in for a learned embedder, as one aggregate.
+def hash_bag(rows: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
+    """``id_cols, vector``: a stand-in for a learned embedder, 32 numbers, without a shuffle.
 
-    Each term counts in the bucket of the first byte of its md5; the counts are L2-normalised. Texts
-    without terms get the zero vector. A learned model is plugged in as ``embed`` instead.
+    Each term counts in the bucket of the first byte of its md5, modulo 32; the counts are
+    L2-normalised. Texts without terms get the zero vector. A learned model is plugged in as
+    ``embed`` instead.
     """
-    each = rows.select(*id_cols, F.explode_outer(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("_t"))
-    bucket = F.conv(F.substring(F.md5("_t"), 1, 2), 16, 10).cast("int") % dim
-    counted = each.withColumn("_b", bucket).groupBy(*id_cols).agg(*[F.count_if(F.col("_b") == i).alias(f"_{i}") for i in range(dim)])
-    raw = F.array(*[F.col(f"_{i}").cast("double") for i in range(dim)])
-    return counted.select(*id_cols, raw.alias("_v")).select(*id_cols, normalized(F.col("_v")).alias("vector"))
+    low, high = "0123456789abcdef", "ghijklmnopqrstuv"  # a bucket's letter: the second digit, by the first one's parity
+    digests = F.transform(terms(F.coalesce(F.col(text_col), F.lit(""))), lambda t: F.md5(t))
+    digit = lambda m: F.substring(m, 2, 1)
+    letters = F.transform(digests, lambda m: F.when(F.substring(m, 1, 1).isin(*low[::2]), digit(m)).otherwise(F.translate(digit(m), low, high)))
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  worked out once, however often it is used
+    counts = lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))).cast("double") for c in low + high])
+    unit = lambda v: once(norm(v), lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n)))
+    return rows.select(*id_cols, once(once(F.array_join(letters, ""), counts), unit).alias("vector"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.replies import first_flat_object, json_object, number_field, text_field, texts, truthy
+from siltstone.functions.text import strip
 from siltstone.functions.vectors import cosine
 from siltstone.operators.grounding import Model
 from siltstone.operators.rewrite import fill
@@ -87,6 +90,38 @@ def faithfulness(answers: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_supported", zero).alias("n_supported"), F.round(F.coalesce(F.col("n_supported") / F.col("n_claims"), F.lit(1.0)), 6).alias("faithfulness"))
 
 
+def judge_faithfulness(answered: DataFrame, model: Model) -> DataFrame:
+    """``id, n_claims, n_supported, faithfulness`` of answers ``id, question, answer, context``, judged by a model.
+
+    One call lists an answer's claims, and one more for each claim says whether the context supports
+    it. A failed or broken list is a list without claims, a failed or broken verdict no support; blank
+    answers are not asked about.
+    """
+    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", model(fill(CLAIMS, question=F.col("question"), answer=F.col("answer"))).alias("raw"))
+    each = claims(asked).join(answered.select("id", "context"), "id")
+    verdicts = each.select("id", supported(model(fill(VERDICT, context=F.coalesce("context", F.lit("")), claim=F.col("claim")))).alias("supported"))
+    return faithfulness(answered, verdicts)
+
+
+def judge_relevance(answered: DataFrame, model: Model, embed: Callable[[DataFrame, list[str], str], DataFrame], n: int = 3) -> DataFrame:
+    """``id, n_questions, relevance`` of answers ``id, question, answer``: a model writes up to n questions that the answer would answer, whose vectors are compared with the question's."""
+    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", model(fill(REVERSE, n=F.lit(str(n)), answer=F.col("answer"))).alias("raw"))
+    reverse = asked.select("id", F.posexplode(F.slice(F.coalesce(texts(F.col("raw")), F.array().cast("array<string>")), 1, max(0, n))).alias("no", "text"))
+    return answer_relevance(embed(answered.select("id", F.col("question").alias("text")), ["id"], "text"), embed(reverse, ["id", "no"], "text"))
+
+
+def judge(answered: DataFrame, model: Model, embed: Callable[[DataFrame, list[str], str], DataFrame], n: int = 3) -> DataFrame:
+    """Answers ``id, question, answer, context, abstained`` with their ``faithfulness`` and ``relevance``; abstentions are not sent to the model."""
+    said = answered.where(~F.col("abstained"))
+    both = judge_faithfulness(said, model).join(judge_relevance(said, model, embed, n), "id")
+    scored = answered.join(both, "id", "left")
+    zero = F.lit(0).cast("long")
+    return scored.select(
+        "id", "question", "answer", "abstained", F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_supported", zero).alias("n_supported"),
+        F.coalesce("faithfulness", F.lit(1.0)).alias("faithfulness"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"),
+    )
+
+
 def answer_relevance(questions: DataFrame, reverse: DataFrame) -> DataFrame:
     """``id, n_questions, relevance``: mean cosine of a question's ``vector`` with those of its reverse questions; none gives 0."""
     pairs = reverse.select("id", F.col("vector").alias("_r")).join(questions.select("id", F.col("vector").alias("_q")), "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,24 @@ def hyde(raw: Column) -> Column:
     return F.when(strip(F.coalesce(raw, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.array(passage(raw)))
 
 
+def rewrites(questions: DataFrame, model: Callable[[Column], Column], strategy: str = "multi_query", n: int = 3) -> DataFrame:
+    """``query_id, rewrites`` of questions ``query_id, text`` by a model (prompt to reply, null for a failed call).
+
+    Multi-query asks for n other ways to put the question, and for none where n <= 0; HyDE asks for a
+    passage that answers it. A failed call or a broken reply gives no rewrites.
+    """
+    if strategy == "multi_query":
+        if n <= 0:
+            return questions.select("query_id", F.array().cast("array<string>").alias("rewrites"))
+        raw = model(fill(MULTI_QUERY_PROMPT, n=F.lit(str(n)), question=F.col("text")))
+        read = multi_query(F.col("_raw"), n)
+    elif strategy == "hyde":
+        raw, read = model(fill(HYDE_PROMPT, question=F.col("text"))), hyde(F.col("_raw"))
+    else:
+        raise ValueError("strategy must be multi_query or hyde")
+    return questions.select("query_id", raw.alias("_raw")).select("query_id", read.alias("rewrites"))
+
+
 def distinct_queries(original: Column, rewrites: Column) -> Column:
     """Original and rewrites, stripped, blanks dropped, each once whatever its case, in order."""
     every = F.filter(F.transform(F.concat(F.array(original), rewrites), lambda s: strip(s)), lambda s: s != "")

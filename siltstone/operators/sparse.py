@@ -9,28 +9,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import terms
+from siltstone.sources.scratch import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
+#: Weighted query terms that may be broadcast, after they are counted; more are joined by a shuffle.
+MOST_TERMS = 500_000
+
+
 @dataclass
 class SparseIndex:
-    """``postings(chunk_id, term, tf)``, ``lengths(chunk_id, dl)``, ``vocabulary(term, df)``, ``totals(n, avgdl)``."""
+    """``postings(chunk_id, term, tf, dl)``, ``vocabulary(term, df)``, ``totals(n, avgdl)``."""
 
     postings: DataFrame
-    lengths: DataFrame
     vocabulary: DataFrame
     totals: DataFrame
 
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
-    """Term counts are combined before the shuffle, so a word in every chunk is no hot key."""
+    """Each text is read as terms once; term counts are combined before the shuffle, so a word in every chunk is no hot key.
+
+    The postings are written to the shared folder, as the vocabulary follows from them.
+    """
     split = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    lengths = split.select("chunk_id", F.size("t").alias("dl"))
-    postings = split.select("chunk_id", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    vocabulary = split.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return SparseIndex(postings, lengths, vocabulary, totals)
+    counted = split.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    every = stored(counted)  # a chunk without terms has one row, its term null
+    totals = every.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = every.where("term IS NOT NULL").select("chunk_id", "term", "tf", "dl")
+    return SparseIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stored(totals))
 
 
 def idf(index: SparseIndex) -> DataFrame:
@@ -46,8 +53,10 @@ def score(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", t
     The query terms prune the postings first: only terms that are asked for are scored.
     """
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weighted = asked.join(idf(index), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w"))
-    part = index.postings.join(weighted, "term").join(index.lengths, "chunk_id").join(F.broadcast(index.totals))
+    weighted = stored(asked.join(idf(index), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w")))
+    if weighted.count() <= MOST_TERMS:
+        weighted = F.broadcast(weighted)
+    part = index.postings.join(weighted, "term").join(F.broadcast(index.totals))
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return part.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), digits).alias("score"))
 
@@ -66,7 +75,7 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_col: str =
 
 
 def save(index: SparseIndex, path: str) -> None:
-    for name in ("postings", "lengths", "vocabulary", "totals"):
+    for name in ("postings", "vocabulary", "totals"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -75,4 +84,4 @@ def load(spark, path: str) -> SparseIndex:
 
     if not exists(spark, f"{path}/postings"):
         raise FileNotFoundError(f"no index at {path}: index first")
-    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "vocabulary", "totals")])
+    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "totals")])

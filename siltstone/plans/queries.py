@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import replies, text, vectors
 from siltstone.operators import chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse
 from siltstone.plans import retrieval
+from siltstone.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 SQL: dict[str, str] = {}
@@ -50,9 +51,11 @@ def _corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """``query_id, type, gold``: the stated questions are broadcast against all documents, without emitting pairs that do not match."""
     q = _questions(spark, sf)
+    if (n := q.count()) > dense.BLOCK:
+        raise ValueError(f"{n} questions; at most {dense.BLOCK} are compared with every document")
     found = _chunks(spark, sf).join(F.broadcast(q.withColumnRenamed("text", "passage")), F.contains(F.col("text"), F.col("passage"))).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold"))
     gold = F.coalesce("gold", F.array().cast("array<bigint>"))
-    return q.select("query_id").join(found, "query_id", "left").select("query_id", F.when(F.size(gold) > 0, "single_hop").otherwise("no_answer").alias("type"), gold.alias("gold"))
+    return stored(q.select("query_id").join(found, "query_id", "left").select("query_id", F.when(F.size(gold) > 0, "single_hop").otherwise("no_answer").alias("type"), gold.alias("gold")))
 
 
 # Parts of the SQL shared by several queries.
@@ -87,8 +90,8 @@ gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN do
 ng AS (SELECT item_id AS query_id, count(g.chunk_id) AS n_gold FROM benchmark b LEFT JOIN gold g ON g.query_id = b.item_id GROUP BY ALL)"""
 
 
-def _dense(k: int, name: str = "dense") -> str:
-    return f"""{_bag('documents', 'doc_id', 'dv')}, {_bag('benchmark', 'item_id', 'qv')},
+def _dense(k: int, name: str = "dense", table: str = "benchmark", key: str = "item_id") -> str:
+    return f"""{_bag('documents', 'doc_id', 'dv')}, {_bag(table, key, 'qv')},
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT q.id AS query_id, doc_id AS chunk_id, round(coalesce(sum(q.x * d.x), 0), 6) AS score FROM (SELECT DISTINCT id FROM qv) a CROSS JOIN documents
   LEFT JOIN dv d ON d.id = doc_id LEFT JOIN qv q2 ON q2.id = a.id AND q2.b = d.b, LATERAL (SELECT a.id AS id, q2.x AS x) q GROUP BY ALL)) WHERE rank <= {k})"""
@@ -248,26 +251,32 @@ def paper_ids(spark, sf):
     return _read(spark, sf, "pages").select("page_id", ingest.paper_id(F.col("url")).alias("id"), ingest.query_string(F.array(lang, F.lit("web"))).alias("query"))
 
 
+#: Known names of headers that end no paper.
+_NAMES = [n for n in ingest.NAMED if not n.lower().startswith(ingest.ENDS)]
+
+
 def _paged(spark, sf):
-    """Documents as page texts with headers, page furniture and an end section put in by line number."""
+    """Documents as page texts with headers and page furniture put in by line number, and in each third an end section before the last line."""
+    last = F.size(F.split("text", "\n", -1)) - 1
     line = lambda x, i: F.concat_ws(
         "\n",
         F.when(i % 4 == 0, F.concat((i / 4 + 1).cast("int").cast("string"), F.lit(". Results and Setup"))).when(i % 4 == 2, F.lit("  Related Work: ")),
-        F.when(i == 24, F.lit("IX. References")),
+        F.when((i == last) & (F.col("doc_id") % 3 == 0), F.lit("IX. References")),
+        F.when(i % 5 == 3, F.upper(F.element_at(F.array(*map(F.lit, _NAMES)), ((F.col("doc_id") + i) % len(_NAMES) + 1).cast("int")))),
         x,
         F.when(i % 3 == 0, F.lit("Page 3 of 9")).when(i % 3 == 1, F.lit("arXiv:2401.00001v2 [cs.LG]")),
     )
     return _read(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(1).alias("page_num"), F.array_join(F.transform(F.split("text", "\n", -1), line), "\n").alias("text"))
 
 
-PAGED = """
-d0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-d1 AS (SELECT doc_id, i, unnest([CASE WHEN i % 4 = 0 THEN (i // 4 + 1)::VARCHAR || '. Results and Setup' WHEN i % 4 = 2 THEN '  Related Work: ' END, CASE WHEN i = 24 THEN 'IX. References' END, x, CASE WHEN i % 3 = 0 THEN 'Page 3 of 9' WHEN i % 3 = 1 THEN 'arXiv:2401.00001v2 [cs.LG]' END]) AS line, unnest([0, 1, 2, 3]) AS j FROM d0),
+PAGED = f"""
+d0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) - 1 AS last FROM documents),
+d1 AS (SELECT doc_id, i, unnest([CASE WHEN i % 4 = 0 THEN (i // 4 + 1)::VARCHAR || '. Results and Setup' WHEN i % 4 = 2 THEN '  Related Work: ' END, CASE WHEN i = last AND doc_id % 3 = 0 THEN 'IX. References' END, CASE WHEN i % 5 = 3 THEN upper([{', '.join(repr(n) for n in _NAMES)}][(doc_id + i) % {len(_NAMES)} + 1]) END, x, CASE WHEN i % 3 = 0 THEN 'Page 3 of 9' WHEN i % 3 = 1 THEN 'arXiv:2401.00001v2 [cs.LG]' END]) AS line, unnest([0, 1, 2, 3, 4]) AS j FROM d0),
 lines AS (SELECT doc_id AS paper_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS line_no, line FROM d1 WHERE line IS NOT NULL),
 clean AS (SELECT * FROM lines WHERE NOT (regexp_full_match(line, '\\s*\\d+\\s*') OR regexp_full_match(line, '(?i)\\s*page\\s+\\d+(\\s+of\\s+\\d+)?\\s*') OR regexp_matches(line, '(?i)^\\s*arxiv:\\d+\\.\\d+v?\\d*') OR regexp_full_match(line, '(?i)\\s*preprint\\.?\\s*') OR regexp_full_match(line, '(?i)\\s*under review.*'))),
-titled AS (SELECT *, CASE WHEN trim(line) = '' OR length(trim(line)) > 100 THEN NULL WHEN regexp_full_match(trim(line), '\\d+(\\.\\d+)*\\.?\\s+[A-Z][\\p{L}\\p{N}_\\s\\-:&,/'']{1,80}') THEN regexp_extract(trim(line), '^(\\d+(?:\\.\\d+)*\\.?)', 1) || ' ' || trim(regexp_extract(trim(line), '^\\d+(?:\\.\\d+)*\\.?\\s+(.*)$', 1))
-  WHEN regexp_full_match(trim(line), '[IVX]+\\.?\\s+[A-Z][\\p{L}\\p{N}_\\s\\-:&,/'']{1,80}') THEN regexp_extract(trim(line), '^([IVX]+\\.?)', 1) || ' ' || trim(regexp_extract(trim(line), '^[IVX]+\\.?\\s+(.*)$', 1))
-  WHEN lower(trim(rtrim(trim(line), ':'))) = 'related work' THEN 'Related Work' END AS title FROM clean),
+titled AS (SELECT *, CASE WHEN trim(line) = '' OR length(trim(line)) > 100 THEN NULL WHEN regexp_full_match(trim(line), '\\d+(\\.\\d+)*\\.?\\s+[A-Z][\\p{{L}}\\p{{N}}_\\s\\-:&,/'']{{1,80}}') THEN regexp_extract(trim(line), '^(\\d+(?:\\.\\d+)*\\.?)', 1) || ' ' || trim(regexp_extract(trim(line), '^\\d+(?:\\.\\d+)*\\.?\\s+(.*)$', 1))
+  WHEN regexp_full_match(trim(line), '[IVX]+\\.?\\s+[A-Z][\\p{{L}}\\p{{N}}_\\s\\-:&,/'']{{1,80}}') THEN regexp_extract(trim(line), '^([IVX]+\\.?)', 1) || ' ' || trim(regexp_extract(trim(line), '^[IVX]+\\.?\\s+(.*)$', 1))
+  {' '.join(f"WHEN lower(trim(rtrim(trim(line), ':'))) = '{n.lower()}' THEN '{n}'" for n in ingest.NAMED)} END AS title FROM clean),
 ended AS (SELECT *, coalesce(regexp_matches(lower(regexp_replace(title, '^[\\dIVX.\\s]+', '')), '^(references|bibliography|acknowledgments|acknowledgements)'), false) AS ends FROM titled),
 placed AS (SELECT *, max(ends::INT) OVER w AS stopped, count(title) OVER w AS no FROM ended WINDOW w AS (PARTITION BY paper_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 body AS (SELECT paper_id, no, coalesce(max(title), 'Preamble') AS section_title, trim(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (title IS NULL), ''), chr(10) || ' ') AS text FROM placed WHERE stopped = 0 GROUP BY ALL),
@@ -504,8 +513,77 @@ def ragas_means(spark, sf):
     return evals.run_means(joined)
 
 
-@query()
+_SUB = """x AS (SELECT item_id AS query_id, trim(text, ' ' || chr(10)) AS a, trim(left(text, round(length(text) / 2.0)::INT), ' ' || chr(10)) AS b FROM benchmark),
+sq AS (SELECT query_id * 2 AS query_id, a AS text FROM x UNION ALL SELECT query_id * 2 + 1, b FROM x WHERE b <> '' AND lower(a) <> lower(b))"""
+_HALF = "sq AS (SELECT item_id * 2 AS query_id, trim(left(text, round(length(text) / 2.0)::INT), ' ' || chr(10)) AS text FROM benchmark)"
+
+
+def _rewritten(sub: str) -> str:
+    """Candidates of all sub-queries, each at its first sighting, reranked against the question."""
+    return f"""WITH {SPARSE}, {sub}, {_scored('sq', 'sparse', 50)}, {_dense(50, 'dense', 'sq', 'query_id')}, {_HYBRID},
+o AS (SELECT query_id // 2 AS query_id, query_id % 2 AS no, chunk_id, rank FROM hybrid WHERE rank <= 50),
+sighted AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY no, rank) AS n FROM o),
+g AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS rrf_rank FROM sighted WHERE n = 1),
+y AS (SELECT g.*, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS q, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS w FROM g JOIN benchmark b ON b.item_id = g.query_id JOIN documents d ON d.doc_id = g.chunk_id),
+v AS (SELECT query_id, chunk_id, rrf_rank, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, w)) / len(q), 6) END AS rerank_score FROM y)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_rank) AS rank FROM v) WHERE rank <= 10"""
+
+
+@query(_rewritten(_SUB))
 def rewritten_topk(spark, sf):
     """Multi-query search: candidates of all sub-queries, reranked against the original."""
     found = retrieval.search_rewritten(_corpus(spark, sf), _questions(spark, sf), _rewrites(spark, sf).select("query_id", "rewrites"), 10)
     return found.select("query_id", "chunk_id", "rrf_rank", "rerank_score", "rank")
+
+
+def _asked(prompt, mark: str = "Question: "):
+    """The part of a prompt after the mark."""
+    return F.element_at(F.split(prompt, mark, 2), 2)
+
+
+def _half(text_):
+    return F.substring(text_, F.lit(1), F.round(F.length(text_) / 2).cast("int"))
+
+
+@query(_rewritten(_SUB))
+def multi_query_topk(spark, sf):
+    """As ``rewritten_topk``, with a model that replies with the question's first half, in a fence."""
+    model = lambda prompt: F.concat(F.lit("```json\n"), F.to_json(F.array(_half(_asked(prompt)), F.lit(" "))), F.lit("\n```"))
+    return retrieval.search_by_model(_corpus(spark, sf), _questions(spark, sf), model, "multi_query", 10).select("query_id", "chunk_id", "rrf_rank", "rerank_score", "rank")
+
+
+@query(_rewritten(_HALF))
+def hyde_topk(spark, sf):
+    """HyDE search with a model whose passage is the question's first half."""
+    model = lambda prompt: F.concat(F.lit("```\n"), _half(_asked(prompt)), F.lit("\n```"))
+    return retrieval.search_by_model(_corpus(spark, sf), _questions(spark, sf), model, "hyde", 10).select("query_id", "chunk_id", "rrf_rank", "rerank_score", "rank")
+
+
+_JUDGED = f"""{PAIRS}, n AS (SELECT id, question, answer, trim(left(answer, 40), ' ' || chr(10)) AS c1, trim(right(answer, 25), ' ' || chr(10)) AS c2, left(answer, 200) AS context FROM pairs WHERE trim(answer, ' ' || chr(10)) <> '')"""
+
+
+def _judge(prompt):
+    """A judge that takes an answer's ends for its claims, believes what the context holds, and asks with the answer's beginning."""
+    answer = F.element_at(F.split(prompt, "\nAnswer: ", 2), 2)
+    claims = F.to_json(F.array(F.substring(answer, 1, 40), F.reverse(F.substring(F.reverse(answer), 1, 25))))
+    context, claim = F.element_at(F.split(F.element_at(F.split(prompt, "\nClaim: ", 2), 1), "Context: ", 2), 2), F.element_at(F.split(prompt, "\nClaim: ", 2), 2)
+    verdict = F.concat(F.lit('{"supported": '), F.contains(context, claim).cast("string"), F.lit("}"))
+    reverse = F.to_json(F.array(F.substring(F.element_at(F.split(prompt, "Answer: ", 2), 2), 1, 60)))
+    return F.when(prompt.startswith("List the claims"), claims).when(prompt.startswith("Does the context"), verdict).otherwise(reverse)
+
+
+def _said(spark, sf):
+    return _pairs(spark, sf).select("id", "question", "answer", F.substring("answer", 1, 200).alias("context"))
+
+
+@query(f"""WITH {_JUDGED}, k AS (SELECT id, context, unnest([c1, c2]) AS claim FROM n), u AS (SELECT id, count(*) AS n_claims, count(*) FILTER (contains(context, claim)) AS n_supported FROM k WHERE claim <> '' GROUP BY id)
+SELECT pairs.id, coalesce(n_claims, 0) AS n_claims, coalesce(n_supported, 0) AS n_supported, round(coalesce(n_supported / n_claims, 1), 6) AS faithfulness FROM pairs LEFT JOIN u USING (id)""")
+def judge_faithfulness(spark, sf):
+    return evals.judge_faithfulness(_said(spark, sf), _judge)
+
+
+@query(f"""WITH {_JUDGED}, rv AS (SELECT id, trim(left(answer, 60), ' ' || chr(10)) AS text FROM n), qq AS (SELECT id, question AS text FROM pairs), {_bag('qq', 'id', 'qv')}, {_bag('rv', 'id', 'rvv')},
+m AS (SELECT r.id, 1 AS n_questions, round(coalesce((SELECT sum(a.x * b.x) FROM qv a JOIN rvv b ON a.id = b.id AND a.b = b.b WHERE a.id = r.id), 0), 6) AS relevance FROM rv r WHERE r.text <> '')
+SELECT pairs.id, coalesce(n_questions, 0)::BIGINT AS n_questions, coalesce(relevance, 0) AS relevance FROM pairs LEFT JOIN m USING (id)""")
+def judge_relevance(spark, sf):
+    return evals.judge_relevance(_said(spark, sf), _judge, vectors.hash_bag, 3)

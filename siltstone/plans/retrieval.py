@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import strip
 from siltstone.functions.vectors import hash_bag
 from siltstone.operators import dense, fusion, grounding, rerank, rewrite, sparse
+from siltstone.sources.scratch import stored
 
 #: (rows, id columns, text column) -> id columns and a normalised ``vector``
 Embedder = Callable[[DataFrame, list[str], str], DataFrame]
@@ -31,7 +32,7 @@ class Corpus:
 
     @classmethod
     def of(cls, chunks: DataFrame, embed: Embedder = hash_bag) -> Corpus:
-        return cls(chunks, sparse.build(chunks), embed(chunks, ["chunk_id"], "text"), embed)
+        return cls(chunks, sparse.build(chunks), stored(embed(chunks, ["chunk_id"], "text")), embed)
 
 
 def _asked(questions: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,3 +81,30 @@ def answer(corpus: Corpus, questions: DataFrame, model: grounding.Model, hits: D
     found = hits if hits is not None else search_reranked(corpus, questions, k, fan_out)
     contexts = found.select("query_id", "chunk_id", "section_title", "text", "rank")
     return grounding.generate(questions.select("query_id", F.col("text").alias("question")), contexts, model)
+
+
+def search_by_model(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 10, n: int = 3, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap) -> DataFrame:
+    """``search_rewritten`` with rewrites that a model gives; where it fails, the original question alone."""
+    return search_rewritten(corpus, questions, stored(rewrite.rewrites(questions, model, strategy, n)), k, strategy, fan_out, scorer)
+
+
+def answer_rewritten(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 3, n: int = 3, fan_out: int = 50) -> DataFrame:
+    """As ``answer``, over the passages that the rewritten search finds."""
+    return answer(corpus, questions, model, search_by_model(corpus, questions, model, strategy, k, n, fan_out), k, fan_out)
+
+
+def search(config: str, corpus: Corpus, questions: DataFrame, k: int = 10, model: grounding.Model | None = None, n: int = 3) -> DataFrame:
+    """One of the six configurations by name; the last two need a model."""
+    plain = {"sparse": search_sparse, "dense": search_dense, "hybrid": search_hybrid, "rerank": search_reranked}
+    if config in plain:
+        return plain[config](corpus, questions, k)
+    if config not in REWRITING:
+        raise ValueError(f"config must be one of {', '.join([*plain, *REWRITING])}")
+    if model is None:
+        raise ValueError(f"{config} needs a model")
+    return search_by_model(corpus, questions, model, REWRITING[config], k, n)
+
+
+#: Configurations that rewrite questions, with their strategy.
+REWRITING = {"multi-query": "multi_query", "hyde": "hyde"}
+CONFIGS = ["sparse", "dense", "hybrid", "rerank", *REWRITING]

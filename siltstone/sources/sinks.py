@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.sources.tables import exists
 
+# Fixed value: the beginning of the table of runs.
 HEADER = "# Retrieval ablation\n\n| Config | Strategy | k | Recall@k | MRR@k | nDCG@k | n_eval | timestamp |\n|---|---|---|---|---|---|---|---|\n"
 
 
@@ -42,6 +43,14 @@ def write_run(per_query: DataFrame, aggregate: DataFrame, folder: str, config: s
     return name
 
 
+def write_answers_run(kind: str, rows: DataFrame, aggregate: DataFrame, folder: str, config: str, timestamp: str) -> str:
+    """A run of a kind (generation, ragas) over answers: ``<kind>_<config>_<timestamp>.jsonl`` and ``.json``; returns the name."""
+    name = f"{kind}_{config}_{timestamp.replace(':', '-').replace('.', '-')}"
+    rows.write.mode("overwrite").json(f"{folder}/{name}.jsonl")
+    aggregate.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}.json")
+    return name
+
+
 def append_text(spark: SparkSession, path: str, text: str, header: str = HEADER) -> None:
     """Append a row to a small text file in any store, with the header if the file is new."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

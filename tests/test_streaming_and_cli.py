@@ -66,6 +66,32 @@ def test_commands_from_pages_to_evaluation(spark, tmp_path):
     assert table.startswith("# Retrieval ablation") and table.count("\n| sparse |") == 1 and table.count("\n| hybrid |") == 1
 
 
+def test_commands_with_a_model(spark, tmp_path):
+    """json.dumps stands for a model whose replies hold no JSON object or list."""
+    rows = [(f"p{i}::0::0", f"p{i}", "Method", f"Sparse retrieval number{i} scores terms with an inverted index, paper by paper.", "recursive", 120) for i in range(5)]
+    spark.createDataFrame(rows, "chunk_id string, paper_id string, section_title string, text string, strategy string, token_count int").write.parquet(f"{tmp_path}/chunks")
+    run = lambda *a: cli.main(list(a), spark).collect()
+    run("index", "--chunks", f"{tmp_path}/chunks", "--out", f"{tmp_path}/index")
+    where = ["--index", f"{tmp_path}/index", "--chunks", f"{tmp_path}/chunks"]
+    for config in ("rerank", "multi-query", "hyde"):
+        (r,) = run("query", *where, "--text", "Which one is number3?", "--config", config, "--model", "json:dumps")
+        assert r["abstained"] and r["answer"] == "(the reply was no valid JSON)" and r["chunk_id"] is None
+    with pytest.raises(ValueError):
+        run("search", *where, "--text", "number3", "--config", "hyde")
+    (made,) = run("generate-evals", "--chunks", f"{tmp_path}/chunks", "--out", f"{tmp_path}/made", "--model", "json:dumps", "--single-hop", "3", "--no-answer", "2")
+    assert tuple(made) == (5, 0, 5, 0, 0, 0)
+    items = [{"id": str(i), "question": "What does number2 do?", "gold_answer": "x", "type": t, "source_paper_id": "p2", "source_chunk_ids": ["p2::0::0"]} for i, t in enumerate(["single_hop", "no_answer"])]
+    write(tmp_path, "items.jsonl", items)
+    rest = ["--items", f"{tmp_path}/items.jsonl", "--out", f"{tmp_path}/runs", "--model", "json:dumps"]
+    (r,) = run("eval-retrieval", *where, *rest, "--config", "multi-query")
+    assert r["recall_at_k"] == 1.0
+    (r,) = run("eval-generation", *where, *rest)
+    assert (r["config"], r["n"], r["refusal_accuracy"], r["false_grounding_rate"]) == ("rerank", 1, 1.0, 0.0)
+    (r,) = run("eval-ragas", *where, *rest)
+    assert (r["n"], r["n_abstained"], r["mean_faithfulness"]) == (1, 1, 1.0)
+    assert sorted(x.name.split("_")[0] for x in (tmp_path / "runs").iterdir() if x.suffix == ".jsonl") == ["generation", "multi-query", "ragas"]
+
+
 def test_fetch_is_incremental(spark, tmp_path):
     papers = [{"id": i, "categories": ["cs.LG"], "published": f"2024-0{m}-10T00:00:00Z"} for i, m in (("a", 1), ("b", 2))] + [{"id": "old", "categories": ["cs.LG"], "published": "2020-01-01T00:00:00Z"}, {"id": "off", "categories": ["x"], "published": "2024-01-01T00:00:00Z"}]
     write(tmp_path, "m.jsonl", papers)
