@@ -32,12 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, for larger tables: a compressed table in the checkpoint folder, of which later steps read only the columns they need."""
+    """As ``cut``, for larger tables: a compressed table in the checkpoint folder, of which later steps read only the columns they need. It goes when the driver ends."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -175,7 +175,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     consecutive words that also stand in a document with a smaller id is removed; kept words are
     joined by one space. Windows are judged on the input. Null and empty texts have no words. Rows
     that repeat an id are one document's and remove nothing from each other; a null id counts as
-    larger than all. An empty table gives an empty result; other columns are not read. ``window``
+    larger than all, and such rows are dealt by their text. An empty table gives an empty result; other columns are not read. ``window``
     must be at least 7.
 
     The plan deals the texts out once (the exchange is reused by three passes). Batches and shards
@@ -311,7 +311,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
 
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.lit(17), F.col(id_col).cast("long")), F.lit(n_batches)).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(F.xxhash64(F.lit(17), F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(n_batches)).alias("batch"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
     batches = dealt.groupBy("batch")
     offers = batches.applyInArrow(offer, MAIL)

@@ -68,3 +68,34 @@ def test_empty(spark):
 def test_features_of_extreme_texts(spark):
     docs = spark.createDataFrame([(None,), ("",), (" \n",), ("a" * 200_000,), ("word " * 40_000,), ("日本語",)], "t string")
     assert all(all(np.isfinite(v) for v in r) for r in docs.select(*quality.features(F.col("t"))).collect())
+
+
+def test_sites_decide_where_the_text_does_not(spark):
+    """Half of the texts look alike whatever their label; the posteriors of their sites lower the error."""
+    r = random.Random(11)
+    words = "the and of to in river table green walking paper house quietly under window morning".split()
+    rows = []
+    for i in range(1500):
+        site = r.randrange(30)
+        good = r.random() < (0.95 if site % 2 else 0.05)
+        text = " ".join(r.choice(words) for _ in range(r.randint(20, 60)))
+        if r.random() < 0.5:
+            text = text + " | x" * 3  # says nothing
+        elif not good:
+            text = text.upper().replace(" ", "!! ")
+        rows.append((i, text, f"s{site}", "en", int(good)))
+    docs = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(x[0], x[4]) for x in rows], "doc_id long, quality int")
+    got = {x["doc_id"]: x for x in quality.classify(docs, labels).collect()}
+    alone = sum((got[d]["evidence"] >= quality.KEEP) != bool(y) for d, *_, y in rows)
+    both = sum(got[d]["kept"] != bool(y) for d, *_, y in rows)
+    assert both < 0.6 * alone
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(i % 60, "the house and the river " * (1 + i % 5), "s", "en", 1, 2.0, "x") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, evidence int, score double, site string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    got = quality.classify(docs, labels)
+    assert got.count() == 90 and got.columns == ["doc_id", "site", "path", "evidence", "site_rate", "path_rate", "score", "kept"]
+    assert got.select("doc_id", "score").distinct().count() == len({(r[0], r[1]) for r in rows})
