@@ -21,8 +21,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from a table in the shared folder."""
+    """The same rows, computed once and read from a table in the shared folder, which goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/siltstone-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
