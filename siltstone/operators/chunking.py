@@ -93,6 +93,14 @@ def recursive(text: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.when((strip(text) == "") | text.isNull(), F.array().cast("array<string>")).when(short, F.array(text)).otherwise(kept)
 
 
+def breaks(vectors: DataFrame, keys: list[str], percentile: float = 95.0) -> DataFrame:
+    """Sentences ``keys, _i, vector`` with ``_drop``, 1 - cosine with the one before, and ``_break``: whether it reaches the percentile of its section."""
+    order = W.partitionBy(*keys).orderBy("_i")
+    drop = vectors.withColumn("_drop", 1 - dot(F.lag("vector").over(order), F.col("vector")))
+    limit = F.percentile("_drop", percentile / 100).over(W.partitionBy(*keys))
+    return drop.withColumn("_break", F.coalesce(F.col("_drop") >= limit, F.lit(False)))
+
+
 def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, percentile: float = 95.0, keys: tuple[str, ...] = ("paper_id", "section_index")) -> DataFrame:
     """``keys, chunks``: sections cut where neighbouring sentences differ most.
 
@@ -111,10 +119,7 @@ def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, per
     each = split.where("NOT _whole").select(*keys, F.posexplode("_s").alias("_i", "_t"))
     vectors = each.join(embed(each, [*keys, "_i"], "_t"), [*keys, "_i"])
     order = W.partitionBy(*keys).orderBy("_i")
-    drop = vectors.withColumn("_drop", 1 - dot(F.lag("vector").over(order), F.col("vector")))
-    limit = F.percentile("_drop", percentile / 100).over(W.partitionBy(*keys))
-    marked = drop.withColumn("_break", F.coalesce(F.col("_drop") >= limit, F.lit(False)).cast("int"))
-    segment = marked.withColumn("_no", F.sum("_break").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    segment = breaks(vectors, keys, percentile).withColumn("_no", F.sum(F.col("_break").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     joined = segment.groupBy(*keys, "_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), " ").alias("_c"))
     cut = joined.select(*keys, "_no", recursive(F.col("_c"), size, overlap).alias("_parts"))
     chunks = cut.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_no", "_parts"))), lambda x: x["_parts"])).alias("chunks"))

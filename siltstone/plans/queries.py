@@ -333,14 +333,33 @@ def chunk_stats(spark, sf):
     return chunking.chunk_stats(s, chunking.chunk_sections(s, "fixed", 128, 16))
 
 
-@query()
-def chunk_recursive(spark, sf):
-    return chunking.chunk_sections(_sections(spark, sf), "recursive", 128, 16)
+def _recursive_sql(size: int, overlap: int, table: str = "documents", cols: str = "doc_id, source") -> str:
+    """CTEs that end in ``rc`` (the named columns and ``l``): each text's chunks by recursive splitting, in list expressions."""
+    levels, last = [], "fr0"
+    for i, sep in enumerate(chunking.SEPARATORS):
+        x = _literal(sep)
+        parts = f"list_filter(list_transform(string_split(f, {x}), lambda p, j: CASE WHEN j < len(string_split(f, {x})) THEN p || {x} ELSE p END), lambda p: p <> '')"
+        levels.append(f"fr{i + 1} AS (SELECT {cols}, text, flatten(list_transform(l, lambda f: CASE WHEN len(regexp_extract_all(f, {PIECES})) <= {size} OR NOT contains(f, {x}) THEN [f] ELSE {parts} END)) AS l FROM {last})")
+        last = f"fr{i + 1}"
+    tokens = f"regexp_extract_all(f, {PIECES})"
+    cut = f"list_transform(generate_series(0, (len({tokens}) - 1) // {size}), lambda w: array_to_string(({tokens})[w * {size} + 1:(w + 1) * {size}], ''))"
+    return f"""
+fr0 AS (SELECT {cols}, text, [text] AS l FROM {table} WHERE trim(text, ' ' || chr(10)) <> ''), {', '.join(levels)},
+fc AS (SELECT {cols}, text, list_filter(flatten(list_transform(l, lambda f: CASE WHEN len({tokens}) <= {size} THEN [f] ELSE {cut} END)), lambda f: f <> '') AS l FROM {last}),
+mg AS (SELECT {cols}, text, list_reduce(list_transform(l, lambda f: {{'done': []::VARCHAR[], 't': f, 'n': len({tokens})}}), lambda a, b: CASE WHEN a.n + b.n <= {size} THEN {{'done': a.done, 't': a.t || b.t, 'n': a.n + b.n}} ELSE {{'done': list_append(a.done, a.t), 't': b.t, 'n': b.n}} END) AS m FROM fc),
+kp AS (SELECT {cols}, text, list_filter(list_append(m.done, m.t), lambda c: trim(c, ' ' || chr(10)) <> '') AS k FROM mg),
+rc AS (SELECT {cols}, CASE WHEN len(regexp_extract_all(text, {PIECES})) <= {size} THEN [text] ELSE list_transform(k, lambda c, i: CASE WHEN i = 1 THEN c ELSE array_to_string(regexp_extract_all(k[i - 1], {PIECES})[greatest(1, len(regexp_extract_all(k[i - 1], {PIECES})) - {overlap} + 1):], '') || c END) END AS l FROM kp)"""
 
 
-@query()
-def chunk_semantic(spark, sf):
-    return chunking.chunk_sections(_sections(spark, sf), "semantic", 128, 16, vectors.hash_bag)
+def _literal(s: str) -> str:
+    """A string as SQL."""
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(f"""WITH {_recursive_sql(128, 16)} SELECT doc_id || '::0::' || (i - 1) AS chunk_id, doc_id::VARCHAR AS paper_id, 0 AS section_index, source AS section_title, (i - 1)::INT AS chunk_index, l[i] AS text, length(l[i]) AS char_count, len(regexp_extract_all(l[i], {PIECES})) AS token_count, 'recursive' AS strategy
+FROM (SELECT doc_id, source, l, unnest(generate_series(1, len(l))) AS i FROM rc)""")
+def chunk_recursive(spark, sf):
+    return chunking.chunk_sections(_sections(spark, sf), "recursive", 128, 16)
 
 
 @query("SELECT doc_id, replace(left(text, 200), chr(10), ' ') AS preview FROM documents")
@@ -587,3 +606,90 @@ m AS (SELECT r.id, 1 AS n_questions, round(coalesce((SELECT sum(a.x * b.x) FROM
 SELECT pairs.id, coalesce(n_questions, 0)::BIGINT AS n_questions, coalesce(relevance, 0) AS relevance FROM pairs LEFT JOIN m USING (id)""")
 def judge_relevance(spark, sf):
     return evals.judge_relevance(_said(spark, sf), _judge, vectors.hash_bag, 3)
+
+
+# --- smaller parts ---
+
+_SENTENCES = """sn AS (SELECT doc_id, list_filter(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: string_split(regexp_replace(trim(p, ' ' || chr(10)), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))), lambda s: trim(s, ' ' || chr(10)) <> '') AS l FROM documents)"""
+
+
+@query(f"WITH {_SENTENCES} SELECT doc_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM sn")
+def sentences_split(spark, sf):
+    s = text.sentences(F.col("text"))
+    return _read(spark, sf, "documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query(f"""WITH {_SENTENCES}, e AS (SELECT doc_id * 100000 + i AS key, doc_id, i, l[i + 1] AS text FROM (SELECT doc_id, l, unnest(generate_series(0, len(l) - 1)) AS i FROM sn WHERE len(l) > 2)), {_bag('e', 'key', 'ev')},
+dp AS (SELECT e.doc_id, e.i, 1 - coalesce(sum(a.x * b.x), 0) AS dr FROM e LEFT JOIN ev a ON a.id = key LEFT JOIN ev b ON b.id = key - 1 AND a.b = b.b WHERE e.i > 0 GROUP BY ALL),
+lm AS (SELECT doc_id, quantile_cont(dr, 0.95) AS lim FROM dp GROUP BY doc_id)
+SELECT doc_id, count(*) AS n, round(avg(dr), 6) AS mean_drop, round(any_value(lim), 6) AS percentile_drop FROM dp JOIN lm USING (doc_id) GROUP BY doc_id""")
+def semantic_drops(spark, sf):
+    """Drops of similarity between neighbouring sentences, and their percentile, where a section has more than two."""
+    each = _read(spark, sf, "documents").select("doc_id", text.sentences(F.col("text")).alias("s")).where(F.size("s") > 2).select("doc_id", F.posexplode("s").alias("_i", "_t"))
+    found = chunking.breaks(vectors.hash_bag(each, ["doc_id", "_i"], "_t"), ["doc_id"]).where("_drop IS NOT NULL")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg("_drop"), 6).alias("mean_drop"), F.round(F.percentile("_drop", 0.95), 6).alias("percentile_drop"))
+
+
+_KINDS = (("single_hop", "sh", 42, 20), ("no_answer", "na", 43, 10))
+_MADE = " UNION ALL ".join(f"""SELECT printf('{prefix}-%04d', no) AS id, 'What does ' || md5(text) || ' say?' AS question, 'It says this: ' || md5(text) AS gold_answer, '{kind}' AS type, doc_id::VARCHAR AS chunk_id, printf('confidence=%.2f', conf) AS notes,
+  CASE WHEN conf < 0.6 THEN printf('low confidence (%.2f)', conf) END AS reason FROM (SELECT *, row_number() OVER (ORDER BY md5('{seed}:' || doc_id), doc_id::VARCHAR) - 1 AS no, (length(text) % 10) / 10.0::DOUBLE AS conf FROM us) WHERE no < {n}""" for kind, prefix, seed, n in _KINDS)
+
+
+@query(f"WITH us AS (SELECT doc_id, text FROM documents WHERE len(regexp_extract_all(text, {PIECES})) >= 100) {_MADE}")
+def eval_set_items(spark, sf):
+    """Generated items, of a model that knows a passage by its digest and doubts it by its length."""
+    chunks = _read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("paper_id"), "text", text.n_pieces(F.col("text")).alias("token_count"))
+
+    def model(prompt):
+        passage = F.element_at(F.split(prompt, "\nPassage: ", 2), 2)
+        reply = F.struct(F.concat(F.lit("What does "), F.md5(passage), F.lit(" say?")).alias("question"), F.concat(F.lit("It says this: "), F.md5(passage)).alias("gold_answer"), (F.length(passage) % 10 / 10).alias("confidence"))
+        return F.concat(F.lit("Here: "), F.to_json(reply))
+
+    made = evals.generate_eval_set(chunks, model, 20, 10, 42)
+    return made.select("id", "question", "gold_answer", "type", F.get("source_chunk_ids", 0).alias("chunk_id"), "notes", "reason")
+
+
+@query("SELECT conv_id * 1000 + turn AS id, trim(text, ' ' || chr(10)) AS passage, '{\"a\": ' || turn || '}' AS first_object FROM conversations")
+def replies_read(spark, sf):
+    """A passage out of its fence, and the first flat object of a reply that holds more."""
+    c = _read(spark, sf, "conversations")
+    fenced = F.concat(F.lit(" ```text\n"), F.col("text"), F.lit("\n```\n"))
+    said = F.concat(F.lit('{ {"a": '), F.col("turn").cast("string"), F.lit('} {"b": 2} }'))
+    read = F.concat(F.lit('{"a": '), F.try_variant_get(replies.first_flat_object(said), "$.a", "string"), F.lit("}"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), replies.passage(fenced).alias("passage"), read.alias("first_object"))
+
+
+@query(f"WITH {SPARSE}, bq AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN NULL WHEN item_id % 3 = 1 THEN ' ' || chr(10) ELSE text END AS text FROM benchmark), {_scored('bq', 's', 3)} SELECT query_id, chunk_id, score, rank FROM s")
+def blank_questions(spark, sf):
+    """Questions that are null or blank retrieve nothing."""
+    some = F.when(F.col("query_id") % 3 == 1, " \n").when(F.col("query_id") % 3 == 2, F.col("text"))
+    return retrieval.search_sparse(_corpus(spark, sf), _questions(spark, sf).select("query_id", some.alias("text")), 3)
+
+
+@query("SELECT page_id, page_id % 4 <> 3 AS listed FROM pages")
+def pdf_listed(spark, sf):
+    papers = _read(spark, sf, "pages").select("page_id", F.concat(F.col("page_id").cast("string"), F.lit(".pdf")).alias("pdf_path"))
+    files = papers.where("page_id % 4 <> 3").select(F.col("pdf_path").alias("path"))
+    there, missing = ingest.with_pdf(papers, files)
+    return there.select("page_id", F.lit(True).alias("listed")).unionByName(missing.select("page_id", F.lit(False).alias("listed")))
+
+
+@query(f"SELECT item_id, md5(replace(replace({_literal(rewrite.MULTI_QUERY_PROMPT)}, '{{n}}', '3'), '{{question}}', text)) AS digest FROM benchmark")
+def prompts_fill(spark, sf):
+    return _read(spark, sf, "benchmark").select("item_id", F.md5(rewrite.fill(rewrite.MULTI_QUERY_PROMPT, n=F.lit("3"), question=F.col("text"))).alias("digest"))
+
+
+_SEMANTIC = f"""{_SENTENCES}, sx AS (SELECT doc_id, source, text, l, len(l) <= 2 OR len(regexp_extract_all(text, {PIECES})) <= 128 AS whole FROM sn JOIN documents USING (doc_id)),
+e AS (SELECT doc_id * 100000 + i AS key, doc_id, source, i, l[i + 1] AS text FROM (SELECT doc_id, source, l, unnest(generate_series(0, len(l) - 1)) AS i FROM sx WHERE NOT whole)), {_bag('e', 'key', 'ev')},
+dp AS (SELECT e.doc_id, e.i, 1 - coalesce(sum(a.x * b.x), 0) AS dr FROM e LEFT JOIN ev a ON a.id = key LEFT JOIN ev b ON b.id = key - 1 AND a.b = b.b WHERE e.i > 0 GROUP BY ALL),
+lm AS (SELECT doc_id, quantile_cont(dr, 0.95) AS lim FROM dp GROUP BY doc_id),
+sg AS (SELECT e.doc_id, e.source, e.i, e.text, sum(CASE WHEN dr >= lim THEN 1 ELSE 0 END) OVER (PARTITION BY e.doc_id ORDER BY e.i ROWS UNBOUNDED PRECEDING) AS no FROM e LEFT JOIN dp ON dp.doc_id = e.doc_id AND dp.i = e.i LEFT JOIN lm ON lm.doc_id = e.doc_id),
+st AS (SELECT doc_id, source, no, string_agg(text, ' ' ORDER BY i) AS text FROM sg GROUP BY ALL),
+{_recursive_sql(128, 16, 'st', 'doc_id, source, no')},
+al AS (SELECT doc_id, source, flatten(list(l ORDER BY no)) AS l FROM rc GROUP BY ALL UNION ALL SELECT doc_id, source, CASE WHEN trim(text, ' ' || chr(10)) = '' THEN [] ELSE [text] END FROM sx WHERE whole)"""
+
+
+@query(f"""WITH {_SEMANTIC} SELECT doc_id || '::0::' || (i - 1) AS chunk_id, doc_id::VARCHAR AS paper_id, 0 AS section_index, source AS section_title, (i - 1)::INT AS chunk_index, l[i] AS text, length(l[i]) AS char_count, len(regexp_extract_all(l[i], {PIECES})) AS token_count, 'semantic' AS strategy
+FROM (SELECT doc_id, source, l, unnest(generate_series(1, len(l))) AS i FROM al)""")
+def chunk_semantic(spark, sf):
+    return chunking.chunk_sections(_sections(spark, sf), "semantic", 128, 16, vectors.hash_bag)
