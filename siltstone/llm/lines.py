@@ -237,7 +237,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = classes.join(small(stored(linked)), (F.col("h1") == F.col("node")) & (F.col("h2") == F.col("_h2")), "left").where("n > 1 OR node IS NOT NULL")
     known = stored(known.select("h1", "h2", "at", "component"))
     first = known.where("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("at").alias("keeper"))
-    kept = known.join(first, F.col("component") == F.col("c"), "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
+    kept = known.join(small(stored(first)), F.col("component") == F.col("c"), "left").select("h1", "h2", F.coalesce("keeper", "at").alias("keeper"))
     kept = small(stored(kept.select("h1", "h2", F.col("keeper.row").alias("r"), F.col("keeper.did").alias("d"), F.col("keeper.pos").alias("i"))))
     gone = lines.join(kept, ["h1", "h2"]).where("NOT (row = r AND did <=> d AND pos = i)")
     return gone.groupBy("did", "row").agg(F.collect_set("pos").alias("gone"))

@@ -77,7 +77,8 @@ def mix(
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), content.cast("string")))))
     sized = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key"), content.alias("text_hash")
-    ).withColumn("_bucket", F.substring("_key", 1, 3))
+    )
+    sized = stored(sized).withColumn("_bucket", F.substring("_key", 1, 3))  # texts are read once
     order = ["_key", "doc_id", "size", "text_hash"]
     within = W.partitionBy("source", "_bucket").orderBy(*order)
     queued = sized.withColumn("_in", F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).withColumn("_no", F.row_number().over(within))
@@ -111,7 +112,7 @@ def mix(
     served = lined.join(F.broadcast(ahead), F.col("_range") == F.col("_r")).select(*keys, "_turn", part.alias("_part")).where("_part > 0")
     turn = served.groupBy(*keys, "_turn").agg(F.sum("_part").alias("_part"))
     served = turn.groupBy(*keys).agg(F.sum("_part").alias("_taken"), F.sum((F.col("_part") * 2 >= F.col("size")).cast("int")).alias("_copies"))
-    served = served.select(*[F.col(k).alias(f"s{k}") for k in keys], "_taken", "_copies")
+    served = stored(served.select(*[F.col(k).alias(f"s{k}") for k in keys], "_taken", "_copies"))
     same = [F.col(k).eqNullSafe(F.col(f"s{k}")) for k in keys]
     both = same[0]
     for c in same[1:]:
@@ -139,7 +140,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     in no order, are taken.
     """
     plan = mix(docs, id_col, text_col, source_col, ordered=False, **options).groupBy("doc_id", "source", "text_hash").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).alias("copies"), F.count("*").alias("m"))
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies", "m")
+    plan = stored(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies", "m"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"))
     rows = rows.select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{source_col}`").alias("source"), F.xxhash64(F.col(f"doc.`{text_col}`")).alias("hash"))
     joined = rows.join(plan.where("copies > 0"), F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("hash") == F.col("_hash")))
