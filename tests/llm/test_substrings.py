@@ -73,3 +73,6 @@ def test_spans_of_a_reference_go(spark):
     ref = spark.createDataFrame([("a b c d e f g h i j k l m n o",), (None,)], "text string")
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j k l m n y"), (2, "a b c d"), (3, None)], "doc_id long, text string")
     assert {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substrings.remove_reference_spans(docs, ref).collect()} == {1: (14, "x y"), 2: (0, "a b c d"), 3: (0, "")}
+    nothing = spark.createDataFrame([], "text string")
+    assert {r["n_removed"] for r in substrings.remove_reference_spans(docs, nothing).collect()} == {0}
+    assert substrings.remove_reference_spans(docs.limit(0), ref).collect() == []
