@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.config import load_settings
 from siltstone.functions.text import preview
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import chunking, evals, grounding, ingest, metrics, sparse
+from siltstone.operators import chunking, dense, evals, grounding, ingest, metrics, sparse
 from siltstone.plans import retrieval
 from siltstone.sources import sinks, tables
 from siltstone.sources.scratch import stored
@@ -41,7 +41,8 @@ def _model(name: str) -> grounding.Model | None:
 
 
 def _corpus(spark: SparkSession, args: argparse.Namespace) -> retrieval.Corpus:
-    return retrieval.Corpus(tables.table(spark, args.chunks), sparse.load(spark, f"{args.index}/bm25"), tables.table(spark, f"{args.index}/vectors"))
+    cells = dense.load_cells(spark, f"{args.index}/ann") if tables.exists(spark, f"{args.index}/ann/members") else None
+    return retrieval.Corpus(tables.table(spark, args.chunks), sparse.load(spark, f"{args.index}/bm25"), tables.table(spark, f"{args.index}/vectors"), cells=cells)
 
 
 def fetch(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -72,6 +73,9 @@ def index(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     chunks = tables.table(spark, args.chunks)
     sparse.save(sparse.build(chunks), f"{args.out}/bm25")
     n = sinks.write_vectors(hash_bag(chunks, ["chunk_id"]), f"{args.out}/vectors")
+    sinks.remove(spark, f"{args.out}/ann")
+    if n >= load_settings().ann_min_rows:
+        dense.save_cells(dense.build_cells(tables.table(spark, f"{args.out}/vectors")), f"{args.out}/ann")
     return spark.createDataFrame([(n,)], "chunks long")
 
 

@@ -1,8 +1,16 @@
-"""Exact nearest neighbours of a batch of queries by cosine."""
+"""Nearest neighbours of a batch of queries by cosine: exact, or among the cells of an index for large tables.
+
+The index deals all vectors to cells by the nearest of some centroids, which are fitted to a bounded
+sample. A search compares a query with the vectors of its nearest cells only; scores are exact.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import dot, normalized
@@ -29,3 +37,66 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "c
         best = top_k(scored, k)
         out = best if out is None else out.unionByName(best)
     return out
+
+
+@dataclass
+class CellIndex:
+    """``cells`` with one row, ``centroids`` array<array<double>>; ``members(cell, chunk_id, vector)`` with every vector, normalised."""
+
+    cells: DataFrame
+    members: DataFrame
+
+
+def fit_centroids(unit: np.ndarray, cells: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
+    """Unit centroids of unit vectors by k-means on the sphere; empty cells keep their centroid."""
+    centroids = unit[np.random.default_rng(seed).permutation(len(unit))[:cells]].copy()
+    for _ in range(rounds):
+        own = (unit @ centroids.T).argmax(1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, unit)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centroids = np.where(size > 0, sums / np.maximum(size, 1e-12), centroids)
+    return centroids
+
+
+def _likeness(vector: Column) -> Column:
+    """array<struct<s, cell>> of a vector's cosines with the centroids."""
+    return F.transform("centroids", lambda c, i: F.struct(F.round(dot(vector, c), 9).alias("s"), (-i).alias("cell")))
+
+
+def build_cells(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vector", sample: int = 20_000, most_cells: int = 1024, seed: int = 3) -> CellIndex:
+    """An index of about the square root of n cells, at most ``most_cells``, fitted to ``sample`` vectors by hash of the id.
+
+    Every vector is indexed, whatever the sample; null, empty and zero vectors are left out, and so are
+    vectors of another length than the first of the sample.
+    """
+    spark = vectors.sparkSession
+    unit = vectors.select(F.col(id_col).alias("chunk_id"), normalized(F.col(vec_col)).alias("vector")).where("size(vector) > 0 AND exists(vector, x -> x <> 0)")
+    some = [r[0] for r in unit.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string"))), "chunk_id").limit(sample).select("vector").collect()]
+    some = [v for v in some if len(v) == len(some[0])]
+    n = unit.count()
+    cells = max(1, min(most_cells, math.isqrt(n), len(some) // 4 or 1))
+    centroids = fit_centroids(np.array(some), cells, seed=seed).tolist() if some else []
+    table = spark.createDataFrame([(centroids,)], "centroids array<array<double>>")
+    dim = len(some[0]) if some else 0
+    dealt = unit.where(F.size("vector") == dim).join(F.broadcast(table)).select((-F.array_max(_likeness(F.col("vector")))["cell"]).alias("cell"), "chunk_id", "vector")
+    return CellIndex(table, dealt)
+
+
+def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int | None = None, query_col: str = "query_id", query_vec_col: str = "vector", digits: int = 6) -> DataFrame:
+    """As ``search``, among the vectors of each query's ``probes`` nearest cells (a quarter of all if not told)."""
+    asked = queries.select(F.col(query_col).alias("query_id"), normalized(F.col(query_vec_col)).alias("_q")).join(F.broadcast(index.cells))
+    near = F.sort_array(_likeness(F.col("_q")), asc=False)
+    count = F.lit(probes) if probes else F.greatest(F.lit(1), F.ceil(F.size("centroids") / 4)).cast("int")
+    probed = asked.select("query_id", "_q", F.explode(F.slice(near, 1, count)).alias("p")).select("query_id", "_q", (-F.col("p.cell")).alias("cell"))
+    scored = index.members.join(probed, "cell").select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("_q")), digits).alias("score"))
+    return top_k(scored, k)
+
+
+def save_cells(index: CellIndex, path: str) -> None:
+    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    index.members.write.mode("overwrite").parquet(f"{path}/members")
+
+
+def load_cells(spark, path: str) -> CellIndex:
+    return CellIndex(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/members"))

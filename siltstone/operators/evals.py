@@ -27,6 +27,7 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "chunk_id")
 
 def reject_reason(question: Column, answer: Column, confidence: Column, text: Column, min_confidence: float = 0.6, min_question: int = 15, min_answer: int = 20) -> Column:
     """The first failed check, or null for an item to keep."""
+    # The five reasons.
     return (
         F.when(confidence < min_confidence, F.format_string("low confidence (%.2f)", confidence))
         .when(F.length(question) < min_question, "question too short")

@@ -29,6 +29,7 @@ class Corpus:
     index: sparse.SparseIndex
     vectors: DataFrame
     embed: Embedder = hash_bag
+    cells: dense.CellIndex | None = None  # where given, vector search looks into the nearest cells only
 
     @classmethod
     def of(cls, chunks: DataFrame, embed: Embedder = hash_bag) -> Corpus:
@@ -45,7 +46,8 @@ def search_sparse(corpus: Corpus, questions: DataFrame, k: int = 10) -> DataFram
 
 
 def search_dense(corpus: Corpus, questions: DataFrame, k: int = 10) -> DataFrame:
-    return dense.search(corpus.vectors, corpus.embed(_asked(questions, ["query_id"]), ["query_id"], "text"), k)
+    asked = corpus.embed(_asked(questions, ["query_id"]), ["query_id"], "text")
+    return dense.search_cells(corpus.cells, asked, k) if corpus.cells else dense.search(corpus.vectors, asked, k)
 
 
 def search_hybrid(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out: int = 50, rrf_k: int = 60) -> DataFrame:

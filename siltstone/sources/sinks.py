@@ -31,6 +31,12 @@ def write_vectors(vectors: DataFrame, path: str) -> int:
     return n
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of an earlier run, if there is one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run_name(config: str, strategy: str, k: int, timestamp: str) -> str:
     return f"{config}_{strategy}_k{k}_{timestamp.replace(':', '-').replace('.', '-')}"
 

@@ -66,13 +66,19 @@ def test_commands_from_pages_to_evaluation(spark, tmp_path):
     assert table.startswith("# Retrieval ablation") and table.count("\n| sparse |") == 1 and table.count("\n| hybrid |") == 1
 
 
-def test_commands_with_a_model(spark, tmp_path):
+def test_commands_with_a_model(spark, tmp_path, monkeypatch):
     """json.dumps stands for a model whose replies hold no JSON object or list."""
     rows = [(f"p{i}::0::0", f"p{i}", "Method", f"Sparse retrieval number{i} scores terms with an inverted index, paper by paper.", "recursive", 120) for i in range(5)]
     spark.createDataFrame(rows, "chunk_id string, paper_id string, section_title string, text string, strategy string, token_count int").write.parquet(f"{tmp_path}/chunks")
     run = lambda *a: cli.main(list(a), spark).collect()
     run("index", "--chunks", f"{tmp_path}/chunks", "--out", f"{tmp_path}/index")
     where = ["--index", f"{tmp_path}/index", "--chunks", f"{tmp_path}/chunks"]
+    assert not (tmp_path / "index" / "ann").exists()
+    exact = run("search", *where, "--text", "number3 scores", "--config", "dense", "--k", "2")
+    monkeypatch.setenv("ANN_MIN_ROWS", "5")  # now a table of five is large
+    run("index", "--chunks", f"{tmp_path}/chunks", "--out", f"{tmp_path}/index")
+    assert spark.read.parquet(f"{tmp_path}/index/ann/members").count() == 5
+    assert run("search", *where, "--text", "number3 scores", "--config", "dense", "--k", "2") == exact
     for config in ("rerank", "multi-query", "hyde"):
         (r,) = run("query", *where, "--text", "Which one is number3?", "--config", config, "--model", "json:dumps")
         assert r["abstained"] and r["answer"] == "(the reply was no valid JSON)" and r["chunk_id"] is None
