@@ -141,3 +141,44 @@ def stream_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         t = pa.Table.from_batches(held)
         at = starts(t)
         yield t, np.append(at, t.num_rows)
+
+
+def in_order(rows: DataFrame, ranges: list[str], ties: list[str]) -> DataFrame:
+    """Deal rows to ranges of ``ranges`` (the key, then what orders its rows) and sort each range by these and ``ties``, nulls first.
+
+    A key with very many rows, null included, spreads over as many ranges as its share; ranges follow
+    one another in the order of their number, so a key's rows are those of neighbouring ranges.
+    """
+    return rows.repartitionByRange(partitions(rows.sparkSession), *ranges).sortWithinPartitions(*ranges, *ties)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Of batches from ``in_order``: each batch, where its runs of one key start (and its end), and which runs surely hold all rows of their key.
+
+    A run is cut where its batch ends, so what is held is one batch, however many rows a key has. The
+    runs at both ends of a partition may go on in another one and are never called whole.
+    """
+
+    def same(a: pa.RecordBatch, i: int, b: pa.RecordBatch, j: int) -> bool:
+        return a[key][i].as_py() == b[key][j].as_py()
+
+    held, goes_on = None, True  # the first run may have begun before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            ends = not same(held, held.num_rows - 1, batch, 0)
+            yield _runs(held, key, goes_on, not ends)
+            goes_on = not ends
+        held = batch
+    if held is not None:
+        yield _runs(held, key, goes_on, True)
+
+
+def _runs(batch: pa.RecordBatch, key: str, before: bool, after: bool) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    codes = batch[key].dictionary_encode(null_encoding="encode").indices.to_numpy()
+    starts = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
+    whole = np.ones(len(starts) - 1, bool)
+    whole[0] &= not before
+    whole[-1] &= not after
+    return batch, starts, whole

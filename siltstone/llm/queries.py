@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import embeddings, html, lines, mixing, packing, quality, simhash, spotsigs, substrings, toxicity
+from siltstone.llm import chat, embeddings, html, lines, mixing, packing, quality, repair, simhash, spelling, spotsigs, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,9 +136,138 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.CUT).cast("int").alias("predicted"), "toxicity_lang")
 
 
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a text's UTF-8 bytes; the table (from its rule) is ``t`` of the CTE ``crc``."""
+    byte = "lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT".format(text)
+    bytes_ = f"list_transform(range(0, octet_length(encode({text}))::BIGINT), {byte})"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {bytes_}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+def _crc_table() -> str:
+    rows = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        rows.append(str(n))
+    return f"crc AS (SELECT [{', '.join(rows)}]::BIGINT[] AS t)"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says the template's own marks."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(own)))
+
+
+OP11_SQL = r"""
+WITH x AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))
+), y AS (
+  SELECT *, len(text) + len(regexp_extract_all(text, '[\[<]\\*/?(INST|SYS|ROLE|TEXT|s)[\]>]')) AS n,
+    len(role) + len(regexp_extract_all(role, '[\[<]\\*/?(INST|SYS|ROLE|TEXT|s)[\]>]')) AS m FROM x
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 23 + m END)::BIGINT AS formatted_chars
+FROM y GROUP BY conv_id
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.summaries(repair.repair(repair.damage(_table(spark, sf_dir, "conversations"))))
+
+
+#: The same program with whole audits, one turn a round; of each state the cheapest, then the least audit.
+OP12_SQL = rf"""
+WITH RECURSIVE {_crc_table()}, f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations, crc
+), g AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy FROM f WHERE fault <> 0
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM g
+), e AS (
+  SELECT *, left(role, 1) AS c, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(bare, 1) NOT IN ('.', '!', '?') AS short,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM d
+), n AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+    count_if(short AND NOT again AND NOT blank) AS truncated, count_if(i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id
+), m AS (
+  SELECT * FROM (VALUES ('_', 0, '', '_'), ('_', 3, 'I', 'u'), ('_', 6, 'II', 'a'), ('s', 0, '', 's'), ('s', 3, 'I', 'u'), ('s', 6, 'II', 'a'), ('u', 0, '', 'u'), ('u', 3, 'I', 'a'), ('u', 6, 'II', 'u'), ('a', 0, '', 'a'), ('a', 3, 'I', 'u'), ('a', 6, 'II', 'a')) x(a, more, said, b)
+), p AS (
+  SELECT conv_id, 0::BIGINT AS i, '_' AS state, 0::BIGINT AS cost, '' AS audit FROM n
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+      SELECT p.conv_id, e.i, w.state, p.cost + m.more + w.cost AS cost, p.audit || m.said || w.said AS audit
+      FROM p JOIN e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 JOIN m ON m.a = p.state,
+      LATERAL (
+        SELECT m.b AS state, 4 AS cost, 'D' AS said
+        UNION ALL SELECT e.c, CASE WHEN e.short THEN 3 ELSE 0 END, 'K' WHERE NOT e.blank AND NOT e.again AND ((e.c = 's' AND m.b = '_') OR (e.c = 'u' AND m.b <> 'u') OR (e.c = 'a' AND m.b = 'u'))
+        UNION ALL SELECT CASE WHEN m.b = 'u' THEN 'a' ELSE 'u' END, CASE WHEN e.short THEN 6 ELSE 3 END, 'R' WHERE NOT e.blank AND NOT e.again
+      ) w
+    )
+  ) WHERE best = 1
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS best FROM (
+    SELECT p.conv_id, p.cost + m.more AS cost, p.audit || m.said AS audit FROM p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.rows = p.i JOIN m ON m.a = p.state WHERE m.b IN ('a', '_')
+  )
+), l AS (
+  SELECT conv_id, audit, unnest(range(1, len(audit) + 1)) AS j FROM z WHERE best = 1
+), q AS (
+  SELECT conv_id, j, audit[j] AS said, count_if(audit[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i FROM l
+), r AS (
+  SELECT q.conv_id, q.j, q.said, CASE WHEN q.said = 'I' THEN '' ELSE e.text END AS text, e.role, row_number() OVER (PARTITION BY q.conv_id ORDER BY q.j) AS k,
+    coalesce(bool_or(q.said = 'K' AND e.c = 's') OVER (PARTITION BY q.conv_id), false) AS led
+  FROM q LEFT JOIN e ON q.said <> 'I' AND e.conv_id IS NOT DISTINCT FROM q.conv_id AND e.i = q.i WHERE q.said <> 'D'
+), s AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN said = 'K' THEN role WHEN (k + CASE WHEN led THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS sha FROM r GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(n.blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(z.cost, 0)::BIGINT AS cost, coalesce(z.audit, '') AS audit, coalesce(s.sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.best = 1 AND z.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+#: Near words by joins of the vocabulary with itself, roots by following forms.
+OP13_SQL = rf"""
+WITH RECURSIVE {_crc_table()}, a AS (
+  SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL
+), b AS (
+  SELECT w, n, {_crc32("(coalesce(doc_id::VARCHAR, '') || ':' || w)")} AS h FROM a, crc WHERE len(w) >= 6
+), v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, n FROM b) GROUP BY word HAVING sum(n) >= 5 AND len(word) >= 6
+), x AS (
+  SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v
+), k AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM x
+), e AS (
+  SELECT k.word, j.word AS near, j.n FROM k JOIN k j ON k.i = j.i AND k.p = j.p AND k.s = j.s AND k.word <> j.word
+), l AS (
+  SELECT DISTINCT k.word, v.word AS shorter, k.n, v.n AS m FROM k JOIN v ON v.word = k.p || k.s
+), o AS (
+  SELECT * FROM e UNION ALL SELECT word, shorter, m FROM l UNION ALL SELECT shorter, word, n FROM l
+), c AS (
+  SELECT word, count(*) AS n_near, max(n) AS best, min_by(near, (-n, near)) AS near FROM o GROUP BY word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best >= 5 * v.n THEN near END AS form, CASE WHEN best >= 5 * v.n THEN best END::BIGINT AS form_n FROM v LEFT JOIN c USING (word)
+), r AS (
+  SELECT word, word AS root, 0 AS d FROM f UNION ALL SELECT r.word, f.form, d + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, max_by(r.root, r.d) AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) GROUP BY ALL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op6_quality, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_spotsigs_fingerprints, op4_pack_sequences, op5_toxicity, op6_quality, op7_mix_sources, op8_substring_dedup, op9_line_dedup, op10_simhash_near_dedup, op11_chat_format, op12_conversation_repair, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op11_chat_format": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}
