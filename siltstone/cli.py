@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.config import load_settings
 from siltstone.functions.text import preview
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import chunking, dense, evals, grounding, ingest, metrics, sparse
+from siltstone.operators import ann, chunking, evals, grounding, ingest, metrics, sparse
 from siltstone.plans import retrieval
 from siltstone.sources import sinks, tables
 from siltstone.sources.scratch import stored
@@ -41,8 +41,9 @@ def _model(name: str) -> grounding.Model | None:
 
 
 def _corpus(spark: SparkSession, args: argparse.Namespace) -> retrieval.Corpus:
-    cells = dense.load_cells(spark, f"{args.index}/ann") if tables.exists(spark, f"{args.index}/ann/members") else None
-    return retrieval.Corpus(tables.table(spark, args.chunks), sparse.load(spark, f"{args.index}/bm25"), tables.table(spark, f"{args.index}/vectors"), cells=cells)
+    """The stored index; vectors are searched by cells where it has them, unless ``--exact`` is told."""
+    cells = ann.load(spark, f"{args.index}/ann") if args.exact == "no" and tables.exists(spark, f"{args.index}/ann/members") else None
+    return retrieval.Corpus(tables.table(spark, args.chunks), sparse.load(spark, f"{args.index}/bm25"), tables.table(spark, f"{args.index}/vectors"), ann=cells)
 
 
 def fetch(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -75,22 +76,23 @@ def index(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     n = sinks.write_vectors(hash_bag(chunks, ["chunk_id"]), f"{args.out}/vectors")
     sinks.remove(spark, f"{args.out}/ann")
     if n >= load_settings().ann_min_rows:
-        dense.save_cells(dense.build_cells(tables.table(spark, f"{args.out}/vectors")), f"{args.out}/ann")
+        ann.build(tables.table(spark, f"{args.out}/vectors"), f"{args.out}/ann")
     return spark.createDataFrame([(n,)], "chunks long")
 
 
 def search(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    corpus, question = _corpus(spark, args), spark.createDataFrame([("q", args.text)], "query_id string, text string")
-    hits = retrieval.search(args.config, corpus, question, args.k, _model(args.model)).select("chunk_id", "rank")
+    s, corpus, question = load_settings(), _corpus(spark, args), spark.createDataFrame([("q", args.text)], "query_id string, text string")
+    hits = retrieval.search(args.config, corpus, question, args.k, _model(args.model), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("chunk_id", "rank")
     return hits.join(corpus.chunks, "chunk_id").select("rank", "chunk_id", preview(F.col("text")).alias("preview")).orderBy("rank")
 
 
 def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    k, corpus = load_settings().top_k, _corpus(spark, args)
+    s, corpus = load_settings(), _corpus(spark, args)
+    k = s.top_k
     items = tables.eval_items(spark, args.items)
     asked = items.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     wanted = items.select(F.col("id").alias("query_id"), "type", F.col("source_chunk_ids").alias("gold"))
-    hits = stored(retrieval.search(args.config, corpus, asked, k, _model(args.model), load_settings().n_rewrites).select("query_id", "chunk_id", "rank"))
+    hits = stored(retrieval.search(args.config, corpus, asked, k, _model(args.model), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("query_id", "chunk_id", "rank"))
     run = metrics.evaluate(hits, wanted, k, args.config, args.strategy)
     now = dt.datetime.now(dt.UTC).isoformat()
     sinks.write_run(metrics.per_query(hits, wanted, k), run, args.out, args.config, args.strategy, k, now)
@@ -101,7 +103,7 @@ def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def _answers(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified answers to the questions, and the passages that they were given."""
     s, corpus, model = load_settings(), _corpus(spark, args), _model(args.model)
-    found = retrieval.search(args.config, corpus, questions, s.context_k, model, s.n_rewrites).select("query_id", "chunk_id", "rank")
+    found = retrieval.search(args.config, corpus, questions, s.context_k, model, s.n_rewrites, s.fan_out, s.rrf_k).select("query_id", "chunk_id", "rank")
     hits = stored(found.join(corpus.chunks.select("chunk_id", "section_title", "text"), "chunk_id"))
     return stored(retrieval.answer(corpus, questions, model, hits, s.context_k)), hits
 
@@ -149,12 +151,12 @@ COMMANDS = {
     "parse": (parse, ["pages", "out"], {}),
     "chunk": (chunk, ["sections", "out"], {"strategy": "recursive"}),
     "index": (index, ["chunks", "out"], {}),
-    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": ""}),
-    "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank"}),
-    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive", "model": ""}),
+    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no"}),
+    "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank", "exact": "no"}),
+    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive", "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no"}),
     "generate-evals": (generate_evals, ["chunks", "out", "model"], {"single-hop": 200, "no-answer": 30, "seed": 42}),
-    "eval-generation": (eval_generation, ["index", "chunks", "items", "out", "model"], {"config": "rerank"}),
-    "eval-ragas": (eval_ragas, ["index", "chunks", "items", "out", "model"], {"config": "rerank"}),
+    "eval-generation": (eval_generation, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no"}),
+    "eval-ragas": (eval_ragas, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no"}),
 }
 
 

@@ -1,102 +1,86 @@
-"""Nearest neighbours of a batch of queries by cosine: exact, or among the cells of an index for large tables.
-
-The index deals all vectors to cells by the nearest of some centroids, which are fitted to a bounded
-sample. A search compares a query with the vectors of its nearest cells only; scores are exact.
-"""
+"""Nearest neighbours of a batch of questions by cosine, exact over all vectors."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.functions.vectors import dot, normalized
+from siltstone.operators.nearest import CHUNK, Best, matrix, rounded
 from siltstone.operators.sparse import top_k
+from siltstone.sources.scratch import stored
 
-#: Query vectors sent to every executor at once; larger batches are answered in blocks of this size.
+#: Question vectors sent to every executor at once; larger batches are answered in blocks of this size.
 BLOCK = 4096
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "vector", query_col: str = "query_id", query_vec_col: str = "vector", digits: int = 6) -> DataFrame:
-    """``query_id, chunk_id, score, rank``; score is the cosine, ties go to the smaller chunk_id.
+def blocks(queries: DataFrame, query_col: str, vec_col: str) -> Iterator[tuple[list, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """Blocks of at most about BLOCK questions: their ids, and for each length of vector (places in the ids, unit vectors).
 
-    Queries are broadcast in blocks of at most BLOCK vectors (by hash of the id), and each partition
-    of the vectors keeps its best k of each query before anything is shuffled.
+    Null vectors, and those with null or not finite numbers, ask nothing.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
-    left = vectors.select(F.col(id_col).alias("chunk_id"), normalized(F.col(vec_col)).alias("_v")).where(F.size("_v") > 0)
-    asked = queries.select(F.col(query_col).alias("query_id"), normalized(F.col(query_vec_col)).alias("_q"))
-    out = None
-    for b in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = left.join(F.broadcast(some), F.size("_v") == F.size("_q")).select("query_id", "chunk_id", F.round(dot(F.col("_v"), F.col("_q")), digits).alias("score"))
-        best = top_k(scored, k)
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
-@dataclass
-class CellIndex:
-    """``cells`` with one row, ``centroids`` array<array<double>>; ``members(cell, chunk_id, vector)`` with every vector, normalised."""
-
-    cells: DataFrame
-    members: DataFrame
+    asked = queries.select(F.col(query_col).alias("query_id"), F.col(vec_col).alias("vector")).where("size(vector) > 0")
+    n = -(-asked.count() // BLOCK)
+    if n > 1:
+        asked = stored(asked)
+    for b in range(n):
+        table = (asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)).toArrow()
+        lists = table["vector"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        found = {}
+        for dim in set(np.diff(lists.offsets.to_numpy()).tolist()):
+            rows, at = matrix(lists, dim)
+            if len(at):
+                found[dim] = (at, rows)
+        if found:
+            yield table["query_id"].to_pylist(), found
+
+
+def ids_of(column: pa.Array) -> np.ndarray:
+    """Ids as numpy values that sort as Spark sorts them."""
+    return column.to_numpy(zero_copy_only=False) if pa.types.is_integer(column.type) and not column.null_count else np.array(column.to_pylist(), object)
+
+
+def emitted(best: Best, names: list, at: np.ndarray, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """The rows ``query_id, chunk_id, score`` of the best of some questions."""
+    for q, scores, ids in best.rows():
+        yield pa.RecordBatch.from_arrays([pa.array([names[at[q]]] * len(ids), types[0]), pa.array(ids.tolist(), types[1]), pa.array(scores)], ["query_id", "chunk_id", "score"])
 
 
-def fit_centroids(unit: np.ndarray, cells: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
-    """Unit centroids of unit vectors by k-means on the sphere; empty cells keep their centroid."""
-    centroids = unit[np.random.default_rng(seed).permutation(len(unit))[:cells]].copy()
-    for _ in range(rounds):
-        own = (unit @ centroids.T).argmax(1)
-        sums = np.zeros_like(centroids)
-        np.add.at(sums, own, unit)
-        size = np.sqrt((sums * sums).sum(1, keepdims=True))
-        centroids = np.where(size > 0, sums / np.maximum(size, 1e-12), centroids)
-    return centroids
-
-
-def _likeness(vector: Column) -> Column:
-    """array<struct<s, cell>> of a vector's cosines with the centroids."""
-    return F.transform("centroids", lambda c, i: F.struct(F.round(dot(vector, c), 9).alias("s"), (-i).alias("cell")))
-
-
-def build_cells(vectors: DataFrame, id_col: str = "chunk_id", vec_col: str = "vector", sample: int = 20_000, most_cells: int = 1024, seed: int = 3) -> CellIndex:
-    """An index of about the square root of n cells, at most ``most_cells``, fitted to ``sample`` vectors by hash of the id.
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "chunk_id", vec_col: str = "vector", query_col: str = "query_id", query_vec_col: str = "vector", digits: int = 6) -> DataFrame:
+    """``query_id, chunk_id, score, rank``; score is the cosine, ties go to the smaller chunk_id.
 
-    Every vector is indexed, whatever the sample; null, empty and zero vectors are left out, and so are
-    vectors of another length than the first of the sample.
+    The questions go to all tasks in blocks of at most BLOCK vectors. A task compares CHUNK vectors with
+    the block by one matrix product and keeps the k best of each question, so what is shuffled is k
+    rows of a question and task, and what is held does not grow with the vectors. Vectors of another
+    length, null, or with null or not finite numbers are left out; a zero vector's cosine is 0.
     """
+    if k <= 0:
+        raise ValueError("k must be positive")
     spark = vectors.sparkSession
-    unit = vectors.select(F.col(id_col).alias("chunk_id"), normalized(F.col(vec_col)).alias("vector")).where("size(vector) > 0 AND exists(vector, x -> x <> 0)")
-    some = [r[0] for r in unit.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string"))), "chunk_id").limit(sample).select("vector").collect()]
-    some = [v for v in some if len(v) == len(some[0])]
-    n = unit.count()
-    cells = max(1, min(most_cells, math.isqrt(n), len(some) // 4 or 1))
-    centroids = fit_centroids(np.array(some), cells, seed=seed).tolist() if some else []
-    table = spark.createDataFrame([(centroids,)], "centroids array<array<double>>")
-    dim = len(some[0]) if some else 0
-    dealt = unit.where(F.size("vector") == dim).join(F.broadcast(table)).select((-F.array_max(_likeness(F.col("vector")))["cell"]).alias("cell"), "chunk_id", "vector")
-    return CellIndex(table, dealt)
-
-
-def search_cells(index: CellIndex, queries: DataFrame, k: int = 10, probes: int | None = None, query_col: str = "query_id", query_vec_col: str = "vector", digits: int = 6) -> DataFrame:
-    """As ``search``, among the vectors of each query's ``probes`` nearest cells (a quarter of all if not told)."""
-    asked = queries.select(F.col(query_col).alias("query_id"), normalized(F.col(query_vec_col)).alias("_q")).join(F.broadcast(index.cells))
-    near = F.sort_array(_likeness(F.col("_q")), asc=False)
-    count = F.lit(probes) if probes else F.greatest(F.lit(1), F.ceil(F.size("centroids") / 4)).cast("int")
-    probed = asked.select("query_id", "_q", F.explode(F.slice(near, 1, count)).alias("p")).select("query_id", "_q", (-F.col("p.cell")).alias("cell"))
-    scored = index.members.join(probed, "cell").select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("_q")), digits).alias("score"))
-    return top_k(scored, k)
-
-
-def save_cells(index: CellIndex, path: str) -> None:
-    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
-    index.members.write.mode("overwrite").parquet(f"{path}/members")
-
-
-def load_cells(spark, path: str) -> CellIndex:
-    return CellIndex(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/members"))
+    kinds = [queries.schema[query_col].dataType, vectors.schema[id_col].dataType]
+    schema = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    types = [to_arrow_type(t) for t in kinds]
+    left = vectors.select(F.col(id_col).alias("chunk_id"), F.col(vec_col).alias("vector")).where("chunk_id IS NOT NULL AND size(vector) > 0")
+    out = spark.createDataFrame([], schema)
+    for names, groups in blocks(queries, query_col, query_vec_col):
+        sent = spark.sparkContext.broadcast((names, groups))
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, groups = sent.value
+            best = {dim: Best(len(at), k) for dim, (at, _) in groups.items()}
+            for batch in batches:
+                for dim, (_, asked) in groups.items():
+                    rows, at = matrix(batch["vector"], dim)
+                    ids = ids_of(batch["chunk_id"].take(pa.array(at)))
+                    for i in range(0, len(at), CHUNK):
+                        best[dim].add(np.arange(len(asked)), rounded(asked @ rows[i : i + CHUNK].T, digits), ids[i : i + CHUNK])
+            for dim, b in best.items():
+                yield from emitted(b, names, groups[dim][0], types)
+
+        out = out.unionByName(left.mapInArrow(compare, schema))
+    return top_k(out, k)

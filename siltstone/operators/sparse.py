@@ -1,64 +1,293 @@
-"""BM25 over an inverted index of DataFrames, for a batch of queries at once."""
+"""BM25 over an inverted index in shards, for a batch of questions at once.
+
+Index. The chunks of an Arrow batch, up to SHARD characters, are a shard. A shard's postings are worked
+out where its texts are read, so no token is shuffled: one row a term with the chunks' places in the
+shard and the term's counts there, and bounds of both for the whole row and for each BLOCK postings; one
+more row has the chunks' ids and lengths. Rows lie in folders by a hash of the term, sorted by term.
+
+Search. Only folders of asked terms are read, and of them only the rows of asked terms move, to the task
+of their shard. There each question is answered by MaxScore: terms whose bounds together cannot reach
+the question's k-th best score so far name no candidates; of the others, blocks whose bound cannot are
+skipped; what is left of the first terms is looked up for the remaining candidates only. The result is
+that of scoring every posting. A task keeps the k best of a question over all its shards.
+
+Chunk ids are keys; chunks without id are left out, null texts are empty.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.text import terms
+from siltstone.operators.nearest import Best, rounded
 from siltstone.sources.scratch import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
-
-#: Weighted query terms that may be broadcast, after they are counted; more are joined by a shuffle.
+#: Weighted query terms that are sent to all tasks at once; more are answered in blocks of questions.
 MOST_TERMS = 500_000
+#: Characters of a shard, postings of a block, folders of terms.
+SHARD, BLOCK, FOLDERS = 1 << 24, 128, 64
+_TERM = re.compile("[a-z0-9]+")
+_LISTS = ["ords", "tfs", "block_tf", "block_dl"]
 
 
 @dataclass
 class SparseIndex:
-    """``postings(chunk_id, term, tf, dl)``, ``vocabulary(term, df)``, ``totals(n, avgdl)``."""
+    """``blocks(shard, term, n, ords, tfs, block_tf, block_dl, ids, dls, folder)``, ``vocabulary(term, df, folder)``, ``totals(n, avgdl, mean_raw)``.
+
+    A row of ``blocks`` without term has the ``ids`` and lengths ``dls`` of its shard's chunks.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
     vocabulary: DataFrame
     totals: DataFrame
 
+    @property
+    def postings(self) -> DataFrame:
+        """``chunk_id, term, tf, dl``, one row a posting."""
+        named = self.blocks.where("folder = -1").select("shard", "ids", "dls")
+        each = self.blocks.where("folder >= 0").select("shard", "term", F.explode(F.arrays_zip("ords", "tfs")).alias("p"))
+        return each.join(named, "shard").select(F.get("ids", F.col("p.ords")).alias("chunk_id"), "term", F.col("p.tfs").alias("tf"), F.get("dls", F.col("p.ords")).alias("dl"))
+
+
+def _folder(term: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(FOLDERS)).cast("int")
+
+
+def _shard(number: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+    """The rows of one shard."""
+    found = [_TERM.findall(t) for t in texts]
+    dls = np.array([len(f) for f in found], np.int32)
+    tokens = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+    names, n_docs = tokens.dictionary, len(texts)
+    pairs, tfs = np.unique(tokens.indices.to_numpy().astype(np.int64) * max(1, n_docs) + np.repeat(np.arange(n_docs), dls), return_counts=True)
+    codes, ords = np.divmod(pairs, max(1, n_docs))
+    sizes = np.bincount(codes, minlength=len(names))
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    # first posting of each block of a term
+    counts = -(-sizes // BLOCK)
+    block_ends = np.cumsum(counts)
+    starts = np.repeat(begins, counts) + BLOCK * (np.arange(counts.sum()) - np.repeat(block_ends - counts, counts))
+    bound = lambda f, x: f.reduceat(x, starts) if len(starts) else np.zeros(0, np.int64)
+    lists = [(ords, ends), (tfs, ends), (bound(np.maximum, tfs), block_ends), (bound(np.minimum, dls[ords]), block_ends)]
+    n = len(names)
+    # the last row, without term, is the shard's own
+    columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], e, e[-1:] if n else [0]]).astype(np.int32)), pa.array(v.astype(np.int32))) for v, e in lists]
+    none = [0] * (n + 1)
+    own = [pa.ListArray.from_arrays(pa.array(np.array([*none, n_docs], np.int32)), v) for v in (ids, pa.array(dls))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, number)), pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(sizes, n_docs).astype(np.int64)), *columns, *own], ["shard", "term", "n", *_LISTS, "ids", "dls"])
+
 
 def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
-    """Each text is read as terms once; term counts are combined before the shuffle, so a word in every chunk is no hot key.
+    """The index of all chunks, written to the shared folder."""
+    kind = chunks.schema[id_col].dataType
+    named = chunks.select(F.col(id_col).alias("chunk_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).where("chunk_id IS NOT NULL")
 
-    The postings are written to the shared folder, as the vocabulary follows from them.
-    """
-    split = chunks.select(F.col(id_col).alias("chunk_id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    counted = split.select("chunk_id", F.size("t").alias("dl"), F.explode_outer("t").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    every = stored(counted)  # a chunk without terms has one row, its term null
-    totals = every.groupBy("chunk_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = every.where("term IS NOT NULL").select("chunk_id", "term", "tf", "dl")
-    return SparseIndex(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stored(totals))
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts, at = batch["text"].to_pylist(), 0
+            while at < len(texts):
+                upto, size = at, 0
+                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SHARD):
+                    size += len(texts[upto])
+                    upto += 1
+                yield _shard(number, batch["chunk_id"].slice(at, upto - at), texts[at:upto])
+                number, at = number + 1, upto
+
+    arrays = ", ".join(f"{c} array<int>" for c in _LISTS)
+    made = named.mapInArrow(shards, f"shard long, term string, n long, {arrays}, ids array<{kind.simpleString()}>, dls array<int>")
+    dealt = made.withColumn("folder", F.coalesce(_folder(F.col("term")), F.lit(-1))).hint("rebalance", "folder").sortWithinPartitions("folder", "term", "shard")
+    return _index(stored(dealt, "folder"))
+
+
+def _index(blocks: DataFrame) -> SparseIndex:
+    vocabulary = stored(blocks.where("folder >= 0").groupBy("folder", "term").agg(F.sum("n").alias("df")).sortWithinPartitions("folder", "term"), "folder").select("term", "df", "folder")
+    sizes = blocks.where("folder = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("length"))
+    raw = vocabulary.join(F.broadcast(sizes)).agg(F.avg(_raw()).alias("mean_raw"))
+    totals = sizes.join(F.broadcast(raw)).select("n", (F.col("length") / F.col("n")).alias("avgdl"), "mean_raw")
+    return SparseIndex(blocks, vocabulary, stored(totals))
+
+
+def _raw() -> Column:
+    return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
 def idf(index: SparseIndex) -> DataFrame:
     """``term, df, idf``: negative values become EPSILON times the mean over all terms."""
-    raw = index.vocabulary.join(F.broadcast(index.totals.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    each = index.vocabulary.join(F.broadcast(index.totals.select("n", "mean_raw"))).withColumn("raw", _raw())
+    return each.select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
 
 
-def score(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", digits: int = 6) -> DataFrame:
-    """``query_id, chunk_id, score``: all chunks that share a term with a query; repeated query terms add each time.
+def gain(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+    """What a posting adds, without the weight of its term; it grows with tf and falls with dl."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+@dataclass
+class _Posting:
+    """The postings of one term in one shard."""
+
+    ords: np.ndarray
+    tfs: np.ndarray
+    tops: np.ndarray  # the most that a posting of each block can add
 
-    The query terms prune the postings first: only terms that are asked for are scored.
+    @property
+    def top(self) -> float:
+        return float(self.tops.max())
+
+
+def rank_shard(weighted: list[tuple[_Posting, float]], dls: np.ndarray, avgdl: float, least: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in the shard of all chunks that reach ``least``, with their scores, and how many postings were scored.
+
+    Others that come near may be among them. With a negative weight bounds mean nothing, and all are scored.
     """
+    ordered = sorted(weighted, key=lambda x: x[0].top * x[1])
+    plain = least == -np.inf or any(w < 0 for _, w in ordered)
+    upto = np.cumsum([p.top * w for p, w in ordered])  # what a chunk can have from the first terms
+    named = np.zeros(len(dls), bool)
+    for i, (p, w) in enumerate(ordered):
+        if plain:
+            named[p.ords] = True
+        elif upto[i] >= least:
+            kept = p.tops * w + (upto[-1] - p.top * w) >= least
+            named[p.ords if kept.all() else p.ords[np.repeat(kept, BLOCK)[: len(p.ords)]]] = True
+    found, scores, scored = np.flatnonzero(named), np.zeros(len(dls)), 0
+    for i in range(len(ordered) - 1, -1, -1):
+        p, w = ordered[i]
+        if not plain:
+            found = found[scores[found] + upto[i] >= least]
+        if 16 * len(found) < len(p.ords):
+            at = np.minimum(np.searchsorted(p.ords, found), len(p.ords) - 1)
+            at = at[p.ords[at] == found]
+        else:
+            named[:] = False
+            named[found] = True
+            at = np.flatnonzero(named[p.ords])
+        ords = p.ords[at]
+        scores[ords] += w * gain(p.tfs[at], dls[ords], avgdl)
+        scored += len(at)
+    return found, scores[found], scored
+
+
+def _asked(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str) -> Iterator[tuple[list, dict[str, list[tuple[int, float]]]]]:
+    """Blocks of questions: their ids, and for each term of the index the questions (by place) with its weight there."""
+    spark = queries.sparkSession
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    weighted = stored(asked.join(idf(index), "term").select("query_id", "term", (F.col("qn") * F.col("idf")).alias("w")))
-    if weighted.count() <= MOST_TERMS:
-        weighted = F.broadcast(weighted)
-    part = index.postings.join(weighted, "term").join(F.broadcast(index.totals))
-    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return part.groupBy("query_id", "chunk_id").agg(F.round(F.sum(gain), digits).alias("score"))
+    asked = stored(asked)
+    blocks = -(-asked.count() // MOST_TERMS)
+    totals = index.totals.first()
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        rows = some.toArrow()
+        wanted = sorted(set(rows["term"].to_pylist()))
+        named = spark.createDataFrame(pa.table({"term": pa.array(wanted, pa.string())}))
+        known = _rows_of(index.vocabulary, named).select("term", "df").toArrow()
+        weight = {}
+        for term, df in zip(known["term"].to_pylist(), known["df"].to_pylist(), strict=True):
+            raw = math.log(totals.n - df + 0.5) - math.log(df + 0.5)
+            weight[term] = raw if raw >= 0 else EPSILON * totals.mean_raw
+        ids, by_term, places = [], {}, {}
+        for q, term, n in zip(rows["query_id"].to_pylist(), rows["term"].to_pylist(), rows["qn"].to_pylist(), strict=True):
+            if term in weight:
+                key = str(q) if isinstance(q, dict) else q
+                if key not in places:
+                    places[key] = len(ids)
+                    ids.append(q)
+                by_term.setdefault(term, []).append((places[key], n * weight[term]))
+        if ids:
+            yield ids, by_term
+
+
+def _rows_of(table: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of some terms; only their folders are read."""
+    folders = [r[0] for r in named.select(_folder(F.col("term")).alias("f")).distinct().collect()]
+    return table.where(F.col("folder").isin(folders)).join(F.broadcast(named), "term", "left_semi")
+
+
+def _scored(index: SparseIndex, queries: DataFrame, k: int | None, query_col: str, text_col: str, digits: int, touched=None) -> DataFrame:
+    """``query_id, chunk_id, score``: the k best of each question and task, or all chunks that share a term with it."""
+    spark, avgdl = queries.sparkSession, index.totals.first().avgdl
+    kinds = [queries.schema[query_col].dataType, index.blocks.schema["ids"].dataType.elementType]
+    types, schema = [to_arrow_type(t) for t in kinds], f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}, score double"
+    out = spark.createDataFrame([], schema)
+    for names, by_term in _asked(index, queries, query_col, text_col):
+        sent = spark.sparkContext.broadcast((names, by_term))
+
+        def rank(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, by_term = sent.value
+            best = Best(len(names), k) if k else None
+
+            def rows(q: int, ids: list, scores: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([names[q]] * len(ids), types[0]), pa.array(ids, types[1]), pa.array(scores)], ["query_id", "chunk_id", "score"])
+
+            for ids, dls, held in _shards(batches, avgdl):
+                asked: dict[int, list[tuple[_Posting, float]]] = {}
+                for term, posting in held.items():
+                    for q, w in by_term[term]:
+                        asked.setdefault(q, []).append((posting, w))
+                for q, weighted in asked.items():
+                    least = best.least[q] - 10.0**-digits if k else -np.inf
+                    found, scores, scored = rank_shard(weighted, dls, avgdl, least)
+                    if touched is not None:
+                        touched.add(scored)
+                    scores = rounded(scores, digits)
+                    if k is None:
+                        yield rows(q, ids[found].tolist(), scores)
+                        continue
+                    good = scores > 0
+                    if good.any():
+                        best.add(np.array([q]), scores[good][None], ids[found[good]])
+            for q, scores, ids in best.rows() if k else ():
+                yield rows(q, ids.tolist(), scores)
+
+        named = spark.createDataFrame(pa.table({"term": pa.array(list(by_term), pa.string())}))
+        picked = _rows_of(index.blocks, named).unionByName(index.blocks.where("folder = -1"))
+        # a shard's own row first, then its terms
+        together = picked.drop("n", "folder").repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
+        out = out.unionByName(together.mapInArrow(rank, schema))
+    return out
+
+
+def _shards(batches: Iterator[pa.RecordBatch], avgdl: float) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, _Posting]]]:
+    """Ids, lengths and asked postings of one shard after the other; a shard's own row comes first."""
+    ids, dls, held, now = None, None, {}, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = {c: (batch[c].offsets.to_numpy(), batch[c].values.to_numpy()) for c in (*_LISTS, "dls")}
+        names, shards = batch["term"].to_pylist(), batch["shard"].to_pylist()
+        part = lambda c, i: lists[c][1][lists[c][0][i] : lists[c][0][i + 1]]  # noqa: B023, E731
+        for i, (term, shard) in enumerate(zip(names, shards, strict=True)):
+            if term is None:
+                if held:
+                    yield ids, dls, held
+                own = batch["ids"][i].values
+                ids = own.to_numpy() if pa.types.is_integer(own.type) else np.array(own.to_pylist(), object)
+                dls, held, now = part("dls", i), {}, shard
+            elif shard == now:
+                held[term] = _Posting(part("ords", i), part("tfs", i), gain(part("block_tf", i), part("block_dl", i), avgdl))
+    if held:
+        yield ids, dls, held
+
+
+def score(index: SparseIndex, queries: DataFrame, query_col: str = "query_id", text_col: str = "text", digits: int = 6) -> DataFrame:
+    """``query_id, chunk_id, score``: all chunks that share a term with a query; repeated query terms add each time."""
+    return _scored(index, queries, None, query_col, text_col, digits)
 
 
 def top_k(scores: DataFrame, k: int, order: list | None = None, by: str = "query_id") -> DataFrame:
@@ -69,19 +298,25 @@ def top_k(scores: DataFrame, k: int, order: list | None = None, by: str = "query
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """``query_id, chunk_id, score, rank`` with positive scores."""
-    return top_k(score(index, queries, query_col, text_col).where("score > 0"), k)
+def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_col: str = "query_id", text_col: str = "text", digits: int = 6, touched=None) -> DataFrame:
+    """``query_id, chunk_id, score, rank`` with positive scores: the k best of ``score``, by fewer postings.
+
+    ``touched``, an accumulator, counts the postings that were scored.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    return top_k(_scored(index, queries, k, query_col, text_col, digits, touched), k)
 
 
 def save(index: SparseIndex, path: str) -> None:
-    for name in ("postings", "vocabulary", "totals"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    index.blocks.sortWithinPartitions("folder", "term", "shard").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+    index.vocabulary.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/vocabulary")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def load(spark, path: str) -> SparseIndex:
     from siltstone.sources.tables import exists
 
-    if not exists(spark, f"{path}/postings"):
+    if not exists(spark, f"{path}/blocks"):
         raise FileNotFoundError(f"no index at {path}: index first")
-    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "totals")])
+    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("blocks", "vocabulary", "totals")])

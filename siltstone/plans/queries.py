@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import replies, text, vectors
-from siltstone.operators import chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse
+from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse
 from siltstone.plans import retrieval
-from siltstone.sources.scratch import stored
+from siltstone.sources.scratch import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 SQL: dict[str, str] = {}
@@ -123,6 +123,13 @@ def bm25_topk(spark, sf):
     return sparse.search(sparse.build(_chunks(spark, sf)), _questions(spark, sf), 10)
 
 
+@query(f"WITH {SPARSE}, {BENCH}, {_scored('bq', 's', 1 << 40)} SELECT query_id, count(*) AS n_scored, max(score) AS best, round(avg(score), 3) AS mean FROM s GROUP BY query_id")
+def bm25_scored(spark, sf):
+    """All chunks that share a term with a question, scored without pruning."""
+    every = sparse.score(sparse.build(_chunks(spark, sf)), _questions(spark, sf)).where("score > 0")
+    return every.groupBy("query_id").agg(F.count("*").alias("n_scored"), F.max("score").alias("best"), F.round(F.avg("score"), 3).alias("mean"))
+
+
 @query(
     """WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(array_cosine_similarity(q.embedding::DOUBLE[64], v.embedding::DOUBLE[64]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"""
@@ -132,6 +139,25 @@ def dense_knn(spark, sf):
     return dense.search(v, v.where("vec_id % 20 = 0"), 10, "vec_id", "embedding", "vec_id", "embedding")
 
 
+@query()
+def ann_topk(spark, sf):
+    """The index of cells and codes over all vectors, searched for every twentieth."""
+    v = _read(spark, sf, "embeddings")
+    return ann.search(ann.build(v, scratch(spark), "vec_id", "embedding"), v.where("vec_id % 20 = 0"), 10, query_col="vec_id", query_vec_col="embedding")
+
+
+@query("""WITH v AS (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)))
+SELECT count(*) AS n_indexed, count_if(vec_id % 20 = 0) AS n_asked, true AS recall_reached FROM v""")
+def ann_recall(spark, sf):
+    """Whether the index holds every vector and finds at least 0.9 of the ten nearest that comparing all of them finds."""
+    v = _read(spark, sf, "embeddings").where("size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(embedding, x -> x <> 0)")
+    asked, index = v.where("vec_id % 20 = 0"), ann.build(v, scratch(spark), "vec_id", "embedding")
+    near = ann.search(index, asked, 10, query_col="vec_id", query_vec_col="embedding").select("query_id", "chunk_id", F.lit(1).alias("found"))
+    exact = dense.search(v, asked, 10, "vec_id", "embedding", "vec_id", "embedding")
+    reached = exact.join(near, ["query_id", "chunk_id"], "left").agg((F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+    return index.members.agg(F.count("*").alias("n_indexed"), F.count_if(F.col("chunk_id") % 20 == 0).alias("n_asked")).join(reached)
+
+
 @query(f"WITH {_dense(10)} SELECT query_id, chunk_id, score, rank FROM dense")
 def dense_hash_topk(spark, sf):
     v = vectors.hash_bag(_chunks(spark, sf), ["chunk_id"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import strip
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import dense, fusion, grounding, rerank, rewrite, sparse
+from siltstone.operators import ann, dense, fusion, grounding, rerank, rewrite, sparse
 from siltstone.sources.scratch import stored
 
 #: (rows, id columns, text column) -> id columns and a normalised ``vector``
@@ -29,7 +29,7 @@ class Corpus:
     index: sparse.SparseIndex
     vectors: DataFrame
     embed: Embedder = hash_bag
-    cells: dense.CellIndex | None = None  # where given, vector search looks into the nearest cells only
+    ann: ann.AnnIndex | None = None  # where given, vector search looks into the nearest cells only
 
     @classmethod
     def of(cls, chunks: DataFrame, embed: Embedder = hash_bag) -> Corpus:
@@ -47,7 +47,7 @@ def search_sparse(corpus: Corpus, questions: DataFrame, k: int = 10) -> DataFram
 
 def search_dense(corpus: Corpus, questions: DataFrame, k: int = 10) -> DataFrame:
     asked = corpus.embed(_asked(questions, ["query_id"]), ["query_id"], "text")
-    return dense.search_cells(corpus.cells, asked, k) if corpus.cells else dense.search(corpus.vectors, asked, k)
+    return ann.search(corpus.ann, asked, k) if corpus.ann else dense.search(corpus.vectors, asked, k)
 
 
 def search_hybrid(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out: int = 50, rrf_k: int = 60) -> DataFrame:
@@ -59,12 +59,12 @@ def _texts(corpus: Corpus, hits: DataFrame, questions: DataFrame) -> DataFrame:
     return hits.join(named, "chunk_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
 
 
-def search_reranked(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap) -> DataFrame:
+def search_reranked(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> DataFrame:
     """Hybrid candidates, then the pair scorer on those alone."""
-    return rerank.rerank(_texts(corpus, search_hybrid(corpus, questions, fan_out, fan_out), questions), k, scorer)
+    return rerank.rerank(_texts(corpus, search_hybrid(corpus, questions, fan_out, fan_out, rrf_k), questions), k, scorer)
 
 
-def search_rewritten(corpus: Corpus, questions: DataFrame, rewrites: DataFrame, k: int = 10, strategy: str = "multi_query", fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap) -> DataFrame:
+def search_rewritten(corpus: Corpus, questions: DataFrame, rewrites: DataFrame, k: int = 10, strategy: str = "multi_query", fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> DataFrame:
     """Candidates of all sub-queries, each at its first sighting, reranked against the original question.
 
     ``rewrites`` has ``query_id, rewrites`` (array). All sub-queries are searched as one batch.
@@ -72,7 +72,7 @@ def search_rewritten(corpus: Corpus, questions: DataFrame, rewrites: DataFrame,
     joined = questions.select("query_id", F.col("text").alias("question")).join(rewrites, "query_id", "left").withColumn("rewrites", F.coalesce("rewrites", F.array().cast("array<string>")))
     sub = rewrite.sub_queries(joined, "rewrites", strategy)
     named = sub.select(F.struct("query_id", "query_no").alias("query_id"), "text")
-    hits = search_hybrid(corpus, named, fan_out, fan_out)
+    hits = search_hybrid(corpus, named, fan_out, fan_out, rrf_k)
     flat = hits.select(F.col("query_id.query_id").alias("query_id"), F.col("query_id.query_no").alias("query_no"), "chunk_id", "rank", "rrf_score")
     seen = fusion.first_seen(flat).drop("rank", "query_no")
     return rerank.rerank(_texts(corpus, seen, questions), k, scorer, "position")
@@ -85,9 +85,9 @@ def answer(corpus: Corpus, questions: DataFrame, model: grounding.Model, hits: D
     return grounding.generate(questions.select("query_id", F.col("text").alias("question")), contexts, model)
 
 
-def search_by_model(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 10, n: int = 3, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap) -> DataFrame:
+def search_by_model(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 10, n: int = 3, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> DataFrame:
     """``search_rewritten`` with rewrites that a model gives; where it fails, the original question alone."""
-    return search_rewritten(corpus, questions, stored(rewrite.rewrites(questions, model, strategy, n)), k, strategy, fan_out, scorer)
+    return search_rewritten(corpus, questions, stored(rewrite.rewrites(questions, model, strategy, n)), k, strategy, fan_out, scorer, rrf_k)
 
 
 def answer_rewritten(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 3, n: int = 3, fan_out: int = 50) -> DataFrame:
@@ -95,16 +95,19 @@ def answer_rewritten(corpus: Corpus, questions: DataFrame, model: grounding.Mode
     return answer(corpus, questions, model, search_by_model(corpus, questions, model, strategy, k, n, fan_out), k, fan_out)
 
 
-def search(config: str, corpus: Corpus, questions: DataFrame, k: int = 10, model: grounding.Model | None = None, n: int = 3) -> DataFrame:
+def search(config: str, corpus: Corpus, questions: DataFrame, k: int = 10, model: grounding.Model | None = None, n: int = 3, fan_out: int = 50, rrf_k: int = 60) -> DataFrame:
     """One of the six configurations by name; the last two need a model."""
-    plain = {"sparse": search_sparse, "dense": search_dense, "hybrid": search_hybrid, "rerank": search_reranked}
+    plain = {
+        "sparse": lambda: search_sparse(corpus, questions, k), "dense": lambda: search_dense(corpus, questions, k),
+        "hybrid": lambda: search_hybrid(corpus, questions, k, fan_out, rrf_k), "rerank": lambda: search_reranked(corpus, questions, k, fan_out, rrf_k=rrf_k),
+    }
     if config in plain:
-        return plain[config](corpus, questions, k)
+        return plain[config]()
     if config not in REWRITING:
         raise ValueError(f"config must be one of {', '.join([*plain, *REWRITING])}")
     if model is None:
         raise ValueError(f"{config} needs a model")
-    return search_by_model(corpus, questions, model, REWRITING[config], k, n)
+    return search_by_model(corpus, questions, model, REWRITING[config], k, n, fan_out, rrf_k=rrf_k)
 
 
 #: Configurations that rewrite questions, with their strategy.

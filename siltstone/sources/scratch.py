@@ -20,11 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and read from a table in the shared folder, which goes when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_folder(spark)}/siltstone-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """The same rows, computed once and read from a table in the shared folder (in folders ``by`` a column), which goes when the driver ends."""
+    path = scratch(df.sparkSession)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

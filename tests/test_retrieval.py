@@ -137,22 +137,3 @@ def test_evaluate(spark):
             metrics.evaluate(hits, bad, k, "x")
 
 
-def test_cells_hold_every_vector_and_find_most_neighbours(spark):
-    import numpy as np
-
-    from siltstone.operators import dense
-
-    r = np.random.default_rng(4)
-    centers = r.normal(size=(25, 16))
-    rows = [(i, [float(x) for x in centers[i % 25] + 0.6 * r.normal(size=16)]) for i in range(1500)]
-    extra = [(9000, [0.0] * 16), (9001, None), (9002, [])]
-    table = spark.createDataFrame(rows + extra, "chunk_id long, vector array<double>")
-    index = dense.build_cells(table, sample=800)
-    assert sorted(x["chunk_id"] for x in index.members.collect()) == [i for i, _ in rows]
-    asked = table.where("chunk_id % 20 = 0 AND chunk_id < 9000").withColumnRenamed("chunk_id", "query_id")
-    pairs = lambda df: {(x["query_id"], x["chunk_id"]): x["score"] for x in df.collect()}
-    exact, found = pairs(dense.search(table.where("chunk_id < 9000"), asked, 10)), pairs(dense.search_cells(index, asked, 10))
-    shared = exact.keys() & found.keys()
-    assert len(shared) >= 0.9 * len(exact) and all(exact[p] == found[p] for p in shared)
-    assert pairs(dense.search_cells(index, asked, 10, probes=10_000)) == exact
-    assert dense.search_cells(dense.build_cells(table.limit(0)), asked).collect() == []
