@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from siltstone.config import load_settings
 from siltstone.functions.text import preview
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import ann, chunking, evals, grounding, ingest, metrics, sparse
+from siltstone.operators import ann, chunking, evals, grounding, ingest, metrics, sparse, subwords
 from siltstone.plans import retrieval
 from siltstone.sources import sinks, tables
 from siltstone.sources.scratch import stored
@@ -66,7 +66,9 @@ def parse(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def chunk(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     s, sections = load_settings(), tables.table(spark, args.sections)
-    sinks.write_chunks(chunking.chunk_sections(sections, args.strategy, s.chunk_size, s.chunk_overlap, hash_bag, s.breakpoint_percentile), args.out)
+    vocabulary = args.vocabulary or s.vocabulary
+    tokenizer = subwords.BytePairs(spark, vocabulary, subwords.PATTERNS[s.token_pattern]) if vocabulary else None
+    sinks.write_chunks(chunking.chunk_sections(sections, args.strategy, s.chunk_size, s.chunk_overlap, hash_bag, s.breakpoint_percentile, tokenizer), args.out)
     return chunking.chunk_stats(sections, spark.read.parquet(args.out).where(F.col("strategy") == args.strategy))
 
 
@@ -149,7 +151,7 @@ def eval_ragas(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 COMMANDS = {
     "fetch": (fetch, ["metadata", "out"], {"since": "", "until": ""}),
     "parse": (parse, ["pages", "out"], {}),
-    "chunk": (chunk, ["sections", "out"], {"strategy": "recursive"}),
+    "chunk": (chunk, ["sections", "out"], {"strategy": "recursive", "vocabulary": ""}),
     "index": (index, ["chunks", "out"], {}),
     "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no"}),
     "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank", "exact": "no"}),

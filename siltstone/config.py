@@ -19,6 +19,8 @@ class Settings:
     chunk_size: int = 512
     chunk_overlap: int = 64
     breakpoint_percentile: float = 95.0
+    vocabulary: str = ""  # a file of byte-pair ranks; empty: the lossless tokenizer
+    token_pattern: str = "100k"
     rrf_k: int = 60
     fan_out: int = 50
     top_k: int = 10

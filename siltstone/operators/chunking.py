@@ -1,12 +1,14 @@
 """Chunkers: fixed windows, recursive splitting with overlap, and semantic breaks.
 
 Fixed and recursive chunking are map-only expressions over each text; semantic chunking needs one
-shuffle by section. The tokenizer is the lossless one of ``functions.text``.
+shuffle by section. The tokenizer is the lossless one of ``functions.text`` unless another is given, such
+as the byte-pair tokenizer of ``operators.subwords``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -93,6 +95,24 @@ def recursive(text: Column, size: int = 512, overlap: int = 64) -> Column:
     return F.when((strip(text) == "") | text.isNull(), F.array().cast("array<string>")).when(short, F.array(text)).otherwise(kept)
 
 
+class Tokenizer(Protocol):
+    """Columns that depend on what a token is."""
+
+    def count(self, text: Column) -> Column: ...
+
+    def fixed(self, text: Column, size: int, overlap: int) -> Column: ...
+
+    def recursive(self, text: Column, size: int, overlap: int) -> Column: ...
+
+
+class Pieces:
+    """The lossless tokenizer: expressions alone."""
+
+    count = staticmethod(n_pieces)
+    fixed = staticmethod(fixed)
+    recursive = staticmethod(recursive)
+
+
 def breaks(vectors: DataFrame, keys: list[str], percentile: float = 95.0) -> DataFrame:
     """Sentences ``keys, _i, vector`` with ``_drop``, 1 - cosine with the one before, and ``_break``: whether it reaches the percentile of its section."""
     order = W.partitionBy(*keys).orderBy("_i")
@@ -101,7 +121,7 @@ def breaks(vectors: DataFrame, keys: list[str], percentile: float = 95.0) -> Dat
     return drop.withColumn("_break", F.coalesce(F.col("_drop") >= limit, F.lit(False)))
 
 
-def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, percentile: float = 95.0, keys: tuple[str, ...] = ("paper_id", "section_index")) -> DataFrame:
+def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, percentile: float = 95.0, keys: tuple[str, ...] = ("paper_id", "section_index"), tokenizer: Tokenizer | None = None) -> DataFrame:
     """``keys, chunks``: sections cut where neighbouring sentences differ most.
 
     ``embed(rows, id_cols, text_col)`` gives ``id_cols, vector`` (normalised) for the sentences. A
@@ -113,32 +133,32 @@ def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, per
         raise ValueError("semantic chunking needs an embedder")
     if not 50 <= percentile <= 99.5:
         raise ValueError("percentile must be in [50, 99.5]")
-    keys = list(keys)
-    split = sections.select(*keys, "text", sentences(F.col("text")).alias("_s")).withColumn("_whole", (F.size("_s") <= 2) | (n_pieces(F.col("text")) <= size))
+    keys, tokenizer = list(keys), tokenizer or Pieces()
+    split = sections.select(*keys, "text", sentences(F.col("text")).alias("_s")).withColumn("_whole", (F.size("_s") <= 2) | (tokenizer.count(F.col("text")) <= size))
     whole = split.where("_whole").select(*keys, F.when(strip(F.col("text")) == "", F.array().cast("array<string>")).otherwise(F.array("text")).alias("chunks"))
     each = split.where("NOT _whole").select(*keys, F.posexplode("_s").alias("_i", "_t"))
     vectors = each.join(embed(each, [*keys, "_i"], "_t"), [*keys, "_i"])
     order = W.partitionBy(*keys).orderBy("_i")
     segment = breaks(vectors, keys, percentile).withColumn("_no", F.sum(F.col("_break").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     joined = segment.groupBy(*keys, "_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), " ").alias("_c"))
-    cut = joined.select(*keys, "_no", recursive(F.col("_c"), size, overlap).alias("_parts"))
+    cut = joined.select(*keys, "_no", tokenizer.recursive(F.col("_c"), size, overlap).alias("_parts"))
     chunks = cut.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_no", "_parts"))), lambda x: x["_parts"])).alias("chunks"))
     return whole.unionByName(chunks)
 
 
-def chunk_sections(sections: DataFrame, strategy: str = "recursive", size: int = 512, overlap: int | None = 64, embed=None, percentile: float = 95.0) -> DataFrame:
+def chunk_sections(sections: DataFrame, strategy: str = "recursive", size: int = 512, overlap: int | None = 64, embed=None, percentile: float = 95.0, tokenizer: Tokenizer | None = None) -> DataFrame:
     """Chunks with ``chunk_id`` = paper::section::index. An overlap of 0 or None means the default."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    overlap = overlap or 64
+    overlap, tokenizer = overlap or 64, tokenizer or Pieces()
     base = ["paper_id", "section_index", "section_title"]
     if strategy == "semantic":
-        made = semantic(sections, embed, size, overlap, percentile).join(sections.select(*base), ["paper_id", "section_index"])
+        made = semantic(sections, embed, size, overlap, percentile, tokenizer=tokenizer).join(sections.select(*base), ["paper_id", "section_index"])
     else:
-        made = sections.select(*base, (fixed if strategy == "fixed" else recursive)(F.col("text"), size, overlap).alias("chunks"))
+        made = sections.select(*base, (tokenizer.fixed if strategy == "fixed" else tokenizer.recursive)(F.col("text"), size, overlap).alias("chunks"))
     each = made.select(*base, F.posexplode("chunks").alias("chunk_index", "text"))
     return each.select(
-        F.concat_ws("::", "paper_id", "section_index", "chunk_index").alias("chunk_id"), *base, "chunk_index", "text", F.length("text").alias("char_count"), n_pieces(F.col("text")).alias("token_count"), F.lit(strategy).alias("strategy")
+        F.concat_ws("::", "paper_id", "section_index", "chunk_index").alias("chunk_id"), *base, "chunk_index", "text", F.length("text").alias("char_count"), tokenizer.count(F.col("text")).alias("token_count"), F.lit(strategy).alias("strategy")
     )
 
 

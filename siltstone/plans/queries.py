@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import replies, text, vectors
-from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse
+from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse, subwords
 from siltstone.plans import retrieval
 from siltstone.sources.scratch import scratch, stored
 
@@ -350,6 +350,26 @@ def chunk_fixed(spark, sf):
     return chunking.chunk_sections(_sections(spark, sf), "fixed", 128, 16).select("chunk_id", "chunk_index", "char_count", "token_count", F.md5("text").alias("digest"))
 
 
+def _byte_pairs(spark):
+    import public_tokenizers
+
+    return subwords.BytePairs(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query()
+def chunk_subwords(spark, sf):
+    """Recursive chunks by the tokens of a byte-pair vocabulary."""
+    made = chunking.chunk_sections(_sections(spark, sf), "recursive", 128, 16, tokenizer=_byte_pairs(spark))
+    return made.select("chunk_id", "chunk_index", "char_count", "token_count", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::INTEGER AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def subword_fragments(spark, sf):
+    """The fragments of recursive splitting by byte pairs, joined again: every text comes back whole."""
+    joined = F.array_join(_byte_pairs(spark).fragments(F.coalesce("text", F.lit("")), 64), "")
+    return _read(spark, sf, "documents").select("doc_id", joined.alias("text")).select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
 @query(
     f"""WITH {FIXED}, s AS (SELECT list_sort(list(token_count)) AS l, count(*) AS n, round(avg(token_count), 1) AS mean_tokens, median(token_count)::DOUBLE AS median_tokens FROM c)
 SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS papers, (SELECT count(*) FROM documents) AS sections, n AS chunks, mean_tokens, median_tokens, l[1 + floor(0.9::DOUBLE * (n - 1))::INT] AS p90_tokens, l[1 + floor(0.99::DOUBLE * (n - 1))::INT] AS p99_tokens FROM s"""
