@@ -18,6 +18,7 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import importlib
+import inspect
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +26,34 @@ from pyspark.sql import functions as F
 from siltstone.config import load_settings
 from siltstone.functions.text import preview
 from siltstone.functions.vectors import hash_bag
-from siltstone.operators import ann, chunking, evals, grounding, ingest, metrics, sparse, subwords
+from siltstone.operators import ann, calls, chunking, evals, grounding, ingest, metrics, sparse, subwords
 from siltstone.plans import retrieval
 from siltstone.sources import sinks, tables
 from siltstone.sources.scratch import stored
 
 
 
-def _model(name: str) -> grounding.Model | None:
-    """The model ``package.module:function``; none for an empty name."""
-    if not name:
+def _model(args: argparse.Namespace, temperature: float = 0.0, most_tokens: int = 600) -> calls.Caller | None:
+    """The model ``package.module:function`` of ``--model`` with the settings' tries and waits; none for an empty name.
+
+    Where the function takes keywords ``temperature`` and ``max_tokens``, it is given them. ``--replies`` is the
+    folder that keeps replies from one run to the next.
+    """
+    if not args.model:
         return None
-    module, _, function = name.partition(":")
-    return grounding.pandas_model(lambda prompt: getattr(importlib.import_module(module), function)(prompt))
+    module, _, function = args.model.partition(":")
+    s = load_settings()
+
+    def call(prompt: str, **params: object) -> str | None:
+        model = getattr(importlib.import_module(module), function)
+        try:
+            taken = inspect.signature(model).parameters
+        except ValueError:  # of some built-in functions nothing is known
+            taken = {}
+        return model(prompt, **{k: v for k, v in params.items() if k in taken})
+
+    params = {"temperature": temperature, "max_tokens": most_tokens}
+    return calls.Caller(call, args.model, params, args.replies or None, s.call_tasks, s.calls_at_once, s.call_tries, s.call_wait)
 
 
 def _corpus(spark: SparkSession, args: argparse.Namespace) -> retrieval.Corpus:
@@ -84,7 +100,7 @@ def index(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def search(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     s, corpus, question = load_settings(), _corpus(spark, args), spark.createDataFrame([("q", args.text)], "query_id string, text string")
-    hits = retrieval.search(args.config, corpus, question, args.k, _model(args.model), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("chunk_id", "rank")
+    hits = retrieval.search(args.config, corpus, question, args.k, _model(args, 0.3, 400), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("chunk_id", "rank")
     return hits.join(corpus.chunks, "chunk_id").select("rank", "chunk_id", preview(F.col("text")).alias("preview")).orderBy("rank")
 
 
@@ -94,7 +110,7 @@ def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     items = tables.eval_items(spark, args.items)
     asked = items.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
     wanted = items.select(F.col("id").alias("query_id"), "type", F.col("source_chunk_ids").alias("gold"))
-    hits = stored(retrieval.search(args.config, corpus, asked, k, _model(args.model), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("query_id", "chunk_id", "rank"))
+    hits = stored(retrieval.search(args.config, corpus, asked, k, _model(args, 0.3, 400), s.n_rewrites, args.fan_out or s.fan_out, args.rrf_k or s.rrf_k).select("query_id", "chunk_id", "rank"))
     run = metrics.evaluate(hits, wanted, k, args.config, args.strategy)
     now = dt.datetime.now(dt.UTC).isoformat()
     sinks.write_run(metrics.per_query(hits, wanted, k), run, args.out, args.config, args.strategy, k, now)
@@ -104,10 +120,10 @@ def eval_retrieval(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def _answers(spark: SparkSession, args: argparse.Namespace, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verified answers to the questions, and the passages that they were given."""
-    s, corpus, model = load_settings(), _corpus(spark, args), _model(args.model)
-    found = retrieval.search(args.config, corpus, questions, s.context_k, model, s.n_rewrites, s.fan_out, s.rrf_k).select("query_id", "chunk_id", "rank")
+    s, corpus = load_settings(), _corpus(spark, args)
+    found = retrieval.search(args.config, corpus, questions, s.context_k, _model(args, 0.3, 400), s.n_rewrites, s.fan_out, s.rrf_k).select("query_id", "chunk_id", "rank")
     hits = stored(found.join(corpus.chunks.select("chunk_id", "section_title", "text"), "chunk_id"))
-    return stored(retrieval.answer(corpus, questions, model, hits, s.context_k)), hits
+    return stored(retrieval.answer(corpus, questions, _model(args), hits, s.context_k, s.fan_out, s.context_chars, s.quote_min_chars)), hits
 
 
 def query(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -119,7 +135,7 @@ def query(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def generate_evals(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     s = load_settings()
-    items = stored(evals.generate_eval_set(tables.table(spark, args.chunks), _model(args.model), args.single_hop, args.no_answer, args.seed, s.min_chunk_tokens, s.min_confidence))
+    items = stored(evals.generate_eval_set(tables.table(spark, args.chunks), _model(args), args.single_hop, args.no_answer, args.seed, s.min_chunk_tokens, s.min_confidence, s.min_question_chars, s.min_answer_chars))
     sinks.write_json(items.where("reason IS NULL").drop("reason"), args.out)
     return evals.counters(items)
 
@@ -136,12 +152,14 @@ def eval_generation(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 
 def eval_ragas(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """Faithfulness and relevance of the answers to the items that have one, judged by the model."""
-    s, items = load_settings(), tables.eval_items(spark, args.items).where("type <> 'no_answer'")
+    """Faithfulness and relevance of the answers to a seeded sample of the single_hop items, judged by the model."""
+    s, items = load_settings(), evals.seeded_sample(tables.eval_items(spark, args.items).where("type = 'single_hop'"), args.n, args.seed, "id")
+    if not items.take(1):
+        raise ValueError("no item is single_hop")
     answered, hits = _answers(spark, args, items.select(F.col("id").alias("query_id"), F.col("question").alias("text")))
     context = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]), "\n\n").alias("context"))
     judged = answered.join(context, "query_id", "left").select(F.col("query_id").alias("id"), "question", "answer", "abstained", "context")
-    scored = stored(evals.judge(judged, _model(args.model), hash_bag, s.n_reverse))
+    scored = stored(evals.judge(judged, _model(args), hash_bag, s.n_reverse))
     now = dt.datetime.now(dt.UTC).isoformat()
     run = stored(evals.run_means(scored).select(F.lit(args.config).alias("config"), "*", F.lit(now).alias("timestamp")))
     sinks.write_answers_run("ragas", scored, run, args.out, args.config, now)
@@ -153,12 +171,12 @@ COMMANDS = {
     "parse": (parse, ["pages", "out"], {}),
     "chunk": (chunk, ["sections", "out"], {"strategy": "recursive", "vocabulary": ""}),
     "index": (index, ["chunks", "out"], {}),
-    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no"}),
-    "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank", "exact": "no"}),
-    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive", "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no"}),
-    "generate-evals": (generate_evals, ["chunks", "out", "model"], {"single-hop": 200, "no-answer": 30, "seed": 42}),
-    "eval-generation": (eval_generation, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no"}),
-    "eval-ragas": (eval_ragas, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no"}),
+    "search": (search, ["index", "chunks", "text"], {"config": "rerank", "k": 10, "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no", "replies": ""}),
+    "query": (query, ["index", "chunks", "text", "model"], {"config": "rerank", "exact": "no", "replies": ""}),
+    "eval-retrieval": (eval_retrieval, ["index", "chunks", "items", "out"], {"config": "rerank", "strategy": "recursive", "model": "", "fan-out": 0, "rrf-k": 0, "exact": "no", "replies": ""}),
+    "generate-evals": (generate_evals, ["chunks", "out", "model"], {"single-hop": 200, "no-answer": 30, "seed": 42, "replies": ""}),
+    "eval-generation": (eval_generation, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no", "replies": ""}),
+    "eval-ragas": (eval_ragas, ["index", "chunks", "items", "out", "model"], {"config": "rerank", "exact": "no", "replies": "", "n": 30, "seed": 42}),
 }
 
 

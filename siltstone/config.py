@@ -34,9 +34,13 @@ class Settings:
     min_answer_chars: int = 20
     min_confidence: float = 0.6
     n_reverse: int = 3
+    call_tasks: int = 8
+    calls_at_once: int = 8
+    call_tries: int = 5
+    call_wait: float = 1.0
 
 
-def load_settings(env: Mapping[str, str] | None = None, dotenv: str | None = None) -> Settings:
+def load_settings(env: Mapping[str, str] | None = None, dotenv: str | None = ".env") -> Settings:
     """Defaults, overridden by the lines ``NAME=value`` of ``dotenv`` and then by ``env``; names in any case, unknown ones ignored."""
     given: dict[str, str] = {}
     if dotenv and os.path.exists(dotenv):

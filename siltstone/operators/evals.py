@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.replies import first_flat_object, json_object, number_field, text_field, texts, truthy
 from siltstone.functions.text import strip
 from siltstone.functions.vectors import cosine
+from siltstone.operators.calls import with_reply
 from siltstone.operators.grounding import Model
 from siltstone.operators.rewrite import fill
 
@@ -37,18 +38,18 @@ def reject_reason(question: Column, answer: Column, confidence: Column, text: Co
     )
 
 
-def read_items(sampled: DataFrame, kind: str, prefix: str, min_confidence: float = 0.6) -> DataFrame:
+def read_items(sampled: DataFrame, kind: str, prefix: str, min_confidence: float = 0.6, min_question: int = 15, min_answer: int = 20) -> DataFrame:
     """Items from ``no, chunk_id, paper_id, text, raw``: ids by the place in the sample, with a ``reason`` where an item is not kept."""
     got = sampled.withColumn("_o", first_flat_object(F.col("raw")))
     read = got.select("no", "chunk_id", "paper_id", "text", "raw", F.col("_o").isNotNull().alias("_ok"), text_field(F.col("_o"), "$.question").alias("question"), text_field(F.col("_o"), "$.gold_answer").alias("gold_answer"), number_field(F.col("_o"), "$.confidence").alias("confidence"))
-    reason = F.when(F.col("raw").isNull(), "error").when(~F.col("_ok"), "parse failed").otherwise(reject_reason(F.col("question"), F.col("gold_answer"), F.col("confidence"), F.col("text"), min_confidence))
+    reason = F.when(F.col("raw").isNull(), "error").when(~F.col("_ok"), "parse failed").otherwise(reject_reason(F.col("question"), F.col("gold_answer"), F.col("confidence"), F.col("text"), min_confidence, min_question, min_answer))
     return read.select(
         F.format_string(f"{prefix}-%04d", "no").alias("id"), "question", "gold_answer", F.lit(kind).alias("type"), F.col("paper_id").alias("source_paper_id"), F.array("chunk_id").alias("source_chunk_ids"),
         F.format_string("confidence=%.2f", "confidence").alias("notes"), reason.alias("reason"),
     )
 
 
-def generate_eval_set(chunks: DataFrame, model: Model, n_single_hop: int = 200, n_no_answer: int = 30, seed: int = 42, min_tokens: int = 100, min_confidence: float = 0.6) -> DataFrame:
+def generate_eval_set(chunks: DataFrame, model: Model, n_single_hop: int = 200, n_no_answer: int = 30, seed: int = 42, min_tokens: int = 100, min_confidence: float = 0.6, min_question: int = 15, min_answer: int = 20) -> DataFrame:
     """All generated items with their ``reason``; those to keep have none. Without a long enough chunk ValueError."""
     from pyspark.sql import Window as W
 
@@ -59,7 +60,7 @@ def generate_eval_set(chunks: DataFrame, model: Model, n_single_hop: int = 200,
     for kind, prefix, template, n, s in (("single_hop", "sh", SINGLE_HOP, n_single_hop, seed), ("no_answer", "na", NO_ANSWER, n_no_answer, seed + 1)):
         key = F.md5(F.concat(F.lit(f"{s}:"), F.col("chunk_id")))
         sampled = seeded_sample(usable, n, s).withColumn("no", F.row_number().over(W.orderBy(key, "chunk_id")) - 1)
-        out.append(read_items(sampled.withColumn("raw", model(fill(template, text=F.col("text")))), kind, prefix, min_confidence))
+        out.append(read_items(with_reply(sampled, fill(template, text=F.col("text")), model, "raw"), kind, prefix, min_confidence, min_question, min_answer))
     return out[0].unionByName(out[1])
 
 
@@ -98,24 +99,28 @@ def judge_faithfulness(answered: DataFrame, model: Model) -> DataFrame:
     it. A failed or broken list is a list without claims, a failed or broken verdict no support; blank
     answers are not asked about.
     """
-    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", model(fill(CLAIMS, question=F.col("question"), answer=F.col("answer"))).alias("raw"))
-    each = claims(asked).join(answered.select("id", "context"), "id")
-    verdicts = each.select("id", supported(model(fill(VERDICT, context=F.coalesce("context", F.lit("")), claim=F.col("claim")))).alias("supported"))
+    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", "question", "answer")
+    listed = with_reply(asked, fill(CLAIMS, question=F.col("question"), answer=F.col("answer")), model, "raw")
+    each = claims(listed).join(answered.select("id", "context"), "id")
+    said = with_reply(each, fill(VERDICT, context=F.coalesce("context", F.lit("")), claim=F.col("claim")), model, "raw")
+    verdicts = said.select("id", supported(F.col("raw")).alias("supported"))
     return faithfulness(answered, verdicts)
 
 
 def judge_relevance(answered: DataFrame, model: Model, embed: Callable[[DataFrame, list[str], str], DataFrame], n: int = 3) -> DataFrame:
     """``id, n_questions, relevance`` of answers ``id, question, answer``: a model writes up to n questions that the answer would answer, whose vectors are compared with the question's."""
-    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", model(fill(REVERSE, n=F.lit(str(n)), answer=F.col("answer"))).alias("raw"))
-    reverse = asked.select("id", F.posexplode(F.slice(F.coalesce(texts(F.col("raw")), F.array().cast("array<string>")), 1, max(0, n))).alias("no", "text"))
+    asked = answered.where(strip(F.coalesce("answer", F.lit(""))) != "").select("id", "answer")
+    reverse = with_reply(asked, fill(REVERSE, n=F.lit(str(n)), answer=F.col("answer")), model, "raw").select("id", F.posexplode(F.slice(F.coalesce(texts(F.col("raw")), F.array().cast("array<string>")), 1, max(0, n))).alias("no", "text"))
     return answer_relevance(embed(answered.select("id", F.col("question").alias("text")), ["id"], "text"), embed(reverse, ["id", "no"], "text"))
 
 
 def judge(answered: DataFrame, model: Model, embed: Callable[[DataFrame, list[str], str], DataFrame], n: int = 3) -> DataFrame:
-    """Answers ``id, question, answer, context, abstained`` with their ``faithfulness`` and ``relevance``; abstentions are not sent to the model."""
-    said = answered.where(~F.col("abstained"))
-    both = judge_faithfulness(said, model).join(judge_relevance(said, model, embed, n), "id")
-    scored = answered.join(both, "id", "left")
+    """Answers ``id, question, answer, context, abstained`` with their ``faithfulness`` and ``relevance``.
+
+    An abstention is faithful without asking; its relevance is judged as that of any answer.
+    """
+    claimed = judge_faithfulness(answered.where(~F.col("abstained")), model)
+    scored = answered.join(claimed, "id", "left").join(judge_relevance(answered, model, embed, n), "id", "left")
     zero = F.lit(0).cast("long")
     return scored.select(
         "id", "question", "answer", "abstained", F.coalesce("n_claims", zero).alias("n_claims"), F.coalesce("n_supported", zero).alias("n_supported"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.replies import passage, strings
 from siltstone.functions.text import strip
+from siltstone.operators.calls import Caller, with_reply
 
 MULTI_QUERY_PROMPT = "Write {n} other ways to ask the question below, each standing alone, as a JSON array of strings and nothing else.\n\nQuestion: {question}"
 HYDE_PROMPT = "Write one paragraph, as it could stand in a research paper, that answers the question below. Write the paragraph only.\n\nQuestion: {question}"
@@ -33,7 +34,7 @@ def hyde(raw: Column) -> Column:
     return F.when(strip(F.coalesce(raw, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.array(passage(raw)))
 
 
-def rewrites(questions: DataFrame, model: Callable[[Column], Column], strategy: str = "multi_query", n: int = 3) -> DataFrame:
+def rewrites(questions: DataFrame, model: Callable[[Column], Column] | Caller, strategy: str = "multi_query", n: int = 3) -> DataFrame:
     """``query_id, rewrites`` of questions ``query_id, text`` by a model (prompt to reply, null for a failed call).
 
     Multi-query asks for n other ways to put the question, and for none where n <= 0; HyDE asks for a
@@ -42,13 +43,13 @@ def rewrites(questions: DataFrame, model: Callable[[Column], Column], strategy:
     if strategy == "multi_query":
         if n <= 0:
             return questions.select("query_id", F.array().cast("array<string>").alias("rewrites"))
-        raw = model(fill(MULTI_QUERY_PROMPT, n=F.lit(str(n)), question=F.col("text")))
+        prompt = fill(MULTI_QUERY_PROMPT, n=F.lit(str(n)), question=F.col("text"))
         read = multi_query(F.col("_raw"), n)
     elif strategy == "hyde":
-        raw, read = model(fill(HYDE_PROMPT, question=F.col("text"))), hyde(F.col("_raw"))
+        prompt, read = fill(HYDE_PROMPT, question=F.col("text")), hyde(F.col("_raw"))
     else:
         raise ValueError("strategy must be multi_query or hyde")
-    return questions.select("query_id", raw.alias("_raw")).select("query_id", read.alias("rewrites"))
+    return with_reply(questions.select("query_id", "text"), prompt, model, "_raw").select("query_id", read.alias("rewrites"))
 
 
 def distinct_queries(original: Column, rewrites: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import replies, text, vectors
-from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, metrics, rewrite, sparse, subwords
+from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, latent, metrics, pair_scorer, rerank, rewrite, sparse, subwords
 from siltstone.plans import retrieval
 from siltstone.sources.scratch import scratch, stored
 
@@ -257,6 +257,46 @@ def ablation_row(spark, sf):
     return retrieval_eval(spark, sf).select(metrics.ablation_row(F.lit("2024-05-01T10:20:30")).alias("row"))
 
 
+# --- fitted models ---
+
+
+@query(f"""WITH {SPARSE}, top AS (SELECT term FROM r ORDER BY df DESC, term LIMIT 30000), k AS (SELECT doc_id, count(*) AS n FROM p SEMI JOIN top USING (term) GROUP BY doc_id)
+SELECT doc_id, least(128, (SELECT count(*) FROM top))::INTEGER AS dims, (coalesce(n, 0) > 0)::INTEGER::DOUBLE AS length FROM documents LEFT JOIN k USING (doc_id)""")
+def latent_vectors(spark, sf):
+    """A vector for every document by the embedder fitted to all of them."""
+    c = _chunks(spark, sf)
+    made = latent.fit(c)(c, ["chunk_id"], "text")
+    return made.select(F.col("chunk_id").alias("doc_id"), F.size("vector").alias("dims"), F.round(vectors.norm(F.col("vector")), 6).alias("length"))
+
+
+@query(f"WITH {GOLD} SELECT count(*) AS n_evaluated, true AS above_hash_bag FROM ng WHERE n_gold > 0")
+def latent_recall(spark, sf):
+    """Whether the fitted embedder finds more gold documents among the first ten than the hash bag."""
+    c, q, items = _chunks(spark, sf), _questions(spark, sf), _items(spark, sf)
+    model = latent.fit(c)
+    runs = [metrics.evaluate(dense.search(e(c, ["chunk_id"], "text"), e(q, ["query_id"], "text"), 10), items, 10, n) for e, n in ((model, "fitted"), (vectors.hash_bag, "bag"))]
+    fitted, bag = (r.select("n_evaluated", F.col("recall_at_k").alias(f"r{i}")) for i, r in enumerate(runs))
+    return fitted.join(bag, "n_evaluated").select("n_evaluated", (F.col("r0") > F.col("r1")).alias("above_hash_bag"))
+
+
+@query(f"WITH {GOLD} SELECT count(*) AS n_held_out, true AS not_below_overlap FROM ng WHERE n_gold > 0 AND query_id % 3 = 1")
+def pair_scorer_mrr(spark, sf):
+    """A scorer fitted to the candidates of two thirds of the questions, on those of the rest: whether gold documents stand higher than by shared terms.
+
+    Asked are six words in a row of each passage, which many documents share one by one.
+    """
+    c, items = _corpus(spark, sf), _items(spark, sf)
+    q = _questions(spark, sf).select("query_id", F.array_join(F.slice(F.split("text", r"\s+"), 4, 6), " ").alias("text"))
+    gold = items.select("query_id", F.explode("gold").alias("chunk_id"), F.lit(1).alias("label"))
+    found = retrieval._texts(c, retrieval.search_sparse(c, q, 50).select("query_id", "chunk_id", "rank"), q)
+    pairs = stored(found.join(gold, ["query_id", "chunk_id"], "left").withColumn("label", F.coalesce("label", F.lit(0))))
+    held = F.col("query_id") % 3 == 1
+    model = pair_scorer.fit(pairs.where(~held))
+    kept = items.where(held)
+    runs = [metrics.evaluate(rerank.rerank(pairs.where(held), 10, s), kept, 10, n).select("n_evaluated", F.col("mrr_at_k").alias(n)) for s, n in ((model.scorer(), "fitted"), (rerank.overlap, "overlap"))]
+    return runs[0].join(runs[1], "n_evaluated").select(F.col("n_evaluated").alias("n_held_out"), (F.col("fitted") >= F.col("overlap")).alias("not_below_overlap"))
+
+
 # --- ingest ---
 
 

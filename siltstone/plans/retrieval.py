@@ -78,11 +78,11 @@ def search_rewritten(corpus: Corpus, questions: DataFrame, rewrites: DataFrame,
     return rerank.rerank(_texts(corpus, seen, questions), k, scorer, "position")
 
 
-def answer(corpus: Corpus, questions: DataFrame, model: grounding.Model, hits: DataFrame | None = None, k: int = 3, fan_out: int = 50) -> DataFrame:
+def answer(corpus: Corpus, questions: DataFrame, model: grounding.Model, hits: DataFrame | None = None, k: int = 3, fan_out: int = 50, chars: int = 1500, least: int = 15) -> DataFrame:
     """Retrieve, prompt, and verify: one answer per question."""
     found = hits if hits is not None else search_reranked(corpus, questions, k, fan_out)
     contexts = found.select("query_id", "chunk_id", "section_title", "text", "rank")
-    return grounding.generate(questions.select("query_id", F.col("text").alias("question")), contexts, model)
+    return grounding.generate(questions.select("query_id", F.col("text").alias("question")), contexts, model, chars, least)
 
 
 def search_by_model(corpus: Corpus, questions: DataFrame, model: grounding.Model, strategy: str = "multi_query", k: int = 10, n: int = 3, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> DataFrame:
