@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -186,7 +187,6 @@ def rank_shard(weighted: list[tuple[_Posting, float]], dls: np.ndarray, avgdl: f
 
 def _asked(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str) -> Iterator[tuple[list, dict[str, list[tuple[int, float]]]]]:
     """Blocks of questions: their ids, and for each term of the index the questions (by place) with its weight there."""
-    spark = queries.sparkSession
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
     asked = stored(asked)
     blocks = -(-asked.count() // MOST_TERMS)
@@ -195,8 +195,7 @@ def _asked(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         rows = some.toArrow()
         wanted = sorted(set(rows["term"].to_pylist()))
-        named = spark.createDataFrame(pa.table({"term": pa.array(wanted, pa.string())}))
-        known = _rows_of(index.vocabulary, named).select("term", "df").toArrow()
+        known = _rows_of(index.vocabulary, wanted).select("term", "df").toArrow()
         weight = {}
         for term, df in zip(known["term"].to_pylist(), known["df"].to_pylist(), strict=True):
             raw = math.log(totals.n - df + 0.5) - math.log(df + 0.5)
@@ -213,9 +212,10 @@ def _asked(index: SparseIndex, queries: DataFrame, query_col: str, text_col: str
             yield ids, by_term
 
 
-def _rows_of(table: DataFrame, named: DataFrame) -> DataFrame:
+def _rows_of(table: DataFrame, wanted: list[str]) -> DataFrame:
     """The rows of some terms; only their folders are read."""
-    folders = [r[0] for r in named.select(_folder(F.col("term")).alias("f")).distinct().collect()]
+    folders = sorted({zlib.crc32(t.encode()) % FOLDERS for t in wanted})
+    named = table.sparkSession.createDataFrame(pa.table({"term": pa.array(wanted, pa.string())}))
     return table.where(F.col("folder").isin(folders)).join(F.broadcast(named), "term", "left_semi")
 
 
@@ -255,8 +255,7 @@ def _scored(index: SparseIndex, queries: DataFrame, k: int | None, query_col: st
             for q, scores, ids in best.rows() if k else ():
                 yield rows(q, ids.tolist(), scores)
 
-        named = spark.createDataFrame(pa.table({"term": pa.array(list(by_term), pa.string())}))
-        picked = _rows_of(index.blocks, named).unionByName(index.blocks.where("folder = -1"))
+        picked = _rows_of(index.blocks, list(by_term)).unionByName(index.blocks.where("folder = -1"))
         # a shard's own row first, then its terms
         together = picked.drop("n", "folder").repartition("shard").sortWithinPartitions("shard", F.col("term").asc_nulls_first())
         out = out.unionByName(together.mapInArrow(rank, schema))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import replies, text, vectors
-from siltstone.operators import ann, chunking, dense, evals, fusion, grounding, ingest, latent, metrics, pair_scorer, rerank, rewrite, sparse, subwords
+from siltstone.operators import ann, chunking, containment, dense, evals, fusion, grounding, ingest, latent, metrics, pair_scorer, rerank, rewrite, sparse, subwords
 from siltstone.plans import retrieval
 from siltstone.sources.scratch import scratch, stored
 
@@ -49,11 +49,9 @@ def _corpus(spark: SparkSession, sf: str) -> retrieval.Corpus:
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    """``query_id, type, gold``: the stated questions are broadcast against all documents, without emitting pairs that do not match."""
+    """``query_id, type, gold``: the gold chunks of a question are the documents that hold its passage."""
     q = _questions(spark, sf)
-    if (n := q.count()) > dense.BLOCK:
-        raise ValueError(f"{n} questions; at most {dense.BLOCK} are compared with every document")
-    found = _chunks(spark, sf).join(F.broadcast(q.withColumnRenamed("text", "passage")), F.contains(F.col("text"), F.col("passage"))).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold"))
+    found = containment.containing(q, _chunks(spark, sf)).groupBy("query_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("gold"))
     gold = F.coalesce("gold", F.array().cast("array<bigint>"))
     return stored(q.select("query_id").join(found, "query_id", "left").select("query_id", F.when(F.size(gold) > 0, "single_hop").otherwise("no_answer").alias("type"), gold.alias("gold")))
 
@@ -257,6 +255,11 @@ def ablation_row(spark, sf):
     return retrieval_eval(spark, sf).select(metrics.ablation_row(F.lit("2024-05-01T10:20:30")).alias("row"))
 
 
+@query("SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def passages_contained(spark, sf):
+    return containment.containing(_questions(spark, sf), _chunks(spark, sf))
+
+
 # --- fitted models ---
 
 
