@@ -11,6 +11,10 @@ the question's k-th best score so far name no candidates; of the others, blocks
 skipped; what is left of the first terms is looked up for the remaining candidates only. The result is
 that of scoring every posting. A task keeps the k best of a question over all its shards.
 
+A stored index grows by batches (``add``): shards of new chunks stand beside the old ones, counts of terms
+and lengths are added up when it is loaded, and the bounds of blocks hold whatever the mean length. A
+batch counts once it is whole, and once however often it is added.
+
 Chunk ids are keys; chunks without id are left out, null texts are empty.
 """
 
@@ -26,7 +30,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -93,35 +97,48 @@ def _shard(number: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, number)), pa.concat_arrays([names, pa.array([None], pa.string())]), pa.array(np.append(sizes, n_docs).astype(np.int64)), *columns, *own], ["shard", "term", "n", *_LISTS, "ids", "dls"])
 
 
-def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
-    """The index of all chunks, written to the shared folder."""
+def _dealt(chunks: DataFrame, id_col: str, text_col: str, batch: int) -> DataFrame:
+    """The rows of ``blocks``; numbers of shards begin with that of the batch."""
     kind = chunks.schema[id_col].dataType
     named = chunks.select(F.col(id_col).alias("chunk_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).where("chunk_id IS NOT NULL")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            texts, at = batch["text"].to_pylist(), 0
+        number = (batch << 40) + (TaskContext.get().partitionId() << 20)
+        for rows in batches:
+            texts, at = rows["text"].to_pylist(), 0
             while at < len(texts):
                 upto, size = at, 0
                 while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SHARD):
                     size += len(texts[upto])
                     upto += 1
-                yield _shard(number, batch["chunk_id"].slice(at, upto - at), texts[at:upto])
+                yield _shard(number, rows["chunk_id"].slice(at, upto - at), texts[at:upto])
                 number, at = number + 1, upto
 
     arrays = ", ".join(f"{c} array<int>" for c in _LISTS)
     made = named.mapInArrow(shards, f"shard long, term string, n long, {arrays}, ids array<{kind.simpleString()}>, dls array<int>")
-    dealt = made.withColumn("folder", F.coalesce(_folder(F.col("term")), F.lit(-1))).hint("rebalance", "folder").sortWithinPartitions("folder", "term", "shard")
-    return _index(stored(dealt, "folder"))
+    return made.withColumn("folder", F.coalesce(_folder(F.col("term")), F.lit(-1))).hint("rebalance", "folder").sortWithinPartitions("folder", "term", "shard")
+
 
+def _counted(blocks: DataFrame) -> DataFrame:
+    return blocks.where("folder >= 0").groupBy("folder", "term").agg(F.sum("n").alias("df")).sortWithinPartitions("folder", "term")
 
-def _index(blocks: DataFrame) -> SparseIndex:
-    vocabulary = stored(blocks.where("folder >= 0").groupBy("folder", "term").agg(F.sum("n").alias("df")).sortWithinPartitions("folder", "term"), "folder").select("term", "df", "folder")
-    sizes = blocks.where("folder = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x)).alias("length"))
+
+def _sizes(blocks: DataFrame) -> DataFrame:
+    """``n, length``: chunks and their terms in all."""
+    length = F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda s, x: s + x))
+    return blocks.where("folder = -1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(length, F.lit(0)).alias("length"))
+
+
+def _totals(vocabulary: DataFrame, sizes: DataFrame) -> DataFrame:
     raw = vocabulary.join(F.broadcast(sizes)).agg(F.avg(_raw()).alias("mean_raw"))
-    totals = sizes.join(F.broadcast(raw)).select("n", (F.col("length") / F.col("n")).alias("avgdl"), "mean_raw")
-    return SparseIndex(blocks, vocabulary, stored(totals))
+    return sizes.join(F.broadcast(raw)).select("n", F.try_divide("length", "n").alias("avgdl"), "mean_raw")
+
+
+def build(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> SparseIndex:
+    """The index of all chunks, written to the shared folder."""
+    blocks = stored(_dealt(chunks, id_col, text_col, 0), "folder")
+    vocabulary = stored(_counted(blocks), "folder").select("term", "df", "folder")
+    return SparseIndex(blocks, vocabulary, stored(_totals(vocabulary, _sizes(blocks))))
 
 
 def _raw() -> Column:
@@ -308,14 +325,51 @@ def search(index: SparseIndex, queries: DataFrame, k: int = 10, query_col: str =
 
 
 def save(index: SparseIndex, path: str) -> None:
-    index.blocks.sortWithinPartitions("folder", "term", "shard").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
-    index.vocabulary.sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/vocabulary")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    """The whole index as one batch, in place of whatever ``path`` had."""
+    first = F.lit(0).alias("batch")
+    index.blocks.select(*_BLOCKS, first).sortWithinPartitions("folder", "term", "shard").write.mode("overwrite").partitionBy("batch", "folder").parquet(f"{path}/blocks")
+    index.vocabulary.select("term", "df", "folder", first).sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("batch", "folder").parquet(f"{path}/vocabulary")
+    _sizes(index.blocks).select("n", "length", first).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/batches")
+    index.totals.withColumn("batches", F.array(F.lit(0))).withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(f"{path}/totals")
+
 
+_BLOCKS = ["shard", "term", "n", *_LISTS, "ids", "dls", "folder"]
 
-def load(spark, path: str) -> SparseIndex:
+
+def add(chunks: DataFrame, path: str, batch: int, id_col: str = "chunk_id", text_col: str = "text") -> None:
+    """Add new chunks to the index at ``path`` (or begin it) as batch ``batch``; the same batch again replaces itself.
+
+    The row of ``batches``, written after all else, makes the batch count; without it nothing of it is read.
+    """
+    spark = chunks.sparkSession
+    rows, at = _dealt(chunks, id_col, text_col, batch), f"batch={batch}"
+    rows.write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks/{at}")
+    blocks = spark.read.schema(rows.schema).parquet(f"{path}/blocks/{at}")
+    _counted(blocks).write.mode("overwrite").partitionBy("folder").parquet(f"{path}/vocabulary/{at}")
+    _sizes(blocks).write.mode("overwrite").parquet(f"{path}/batches/{at}")
+    index, committed = _read(spark, path)
+    index.totals.withColumn("batches", F.array(*map(F.lit, committed))).write.mode("overwrite").parquet(f"{path}/totals/{at}")
+
+
+def _read(spark: SparkSession, path: str) -> tuple[SparseIndex, list[int]]:
+    """The index of the batches that count, with totals worked out anew; and these batches."""
+    sizes = spark.read.parquet(f"{path}/batches")
+    committed = sorted(r.batch for r in sizes.select("batch").distinct().collect())
+    counts = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("batch").isin(committed)).drop("batch")
+    vocabulary = counts("vocabulary")
+    if len(committed) > 1:
+        vocabulary = vocabulary.groupBy("folder", "term").agg(F.sum("df").alias("df"))
+    totals = _totals(vocabulary, sizes.agg(F.sum("n").alias("n"), F.sum("length").alias("length")))
+    return SparseIndex(counts("blocks"), vocabulary.select("term", "df", "folder"), totals), committed
+
+
+def load(spark: SparkSession, path: str) -> SparseIndex:
     from siltstone.sources.tables import exists
 
-    if not exists(spark, f"{path}/blocks"):
+    if not exists(spark, f"{path}/batches"):
         raise FileNotFoundError(f"no index at {path}: index first")
-    return SparseIndex(*[spark.read.parquet(f"{path}/{name}") for name in ("blocks", "vocabulary", "totals")])
+    index, committed = _read(spark, path)
+    if exists(spark, f"{path}/totals"):
+        known = spark.read.parquet(f"{path}/totals").where(F.col("batches") == F.array(*map(F.lit, committed))).limit(1)
+        index.totals = known.select("n", "avgdl", "mean_raw") if known.take(1) else index.totals
+    return index

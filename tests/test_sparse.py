@@ -103,3 +103,40 @@ def test_bounds_hold_whatever_the_mean_length():
     for _ in range(200):
         tf, dl, avg = r.integers(1, 30, 50), r.integers(1, 500, 50), float(r.uniform(1, 400))
         assert sparse.gain(tf, dl, avg).max() <= sparse.gain(tf.max(), dl.min(), avg) + 1e-12
+
+
+def test_an_index_in_batches_is_that_of_all_chunks(spark, tmp_path):
+    chunks = some_chunks(8, 300)
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id long, section_title string, text string")
+    asked = spark.createDataFrame([(q, f"the w{q} w{3 * q} of") for q in range(12)], "query_id int, text string")
+    want = found(sparse.search(sparse.build(frame(chunks)), asked, 10))
+    path = f"{tmp_path}/i"
+    for number, part in enumerate((chunks[:100], chunks[100:110], chunks[110:])):
+        sparse.add(frame(part), path, number)
+    assert found(sparse.search(sparse.load(spark, path), asked, 10)) == want
+    sparse.add(frame(chunks[100:110]), path, 1)  # a batch that is run again
+    index = sparse.load(spark, path)
+    assert found(sparse.search(index, asked, 10)) == want and index.totals.first().n == 300
+    import shutil
+
+    shutil.copytree(f"{path}/blocks/batch=0", f"{path}/blocks/batch=7")  # a batch that broke off before it counted
+    shutil.copytree(f"{path}/vocabulary/batch=0", f"{path}/vocabulary/batch=7")
+    assert found(sparse.search(sparse.load(spark, path), asked, 10)) == want
+    sparse.save(index, f"{tmp_path}/one")
+    assert found(sparse.search(sparse.load(spark, f"{tmp_path}/one"), asked, 10)) == want
+    shutil.rmtree(f"{path}/totals")  # worked out anew
+    assert found(sparse.search(sparse.load(spark, path), asked, 10)) == want
+
+
+def test_a_stream_of_chunks_is_indexed(spark, tmp_path):
+    from siltstone.streaming import ingest
+
+    source = tmp_path / "in"
+    chunks = some_chunks(9, 60)
+    schema = "chunk_id long, section_title string, text string"
+    for part in (chunks[:30], chunks[30:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+        ingest.index_batches(spark.readStream.schema(schema).parquet(str(source)), f"{tmp_path}/i", f"{tmp_path}/c").awaitTermination()
+    index = sparse.load(spark, f"{tmp_path}/i")
+    asked = spark.createDataFrame([(1, "w1 the"), (2, "w5")], "query_id int, text string")
+    assert found(sparse.search(index, asked, 5)) == found(sparse.search(sparse.build(spark.createDataFrame(chunks, schema)), asked, 5))

@@ -23,6 +23,22 @@ def test_each_new_row_is_appended_once(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == ["a", "b", "c"]
 
 
+def test_a_batch_that_broke_off_adds_nothing_twice(spark, tmp_path):
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id string, text string")
+    ingest.append_new(rows("a", "b", "b"), f"{tmp_path}/t", 0)
+    ingest.append_new(rows("b", "c"), f"{tmp_path}/t", 1)
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/t_ids")  # as if it broke off between the rows and the ids of its first batch
+    ingest.append_new(rows("b", "c"), f"{tmp_path}/t", 1)
+    known = spark.read.parquet(f"{tmp_path}/t")
+    assert sorted(r["id"] for r in known.where("_batch = 1").collect()) in (["b", "c"], ["c"])
+    ingest.append_new(rows("c", "d"), f"{tmp_path}/t", 2)
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/t").where("_batch = 2").collect()] == ["d"]
+    plan = spark.read.parquet(f"{tmp_path}/t_ids").where("_folder IN (1, 2)")._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan
+
+
 def test_windows_and_chunks_of_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
