@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import replies, text, vectors
 from siltstone.operators import ann, chunking, containment, dense, evals, fusion, grounding, ingest, latent, metrics, pair_scorer, rerank, rewrite, sparse, subwords
 from siltstone.plans import retrieval
+from siltstone.sources import sinks, tables
 from siltstone.sources.scratch import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,6 +654,10 @@ def _half(text_):
     return F.substring(text_, F.lit(1), F.round(F.length(text_) / 2).cast("int"))
 
 
+def _rest(text_):
+    return F.substring(text_, F.round(F.length(text_) / 2).cast("int") + 1, F.length(text_))
+
+
 @query(_rewritten(_SUB))
 def multi_query_topk(spark, sf):
     """As ``rewritten_topk``, with a model that replies with the question's first half, in a fence."""
@@ -667,21 +672,22 @@ def hyde_topk(spark, sf):
     return retrieval.search_by_model(_corpus(spark, sf), _questions(spark, sf), model, "hyde", 10).select("query_id", "chunk_id", "rrf_rank", "rerank_score", "rank")
 
 
-_JUDGED = f"""{PAIRS}, n AS (SELECT id, question, answer, trim(left(answer, 40), ' ' || chr(10)) AS c1, trim(right(answer, 25), ' ' || chr(10)) AS c2, left(answer, 200) AS context FROM pairs WHERE trim(answer, ' ' || chr(10)) <> '')"""
+_JUDGED = f"""{PAIRS}, n AS (SELECT id, question, answer, trim(left(answer, round(length(answer) / 2.0)::INT), ' ' || chr(10)) AS c1, trim(substr(answer, round(length(answer) / 2.0)::INT + 1), ' ' || chr(10)) AS c2, substr(answer, round(length(answer) / 2.0)::INT + 1) AS context FROM pairs WHERE trim(answer, ' ' || chr(10)) <> '')"""
 
 
 def _judge(prompt):
-    """A judge that takes an answer's ends for its claims, believes what the context holds, and asks with the answer's beginning."""
+    """A judge that takes an answer's halves for its claims, believes what the context holds, and asks with the whole answer."""
     answer = F.element_at(F.split(prompt, "\nAnswer: ", 2), 2)
-    claims = F.to_json(F.array(F.substring(answer, 1, 40), F.reverse(F.substring(F.reverse(answer), 1, 25))))
+    claims = F.to_json(F.array(_half(answer), _rest(answer)))
     context, claim = F.element_at(F.split(F.element_at(F.split(prompt, "\nClaim: ", 2), 1), "Context: ", 2), 2), F.element_at(F.split(prompt, "\nClaim: ", 2), 2)
     verdict = F.concat(F.lit('{"supported": '), F.contains(context, claim).cast("string"), F.lit("}"))
-    reverse = F.to_json(F.array(F.substring(F.element_at(F.split(prompt, "Answer: ", 2), 2), 1, 60)))
+    reverse = F.to_json(F.array(F.element_at(F.split(prompt, "Answer: ", 2), 2)))
     return F.when(prompt.startswith("List the claims"), claims).when(prompt.startswith("Does the context"), verdict).otherwise(reverse)
 
 
 def _said(spark, sf):
-    return _pairs(spark, sf).select("id", "question", "answer", F.substring("answer", 1, 200).alias("context"))
+    """Answers whose context is their second half."""
+    return _pairs(spark, sf).select("id", "question", "answer", _rest(F.col("answer")).alias("context"), (F.col("conv_id") % 3 == 0).alias("abstained"))
 
 
 @query(f"""WITH {_JUDGED}, k AS (SELECT id, context, unnest([c1, c2]) AS claim FROM n), u AS (SELECT id, count(*) AS n_claims, count(*) FILTER (contains(context, claim)) AS n_supported FROM k WHERE claim <> '' GROUP BY id)
@@ -690,13 +696,95 @@ def judge_faithfulness(spark, sf):
     return evals.judge_faithfulness(_said(spark, sf), _judge)
 
 
-@query(f"""WITH {_JUDGED}, rv AS (SELECT id, trim(left(answer, 60), ' ' || chr(10)) AS text FROM n), qq AS (SELECT id, question AS text FROM pairs), {_bag('qq', 'id', 'qv')}, {_bag('rv', 'id', 'rvv')},
+@query(f"""WITH {_JUDGED}, rv AS (SELECT id, trim(answer, ' ' || chr(10)) AS text FROM n), qq AS (SELECT id, question AS text FROM pairs), {_bag('qq', 'id', 'qv')}, {_bag('rv', 'id', 'rvv')},
 m AS (SELECT r.id, 1 AS n_questions, round(coalesce((SELECT sum(a.x * b.x) FROM qv a JOIN rvv b ON a.id = b.id AND a.b = b.b WHERE a.id = r.id), 0), 6) AS relevance FROM rv r WHERE r.text <> '')
 SELECT pairs.id, coalesce(n_questions, 0)::BIGINT AS n_questions, coalesce(relevance, 0) AS relevance FROM pairs LEFT JOIN m USING (id)""")
 def judge_relevance(spark, sf):
     return evals.judge_relevance(_said(spark, sf), _judge, vectors.hash_bag, 3)
 
 
+_RELEVANT = f"""rv AS (SELECT id, trim(answer, ' ' || chr(10)) AS text FROM n), qq AS (SELECT id, question AS text FROM pairs), {_bag('qq', 'id', 'qv')}, {_bag('rv', 'id', 'rvv')},
+m AS (SELECT r.id, round(coalesce((SELECT sum(a.x * b.x) FROM qv a JOIN rvv b ON a.id = b.id AND a.b = b.b WHERE a.id = r.id), 0), 6) AS relevance FROM rv r WHERE r.text <> '')"""
+
+
+@query(f"""WITH {_JUDGED}, k AS (SELECT id, context, unnest([c1, c2]) AS claim FROM n), u AS (SELECT id, count(*) AS n_claims, count(*) FILTER (contains(context, claim)) AS n_supported FROM k WHERE claim <> '' GROUP BY id), {_RELEVANT}
+SELECT pairs.id, conv_id % 3 = 0 AS abstained, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE coalesce(n_claims, 0) END AS n_claims, round(CASE WHEN conv_id % 3 = 0 THEN 1 ELSE coalesce(n_supported / n_claims, 1) END, 6) AS faithfulness, coalesce(relevance, 0) AS relevance
+FROM pairs LEFT JOIN u USING (id) LEFT JOIN m USING (id)""")
+def judge_answers(spark, sf):
+    """Both scores; an abstention is faithful unasked, its relevance is judged."""
+    return evals.judge(_said(spark, sf), _judge, vectors.hash_bag, 3).select("id", "abstained", "n_claims", "faithfulness", "relevance")
+
+
+# --- answers, files ---
+
+
+@query(f"""WITH {SPARSE}, {BENCH}, {_scored('bq', 's', 3)}, f AS (SELECT query_id, chunk_id, regexp_replace(CASE WHEN length(text) > 1500 THEN left(text, 1500) || '...' ELSE text END, '\\n\\n.*$', '', 's') AS t, text FROM s JOIN documents ON doc_id = chunk_id WHERE rank = 1),
+g AS (SELECT *, trim(left(t, 60), ' ' || chr(10)) AS quote FROM f), h AS (SELECT *, length(quote) >= 15 AND contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(quote), '\\s+', ' ', 'g'))) AS good FROM g)
+SELECT bq.query_id, CASE WHEN quote IS NULL THEN '(no passages were retrieved)' ELSE 'It is ' || md5(bq.text) END AS answer, NOT coalesce(good, false) AS abstained, coalesce(good, false)::INTEGER AS n_citations, CASE WHEN good THEN chunk_id END AS cited FROM bq LEFT JOIN h USING (query_id)""")
+def pipeline_answers(spark, sf):
+    """The whole chain from question to verified answer, with a model that quotes the first passage's beginning."""
+    c, q = _corpus(spark, sf), _questions(spark, sf)
+
+    def model(prompt):
+        body = F.element_at(F.split(prompt, "\nPassages:\n", 2), 2)
+        first, question = F.element_at(F.split(body, "\n\n", 2), 1), F.element_at(F.split(prompt, "\n\nQuestion: ", -1), -1)
+        quote = F.substring(F.element_at(F.split(first, "    text: ", 2), 2), 1, 60)
+        cited = F.array(F.struct(F.regexp_extract(first, r"^\[1\] chunk_id: (\S+)", 1).alias("chunk_id"), quote.alias("supporting_quote")))
+        return F.concat(F.lit("```json\n"), F.to_json(F.struct(F.concat(F.lit("It is "), F.md5(question)).alias("answer"), F.lit(False).alias("abstained"), cited.alias("citations"))), F.lit("\n```"))
+
+    hits = retrieval.search_sparse(c, q, 3).join(c.chunks, "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    done = retrieval.answer(c, q, model, stored(hits), 3)
+    return done.select("query_id", "answer", "abstained", F.size("citations").alias("n_citations"), F.get("citations", 0)["chunk_id"].cast("long").alias("cited"))
+
+
+@query("SELECT count_if(doc_id % 7 > 1) AS n_read, count_if(doc_id % 7 <= 1) AS n_skipped, count(DISTINCT CASE WHEN doc_id % 7 > 1 THEN source END) AS n_titles FROM documents")
+def metadata_scan(spark, sf):
+    """Metadata lines of which some are broken and some have no id."""
+    path, d = scratch(spark), _read(spark, sf, "documents")
+    line = F.when(F.col("doc_id") % 7 == 0, '{"id": "x", ').when(F.col("doc_id") % 7 == 1, F.to_json(F.struct(F.col("source").alias("title")))).otherwise(F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("title"))))
+    d.select(line.alias("value")).write.text(path)
+    good, bad = tables.metadata(spark, path)
+    return good.agg(F.count("*").alias("n_read"), F.count_distinct("title").alias("n_titles")).join(bad.agg(F.count("*").alias("n_skipped")))
+
+
+@query(f"WITH {GOLD}, g AS (SELECT query_id, n_gold, CASE WHEN n_gold > 0 THEN 'single_hop' ELSE 'no_answer' END AS type FROM ng) SELECT type, count(*) AS n, sum(n_gold)::BIGINT AS n_gold, sum(length(text))::BIGINT AS n_chars, count(*) AS n_without_notes FROM g JOIN benchmark ON item_id = query_id GROUP BY type")
+def eval_items_scan(spark, sf):
+    """Evaluation items written as lines and read by the strict scan."""
+    path = scratch(spark)
+    items = _items(spark, sf).join(_questions(spark, sf), "query_id")
+    sinks.write_json(items.select(F.col("query_id").cast("string").alias("id"), F.col("text").alias("question"), F.lit("").alias("gold_answer"), "type", F.lit("n/a").alias("source_paper_id"), F.col("gold").cast("array<string>").alias("source_chunk_ids")), path)
+    read = tables.eval_items(spark, path)
+    return read.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.size("source_chunk_ids")).cast("long").alias("n_gold"), F.sum(F.length("question")).cast("long").alias("n_chars"), F.count_if(F.col("notes") == "").alias("n_without_notes"))
+
+
+@query(f"WITH {SPARSE}, {BENCH}, {_scored('bq', 's', 5)} SELECT query_id, chunk_id, score, rank FROM s")
+def index_round_trip(spark, sf):
+    """An index written in two batches and loaded again."""
+    path, c = scratch(spark), _chunks(spark, sf)
+    for number, part in enumerate((F.col("chunk_id") % 2 == 0, F.col("chunk_id") % 2 != 0)):
+        sparse.add(c.where(part), path, number)
+    return sparse.search(sparse.load(spark, path), _questions(spark, sf), 5)
+
+
+@query(f"WITH {SPARSE}, {BENCH}, {GOLD}, {_scored('bq', 's', 10)}, q AS ({_per_query('s', 10)}) SELECT 'sparse_documents_k10_2024-05-01T10-20-30-5+00-00' AS name, count(*) AS n, round(avg(mrr), 6) AS mean_mrr, round(max(avg_mrr), 6) AS mrr_at_k FROM q, (SELECT avg(mrr) AS avg_mrr FROM q)")
+def run_files(spark, sf):
+    """A run written to its files, by their names, and read again."""
+    hits, items, folder = retrieval.search_sparse(_corpus(spark, sf), _questions(spark, sf), 10), _items(spark, sf), scratch(spark)
+    name = sinks.write_run(metrics.per_query(hits, items, 10), metrics.evaluate(hits, items, 10, "sparse", "documents"), folder, "sparse", "documents", 10, "2024-05-01T10:20:30.5+00:00")
+    rows, run = spark.read.json(f"{folder}/{name}.jsonl"), spark.read.json(f"{folder}/{name}.json")
+    return rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.avg("mrr"), 6).alias("mean_mrr")).join(run.select("mrr_at_k"))
+
+
+@query(f"WITH {SPARSE}, {BENCH}, {GOLD}, {_scored('bq', 's', 10)} SELECT query_id, recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM ({_per_query('s', 10)})")
+def array_metrics(spark, sf):
+    """The metrics of arrays of hits: any hit, reciprocal rank, nDCG."""
+    hits = retrieval.search_sparse(_corpus(spark, sf), _questions(spark, sf), 10)
+    ranked = hits.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("found"))
+    each = _items(spark, sf).where("size(gold) > 0").join(ranked, "query_id", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
+    r, g = F.col("found"), F.col("gold")
+    return each.select("query_id", metrics.recall(r, g, 10).alias("recall"), F.round(metrics.reciprocal_rank(r, g, 10), 6).alias("mrr"), F.round(metrics.ndcg(r, g, 10), 6).alias("ndcg"))
+
+
 # --- smaller parts ---
 
 _SENTENCES = """sn AS (SELECT doc_id, list_filter(flatten(list_transform(string_split(text, chr(10) || chr(10)), lambda p: string_split(regexp_replace(trim(p, ' ' || chr(10)), '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))), lambda s: trim(s, ' ' || chr(10)) <> '') AS l FROM documents)"""
