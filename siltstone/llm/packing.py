@@ -11,19 +11,21 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to long"
 #: Fixed value: how the byte-level vocabularies of this kind cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encoders: dict[str, tiktoken.Encoding] = {}
+_added: dict[str, tuple[list[str], Tokenizer]] = {}
 
 
 def _letters() -> dict[str, int]:
@@ -37,8 +39,7 @@ def encoder(path: str) -> tiktoken.Encoding:
     """One encoder for each vocabulary file of the tokenizers library and Python worker.
 
     The file must hold a byte-level BPE without a normalizer whose merges stand in the order of
-    their ids, as a merge is then told by the id of its result. The strings of special tokens are
-    ordinary text.
+    their ids, as a merge is then told by the id of its result. It knows no added tokens: see ``ids_of``.
     """
     if path not in _encoders:
         with open(path, encoding="utf-8") as f:
@@ -56,6 +57,25 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def ids_of(path: str) -> Callable[[str], list[int]]:
+    """From a text to the ids that the tokenizers library gives without adding special tokens.
+
+    A text that holds the string of an added token is encoded by the library itself, which cuts texts
+    there first.
+    """
+    if path not in _added:
+        with open(path, encoding="utf-8") as f:
+            _added[path] = [t["content"] for t in json.load(f)["added_tokens"]], Tokenizer.from_file(path)
+    plain, (added, library) = encoder(path).encode_ordinary, _added[path]
+
+    def encode(text: str) -> list[int]:
+        if any(a in text for a in added):
+            return library.encode(text, add_special_tokens=False).ids
+        return plain(text)
+
+    return encode
+
+
 class FirstFit:
     """Sequences in order of opening; ``place`` finds the first with room by a tournament tree of free space."""
 
@@ -131,7 +151,7 @@ def pack_documents(
         group = key[0].as_py()
         rows = [(d, t or "") for b in batches for d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        encode, ids = encoder(vocabulary).encode_ordinary, []
+        encode, ids = ids_of(vocabulary), []
         for i, (d, t) in enumerate(rows):
             ids.append(np.array([*encode(t), end_id], "<u4"))
             rows[i] = (d, None)

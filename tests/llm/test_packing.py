@@ -15,14 +15,12 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_every_token_lies_in_one_piece_and_sequences_have_no_gaps(spark, tokenizer):
     r = random.Random(3)
-    texts = {d: " ".join(r.choice(["alpha", "beta.", "gamma,", "é", "12", "x\ny"]) for _ in range(r.choice([0, 1, 5, 200, 3000]))) for d in range(70)} | {100: None, 101: "", 102: "  two  spaces ", 103: "<|endoftext|>"}
+    texts = {d: " ".join(r.choice(["alpha", "beta.", "gamma,", "é", "12", "x\ny"]) for _ in range(r.choice([0, 1, 5, 200, 3000]))) for d in range(70)} | {100: None, 101: "", 102: "  two  spaces ", 103: "<|endoftext|>", 104: "a <|endoftext|> b", 105: "é<|endoftext|><|endoftext|>x  <|endoftext", 106: "  <|endoftext|>" * 3000}
     docs = spark.createDataFrame([(d, t, 5) for d, t in texts.items()], "doc_id long, text string, offset int")
     rows = packing.pack_documents(docs, PATH, group_chars=40_000).collect()
     ids = {d: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in texts.items()}
@@ -59,7 +57,7 @@ def test_empty_and_repeated_rows(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab .,'s\n\t 1é日  ªʰ²<|>"), max_size=40))
 def test_ids_are_the_tokenizers(tokenizer, text):
-    assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.ids_of(PATH)(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
@@ -94,6 +92,6 @@ def test_other_vocabularies_are_refused(tmp_path):
 def test_ids_of_every_kind_of_character_are_the_tokenizers(tokenizer):
     for at in range(0, 0xD800, 64):
         text = " ".join(f"a{chr(c)} {chr(c)}b{chr(c)}{chr(c)}1 {chr(c)}1" for c in range(at, at + 64))
-        assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.ids_of(PATH)(text) == tokenizer.encode(text, add_special_tokens=False).ids
     for text in (" " * 50_000 + "x", "a" * 50_000, "!?" * 20_000, "x \n" * 20_000):
-        assert packing.encoder(PATH).encode_ordinary(text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.ids_of(PATH)(text) == tokenizer.encode(text, add_special_tokens=False).ids
