@@ -62,8 +62,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> t
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``most`` rows of each label, by hash of the id; ids whose crc32 has the remainder 1 by 3 are left for testing."""
-    usable = labels.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"])
+    """Features and labels of at most ``most`` rows of each label, by hash of the id; ids whose crc32 has the remainder 1 by 3 are left for testing. An id labelled both ways is good."""
+    usable = labels.where((F.crc32(F.col(id_col).cast("string")) % 3 != 1) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     ids = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most) for y in (0, 1)]
     got = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(F.broadcast(ids[0].union(ids[1])), F.col("_d") == F.col("_id"))
     rows = sorted(tuple(map(float, r)) for r in got.select("_id", "_y", *features(F.col("_t"))).collect())
