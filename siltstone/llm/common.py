@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,10 +26,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget what nothing refers to any more.
+
+    Spark deletes shuffle files, broadcasts and checkpoints only once the driver's collector finds
+    their owners gone. Iterative jobs leave little garbage on a large heap, so that files of steps long
+    done would stay on the executors' disks, and the driver's heap would grow.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once, keep in the shared checkpoint folder, forget the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    done = df.checkpoint()
+    release(df.sparkSession)
+    return done
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -40,6 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
