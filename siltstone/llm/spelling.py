@@ -99,6 +99,11 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return stored(kept.select(F.monotonically_increasing_id().alias("r"), "word", "n"))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is never sent whole: a vocabulary is so well compressed that its file would pass for small, and grow tenfold and more in the driver's memory."""
+    return side.hint("merge")
+
+
 def _replaced(words: DataFrame) -> DataFrame:
     """``r, near, best`` of a word in each of its wildcard groups that has another word."""
     without = lambda i: F.struct(*[k.alias(name) for k, name in zip(_key(F.substring("word", 1, i - 1), F.expr("substring(word, i + 1)"), i), "ab", strict=True)])
@@ -118,7 +123,7 @@ def _indels(words: DataFrame) -> DataFrame:
     a, b = _key(shorter)
     long = once.select(F.col("r").alias("long"), a.alias("a"), b.alias("b"))
     a, b = _key(F.col("word"))
-    found = long.join(words.select(F.col("r").alias("short"), a.alias("a"), b.alias("b")), ["a", "b"])
+    found = long.join(_shuffled(words.select(F.col("r").alias("short"), a.alias("a"), b.alias("b"))), ["a", "b"])
     both = F.array(F.struct(F.col("long").alias("r"), F.col("short").alias("best")), F.struct(F.col("short").alias("r"), F.col("long").alias("best")))
     return found.select(F.explode(both).alias("x")).select("x.r", F.lit(1).cast("long").alias("near"), "x.best")
 
@@ -129,7 +134,7 @@ def _roots(forms: DataFrame, largest: int) -> DataFrame:
     now = stored(forms.select("r", F.col("f").alias("root")))
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         on = now.select(F.col("r").alias("root"), F.col("root").alias("further"))
-        now = stored(now.join(on, "root", "left").select("r", F.coalesce("further", "root").alias("root")))
+        now = stored(now.join(_shuffled(on), "root", "left").select("r", F.coalesce("further", "root").alias("root")))
     return now
 
 
@@ -143,9 +148,9 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     largest = words.agg(F.max("n")).first()[0]
     near = _replaced(words).unionByName(_indels(words)).groupBy("r").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
     best = words.select(F.col("r").alias("best"), F.col("word").alias("_form"), F.col("n").alias("_n"))
-    joined = words.join(near, "r", "left").join(best, "best", "left")
+    joined = words.join(_shuffled(near), "r", "left").join(_shuffled(best), "best", "left")
     formed = F.col("_n") >= TIMES * F.col("n")
     told = stored(joined.select("r", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(formed, F.col("best")).alias("f"), F.when(formed, F.col("_form")).alias("form"), F.when(formed, F.col("_n")).alias("form_n")))
     roots = _roots(told.where("f IS NOT NULL").select("r", "f"), largest or 1)
-    named = roots.join(words.select(F.col("r").alias("root"), F.col("word").alias("_root")), "root").select("r", "_root")
-    return told.join(named, "r", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("_root", "word").alias("root"))
+    named = roots.join(_shuffled(words.select(F.col("r").alias("root"), F.col("word").alias("_root"))), "root").select("r", "_root")
+    return told.join(_shuffled(named), "r", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("_root", "word").alias("root"))

@@ -90,5 +90,12 @@ def test_texts_cut_between_runs():
     assert "".join(spelling._pieces(text)) == text and all(not p or p[-1] != "d" for p in spelling._pieces(text))
 
 
+def test_no_vocabulary_passes_through_the_driver(spark, monkeypatch):
+    plans, keep = [], spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or keep(df))
+    plans.append(spelling.variants(spark.createDataFrame(some_docs(2), SCHEMA))._jdf.queryExecution().toString())
+    assert len(plans) > 3 and sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_empty_tables(spark):
     assert got(spark, []) == {} and got(spark, [(1, "few words", "x", 1, 2)]) == {}
