@@ -125,6 +125,15 @@ def test_pairs_in_a_template_of_many_lines_are_found(spark):
     assert sum(got[1000 + i] for i in twins) >= 59 and sum(got[d] != want[d] for d in got) <= 1
 
 
+def test_rows_of_few_bands_are_shuffled_at_once(spark, monkeypatch):
+    sizes, whole = [], lines.shared
+    monkeypatch.setattr(lines, "shared", lambda rows: sizes.append(rows.count()) or whole(rows))
+    rows = corpus()
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    classes = len({x for _, t in rows for x in (t or "").split("\n") if x.strip()})
+    assert sizes == [4 * classes] * 4 and got == dict(zip([d for d, _ in rows], plain(rows)))
+
+
 @pytest.mark.parametrize("order", [4, 5, 7])
 def test_bands_share_one_value_at_most(order):
     found = lines.bands(order)
