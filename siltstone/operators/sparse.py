@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,6 +46,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 MOST_TERMS = 500_000
 #: Characters of a shard, postings of a block, folders of terms.
 SHARD, BLOCK, FOLDERS = 1 << 24, 128, 64
+#: Characters whose tokens a task holds at once.
+HELD = 1 << 20
 _TERM = re.compile("[a-z0-9]+")
 _LISTS = ["ords", "tfs", "block_tf", "block_dl"]
 
@@ -72,14 +75,34 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(FOLDERS)).cast("int")
 
 
-def _shard(number: int, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-    """The rows of one shard."""
-    found = [_TERM.findall(t) for t in texts]
-    dls = np.array([len(f) for f in found], np.int32)
-    tokens = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
-    names, n_docs = tokens.dictionary, len(texts)
-    pairs, tfs = np.unique(tokens.indices.to_numpy().astype(np.int64) * max(1, n_docs) + np.repeat(np.arange(n_docs), dls), return_counts=True)
-    codes, ords = np.divmod(pairs, max(1, n_docs))
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where parts of texts of these sizes begin and end: at most ``most`` characters, or one text."""
+    at = 0
+    while at < len(sizes):
+        upto = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at : at + most]), most, "right")))
+        yield at, upto
+        at = upto
+
+
+def _shard(number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The rows of one shard. Tokens are counted by few texts at a time, so that what is held are the postings."""
+    dls, ords, tfs = ([np.zeros(0, np.int32)] for _ in range(3))
+    coded = []
+    for at, upto in _parts(pc.utf8_length(texts).to_numpy(), HELD):
+        found = [_TERM.findall(t) for t in texts.slice(at, upto - at).to_pylist()]
+        dls.append(np.array([len(f) for f in found], np.int32))
+        tokens = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        pairs, n = np.unique(tokens.indices.to_numpy().astype(np.int64) * len(found) + np.repeat(np.arange(len(found)), dls[-1]), return_counts=True)
+        code, ord_ = np.divmod(pairs, len(found))
+        coded.append(pa.DictionaryArray.from_arrays(pa.array(code.astype(np.int32)), tokens.dictionary))
+        ords.append((ord_ + at).astype(np.int32))
+        tfs.append(n.astype(np.int32))
+    dls, ords, tfs = map(np.concatenate, (dls, ords, tfs))
+    terms_of = pa.chunked_array(coded, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries().combine_chunks()
+    codes = terms_of.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")  # by term, then by place, as parts follow one another
+    codes, ords, tfs = codes[order], ords[order], tfs[order]
+    names, n_docs = terms_of.dictionary, len(texts)
     sizes = np.bincount(codes, minlength=len(names))
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -105,14 +128,9 @@ def _dealt(chunks: DataFrame, id_col: str, text_col: str, batch: int) -> DataFra
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (batch << 40) + (TaskContext.get().partitionId() << 20)
         for rows in batches:
-            texts, at = rows["text"].to_pylist(), 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= SHARD):
-                    size += len(texts[upto])
-                    upto += 1
-                yield _shard(number, rows["chunk_id"].slice(at, upto - at), texts[at:upto])
-                number, at = number + 1, upto
+            for at, upto in _parts(pc.utf8_length(rows["text"]).to_numpy(), SHARD):
+                yield _shard(number, rows["chunk_id"].slice(at, upto - at), rows["text"].slice(at, upto - at))
+                number += 1
 
     arrays = ", ".join(f"{c} array<int>" for c in _LISTS)
     made = named.mapInArrow(shards, f"shard long, term string, n long, {arrays}, ids array<{kind.simpleString()}>, dls array<int>")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.operators import sparse
@@ -140,3 +141,20 @@ def test_a_stream_of_chunks_is_indexed(spark, tmp_path):
     index = sparse.load(spark, f"{tmp_path}/i")
     asked = spark.createDataFrame([(1, "w1 the"), (2, "w5")], "query_id int, text string")
     assert found(sparse.search(index, asked, 5)) == found(sparse.search(sparse.build(spark.createDataFrame(chunks, schema)), asked, 5))
+
+
+def test_a_shard_is_built_without_all_its_tokens_at_once():
+    import tracemalloc
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = pa.array([" ".join(r.choice(words) for _ in range(r.choice([0, 5, 2000]))) for _ in range(1200)], pa.string())
+    tracemalloc.start()
+    rows = sparse._shard(3, pa.array(range(len(texts)), pa.int64()), texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = [Counter(t.split()) for t in texts.to_pylist()]
+    for row in rows.to_pylist()[:-1]:
+        held = [i for i, c in enumerate(counts) if row["term"] in c]
+        assert row["ords"] == held and row["tfs"] == [counts[i][row["term"]] for i in held] and row["n"] == len(held)
+    assert rows["dls"][-1].as_py() == [sum(c.values()) for c in counts] and peak < 8 * sum(map(len, texts.to_pylist()))
