@@ -7,8 +7,12 @@ of Q whatever the number of chunks; the tasks' matrices are added in two steps,
 Last, the small matrix Q'X'XQ gives the directions of most weight within Q. The driver and every task
 hold ``terms`` times (``dims`` + EXTRA) numbers.
 
-Use. A text's vector is its row times the directions, at length 1; a text without known terms has the
-zero vector. One pass without a shuffle.
+Use. A text's vector is its row times the directions, each divided by the root of its weight, at length
+1; a text without known terms has the zero vector. The first directions tell what nearly all chunks
+share: left at their weight they drown the others, the more so the more chunks there are. One pass
+without a shuffle.
+
+Rows are multiplied a few at a time as a dense matrix over the terms that these few have.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,10 @@ from siltstone.sources.scratch import stored
 EXTRA = 16
 #: Pieces of the terms, and groups of tasks, in which matrices are added.
 PIECES, GROUPS = 32, 64
-#: Terms of chunks whose rows are multiplied at once; counts that a task holds before it sends them on.
-AT_ONCE, HELD = 1 << 15, 300_000
+#: Terms of chunks whose rows are multiplied at once, and most of these rows; counts that a task holds before it sends them on.
+AT_ONCE, MOST_ROWS, HELD = 1 << 14, 64, 300_000
+#: Directions with less than this share of the largest weight are noise and are left out.
+LEAST = 1e-12
 _TERM = re.compile("[a-z0-9]+")
 
 
@@ -68,58 +75,58 @@ class Rows:
     at: np.ndarray
     weights: np.ndarray
 
+    def dense(self, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of these rows, and the rows as a matrix over them alone."""
+        known = np.zeros(wide, bool)
+        known[self.at] = True
+        terms = np.flatnonzero(known)
+        place = np.empty(wide, np.int64)
+        place[terms] = np.arange(len(terms))
+        out = np.zeros((len(self.ends), len(terms)), np.float32)
+        out[np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0)), place[self.at]] = self.weights
+        return terms, out
+
     def times(self, matrix: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(self.ends), matrix.shape[1]))
-        full = np.flatnonzero(np.diff(self.ends, prepend=0))
-        if len(full):
-            begins = np.append(0, self.ends[:-1])[full]
-            out[full] = np.add.reduceat(matrix[self.at] * self.weights[:, None], begins)
-        return out
-
-    def add_transposed(self, matrix: np.ndarray, out: np.ndarray) -> None:
-        """Add this' times ``matrix`` to ``out``."""
-        if not len(self.at):
-            return
-        order = np.argsort(self.at, kind="stable")
-        row = np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
-        terms, begins = np.unique(self.at[order], return_index=True)
-        out[terms] += np.add.reduceat(matrix[row[order]] * self.weights[order][:, None], begins)
+        terms, rows = self.dense(len(matrix))
+        return (rows @ matrix[terms].astype(np.float32, copy=False)).astype(float)
+
+    def add_squared(self, matrix: np.ndarray, out: np.ndarray) -> None:
+        """Add these rows, transposed, times the rows times ``matrix`` to ``out``."""
+        if len(self.at):
+            terms, rows = self.dense(len(matrix))
+            out[terms] += rows.T @ (rows @ matrix[terms])
 
 
 def sparse_rows(texts: list[str], number: dict[str, int], idf: np.ndarray) -> Rows:
     """Unit rows of (1 + log tf) idf over the known terms."""
-    ends, at, weights = [], [], []
-    for text in texts:
-        counts = Counter(t for t in map(number.get, _TERM.findall(text)) if t is not None)
-        if counts:
-            terms = np.fromiter(counts, int, len(counts))
-            w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[terms]
-            at.append(terms)
-            weights.append(w / np.sqrt((w * w).sum()))
-        ends.append(len(counts))
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return Rows(np.cumsum(ends).astype(int), join(at, int), join(weights, float))
+    counts = [Counter(_TERM.findall(text)) for text in texts]
+    at = np.fromiter((number.get(t, -1) for t in chain.from_iterable(counts)), np.int64)
+    tf = np.fromiter(chain.from_iterable(c.values() for c in counts), float, len(at))
+    row, known = np.repeat(np.arange(len(texts)), [len(c) for c in counts]), at >= 0
+    at, tf, row = at[known], tf[known], row[known]
+    weights = (1 + np.log(tf)) * idf[at]
+    size = np.sqrt(np.bincount(row, weights * weights, len(texts)))
+    return Rows(np.cumsum(np.bincount(row, minlength=len(texts))), at, weights / size[row])
 
 
 @dataclass
 class Latent:
-    """``terms`` with their ``idf`` and ``directions`` (terms, dims); calling it embeds, as ``retrieval.Embedder``."""
+    """``terms`` with their ``idf`` and ``directions`` (terms, dims) of unit length, and the ``scale`` (dims) of each; calling it embeds, as ``retrieval.Embedder``."""
 
     terms: list[str]
     idf: np.ndarray
     directions: np.ndarray
+    scale: np.ndarray
     _sent: Broadcast | None = field(default=None, repr=False)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
         """Unit vectors of lower-cased texts."""
-        raw = sparse_rows(texts, {t: i for i, t in enumerate(self.terms)}, self.idf).times(self.directions)
-        size = np.sqrt((raw * raw).sum(1, keepdims=True))
-        return np.divide(raw, size, out=np.zeros_like(raw), where=size > 0)
+        return _unit(sparse_rows(texts, {t: i for i, t in enumerate(self.terms)}, self.idf).times(self.directions * self.scale))
 
     def __call__(self, rows: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
         spark = rows.sparkSession
         if self._sent is None:
-            self._sent = spark.sparkContext.broadcast((self.terms, self.idf, self.directions))
+            self._sent = spark.sparkContext.broadcast((self.terms, self.idf, (self.directions * self.scale).astype(np.float32)))
         sent, kinds = self._sent, [rows.schema[c].dataType for c in id_cols]
         types = [to_arrow_type(k) for k in kinds]
 
@@ -130,9 +137,7 @@ class Latent:
                 texts = batch["_text"].to_pylist()
                 # few texts at once, so that the rows of one product stay small
                 for i in range(0, len(texts), 64):
-                    raw = sparse_rows(texts[i : i + 64], number, idf).times(directions)
-                    size = np.sqrt((raw * raw).sum(1, keepdims=True))
-                    unit = np.divide(raw, size, out=np.zeros_like(raw), where=size > 0)
+                    unit = _unit(sparse_rows(texts[i : i + 64], number, idf).times(directions))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(unit) + 1, dtype=np.int32) * unit.shape[1]), pa.array(unit.ravel()))
                     yield pa.RecordBatch.from_arrays([*(batch[f"_{n}"].slice(i, len(unit)).cast(t) for n, t in enumerate(types)), lists], [*id_cols, "vector"])
 
@@ -140,6 +145,11 @@ class Latent:
         return named.mapInArrow(embed, ", ".join([*(f"`{c}` {k.simpleString()}" for c, k in zip(id_cols, kinds, strict=True)), "vector array<double>"]))
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    size = np.sqrt((raw * raw).sum(1, keepdims=True))
+    return np.divide(raw, size, out=np.zeros_like(raw), where=size > 0)
+
+
 def _added(rows: DataFrame, wide: int, columns: int, q: Broadcast) -> np.ndarray:
     """X'XQ, added up by tasks, then by groups of tasks, then by pieces of the terms."""
     cuts = [round(i * wide / PIECES) for i in range(PIECES + 1)]
@@ -150,9 +160,9 @@ def _added(rows: DataFrame, wide: int, columns: int, q: Broadcast) -> np.ndarray
             offsets, at, weights = batch["at"].offsets.to_numpy(), batch["at"].values.to_numpy(), batch["weights"].values.to_numpy()
             i = 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + AT_ONCE, "right")) - 1)
+                j = min(i + MOST_ROWS, max(i + 1, int(np.searchsorted(offsets, offsets[i] + AT_ONCE, "right")) - 1), batch.num_rows)
                 some = Rows(offsets[i + 1 : j + 1] - offsets[i], at[offsets[i] : offsets[j]], weights[offsets[i] : offsets[j]])
-                some.add_transposed(some.times(q.value), out)
+                some.add_squared(q.value, out)
                 i = j
         group = TaskContext.get().partitionId() % GROUPS
         yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([group] * PIECES, pa.int32()), pa.array([out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["piece", "part", "sums"])
@@ -187,7 +197,7 @@ def fit(chunks: DataFrame, text_col: str = "text", dims: int = 128, terms: int =
     idf = np.log((1 + n) / (1 + np.array(top["df"].to_pylist(), float))) + 1
     dims = min(dims, len(names))
     if not dims:
-        return Latent([], np.zeros(0), np.zeros((0, 1)))
+        return Latent([], np.zeros(0), np.zeros((0, 1)), np.ones(1))
     sent = spark.sparkContext.broadcast((names, idf))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +212,24 @@ def fit(chunks: DataFrame, text_col: str = "text", dims: int = 128, terms: int =
     columns = min(len(names), dims + EXTRA)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(names), columns)))[0]
     for last in [False] * rounds + [True]:
-        now = spark.sparkContext.broadcast(q)
+        now = spark.sparkContext.broadcast(q.astype(np.float32))
         product = _added(rows, len(names), columns, now)
         now.unpersist()
         if last:
             weight, turn = np.linalg.eigh(q.T @ product)
-            return Latent(names, idf, q @ turn[:, np.argsort(-weight)[:dims]])
+            top = np.argsort(-weight)[:dims]
+            real = weight[top] > LEAST * weight.max()
+            return Latent(names, idf, q @ turn[:, top], np.where(real, 1 / np.sqrt(np.where(real, weight[top], 1)), 0))
         q = np.linalg.qr(product)[0]
     raise AssertionError
 
 
 def save(model: Latent, spark: SparkSession, path: str) -> None:
-    rows = [(i, t, float(w), d.tolist()) for i, (t, w, d) in enumerate(zip(model.terms, model.idf, model.directions, strict=True))]
+    """A row a term; row -1 has the scale."""
+    rows = [(-1, None, None, model.scale.tolist())] + [(i, t, float(w), d.tolist()) for i, (t, w, d) in enumerate(zip(model.terms, model.idf, model.directions, strict=True))]
     spark.createDataFrame(rows, "no int, term string, idf double, direction array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> Latent:
-    rows = spark.read.parquet(path).orderBy("no").collect()
-    return Latent([r.term for r in rows], np.array([r.idf for r in rows]), np.array([r.direction for r in rows]))
+    scale, *rows = spark.read.parquet(path).orderBy("no").collect()
+    return Latent([r.term for r in rows], np.array([r.idf for r in rows]), np.array([r.direction for r in rows]), np.array(scale.direction))

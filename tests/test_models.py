@@ -54,6 +54,17 @@ def test_every_row_has_a_vector_and_topics_are_near(spark, tmp_path):
     assert latent.fit(frame.limit(0)).directions.shape == (0, 1)
 
 
+def test_no_direction_outweighs_another(spark):
+    """What nearly all chunks share must not hide what few share: over all chunks each scaled direction has the same sum of squares."""
+    docs = topics(4)
+    model = latent.fit(spark.createDataFrame(docs, "chunk_id int, text string"), dims=6, rounds=4)
+    x = plain_rows([t for _, t in docs], model.terms, model.idf)
+    plain, scaled = (((x @ d) ** 2).sum(0) for d in (model.directions, model.directions * model.scale))
+    assert plain.max() > 3 * plain.min() and np.allclose(scaled, 1, atol=1e-4)
+    rows = x @ (model.directions * model.scale)
+    assert np.allclose(model.vectors([t for _, t in docs]), rows / np.linalg.norm(rows, axis=1, keepdims=True), atol=1e-5)
+
+
 def test_more_terms_than_wanted(spark):
     docs = topics(3, 40)
     model = latent.fit(spark.createDataFrame(docs, "chunk_id int, text string"), dims=50, terms=10)
