@@ -136,7 +136,7 @@ def semantic(sections: DataFrame, embed, size: int = 512, overlap: int = 64, per
     keys, tokenizer = list(keys), tokenizer or Pieces()
     split = sections.select(*keys, "text", sentences(F.col("text")).alias("_s")).withColumn("_whole", (F.size("_s") <= 2) | (tokenizer.count(F.col("text")) <= size))
     whole = split.where("_whole").select(*keys, F.when(strip(F.col("text")) == "", F.array().cast("array<string>")).otherwise(F.array("text")).alias("chunks"))
-    each = split.where("NOT _whole").select(*keys, F.posexplode("_s").alias("_i", "_t"))
+    each = split.where("NOT _whole").select(*keys, F.posexplode_outer("_s").alias("_i", "_t"))
     vectors = each.join(embed(each, [*keys, "_i"], "_t"), [*keys, "_i"])
     order = W.partitionBy(*keys).orderBy("_i")
     segment = breaks(vectors, keys, percentile).withColumn("_no", F.sum(F.col("_break").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
@@ -156,7 +156,8 @@ def chunk_sections(sections: DataFrame, strategy: str = "recursive", size: int =
         made = semantic(sections, embed, size, overlap, percentile, tokenizer=tokenizer).join(sections.select(*base), ["paper_id", "section_index"])
     else:
         made = sections.select(*base, (tokenizer.fixed if strategy == "fixed" else tokenizer.recursive)(F.col("text"), size, overlap).alias("chunks"))
-    each = made.select(*base, F.posexplode("chunks").alias("chunk_index", "text"))
+    # outer: Spark puts a filter before a plain explode, and so would chunk every text again for it
+    each = made.select(*base, F.posexplode_outer("chunks").alias("chunk_index", "text")).where("chunk_index IS NOT NULL")
     return each.select(
         F.concat_ws("::", "paper_id", "section_index", "chunk_index").alias("chunk_id"), *base, "chunk_index", "text", F.length("text").alias("char_count"), tokenizer.count(F.col("text")).alias("token_count"), F.lit(strategy).alias("strategy")
     )

@@ -115,3 +115,13 @@ def test_driver_ids_and_stats(spark):
 def test_sentences(spark):
     t = "First one. Second! third? Fourth e.g. this.\n\nNew para. End"
     assert spark.createDataFrame([(t,)], "t string").select(text.sentences(F.col("t"))).first()[0] == ["First one.", "Second! third?", "Fourth e.g. this.", "New para.", "End"]
+
+
+@pytest.mark.parametrize("strategy", ["fixed", "recursive"])
+def test_texts_are_chunked_once(spark, strategy):
+    """No filter of the plan works the chunks out a second time, and texts without chunks give no rows."""
+    rows = spark.range(4).selectExpr("string(id) paper_id", "0 section_index", "'s' section_title", "element_at(array('', 'a b', null, 'c '), int(id + 1)) text")
+    made = chunking.chunk_sections(rows, strategy, 8, 2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "size(" in line]
+    assert sorted((r.paper_id, r.chunk_index, r.text) for r in made.collect()) == [("1", 0, "a b"), ("3", 0, "c ")]
