@@ -107,3 +107,20 @@ def test_fragments_lose_nothing(spark, pairs):
     texts = [t for t in some_texts() if t and "Z" * 9 not in t and "é" * 9 not in t and t.strip()]
     frame = spark.createDataFrame([(t,) for t in texts if "日" not in t and " " * 9 not in t], "t string")
     assert frame.where(F.array_join(pairs.fragments(F.col("t"), 20), "") != F.col("t")).count() == 0
+
+
+@pytest.mark.parametrize("kind", sorted(subwords.PATTERNS))
+def test_long_texts_are_not_encoded_and_tails_are_those_of_the_whole_text(kind, monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        merges = subwords.Merges(f.read(), subwords.PATTERNS[kind])
+    r, bits = random.Random(7), ["word", " ", "  ", "\n", "\n\n", ". ", "é", "\u00a0", "\x1c", "!", "'s", "12345", "\u2003x", "Żó", "A", " b", "\t", "漢字", "\r\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 120))) for _ in range(400)] + ["the quick brown fox. " * 300]
+    for text in texts:
+        ends = merges.ends(text)
+        for n in (1, 5, 16):
+            assert merges.tail(text, n) == text.encode()[ends[-n - 1] if len(ends) > n else 0 :].decode(errors="replace")
+            assert not merges.above(text, n) or len(ends) > n
+    seen = []
+    monkeypatch.setattr(merges, "ids", lambda text, ids=merges.ids: seen.append(len(text)) or ids(text))
+    merges.recursive(texts[-1], 32, 4)
+    assert max(seen) < 400
