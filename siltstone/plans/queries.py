@@ -242,10 +242,9 @@ _ABLATION = f"{_LISTS}, {_HYBRID}, {_RERANK}, {GOLD}, runs AS ({_means('sparse',
 @query(f"{_ABLATION} SELECT * FROM runs")
 def retrieval_ablation(spark, sf):
     c, q, items = _corpus(spark, sf), _questions(spark, sf), _items(spark, sf)
-    runs = {"sparse": retrieval.search_sparse, "dense": retrieval.search_dense, "hybrid": retrieval.search_hybrid, "rerank": retrieval.search_reranked}
     out = None
-    for name, search in runs.items():
-        one = metrics.evaluate(search(c, q, 10), items, 10, name, "documents")
+    for name, hits in retrieval.compared(c, q, 10).items():
+        one = metrics.evaluate(hits, items, 10, name, "documents")
         out = one if out is None else out.unionByName(one)
     return out
 

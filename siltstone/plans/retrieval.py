@@ -64,6 +64,19 @@ def search_reranked(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out:
     return rerank.rerank(_texts(corpus, search_hybrid(corpus, questions, fan_out, fan_out, rrf_k), questions), k, scorer)
 
 
+def compared(corpus: Corpus, questions: DataFrame, k: int = 10, fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> dict[str, DataFrame]:
+    """The hits of the configurations sparse, dense, hybrid and rerank, for which each index is searched once.
+
+    A list of k is the head of a longer one, as ranks are unique. With an index of cells (``corpus.ann``)
+    the longer search may find more than a search for k alone.
+    """
+    found = [stored(search(corpus, questions, max(k, fan_out))) for search in (search_dense, search_sparse)]
+    fused = stored(fusion.hybrid(*[f.where(F.col("rank") <= fan_out) for f in found], max(k, fan_out), rrf_k))
+    first = [x.where(F.col("rank") <= k) for x in (*found, fused)]
+    reranked = rerank.rerank(_texts(corpus, fused.where(F.col("rank") <= fan_out), questions), k, scorer)
+    return {"sparse": first[1], "dense": first[0], "hybrid": first[2], "rerank": reranked}
+
+
 def search_rewritten(corpus: Corpus, questions: DataFrame, rewrites: DataFrame, k: int = 10, strategy: str = "multi_query", fan_out: int = 50, scorer: rerank.Scorer = rerank.overlap, rrf_k: int = 60) -> DataFrame:
     """Candidates of all sub-queries, each at its first sighting, reranked against the original question.
 

@@ -137,3 +137,15 @@ def test_evaluate(spark):
             metrics.evaluate(hits, bad, k, "x")
 
 
+
+
+def test_compared_searches_each_index_once(spark, corpus, monkeypatch):
+    q = ask(spark, "dense vectors", "the cat", "common inverted index", "")
+    plain = {"sparse": retrieval.search_sparse, "dense": retrieval.search_dense, "hybrid": retrieval.search_hybrid, "rerank": retrieval.search_reranked}
+    rows = lambda hits: sorted(map(str, hits.select(sorted(hits.columns)).collect()))
+    want = {name: rows(search(corpus, q, 2)) for name, search in plain.items()}
+    calls = []
+    for module in (sparse, dense):
+        monkeypatch.setattr(module, "search", lambda *a, _f=module.search, **k: calls.append(1) or _f(*a, **k))
+    got = retrieval.compared(corpus, q, 2)
+    assert len(calls) == 2 and {name: rows(hits) for name, hits in got.items()} == want
