@@ -84,3 +84,20 @@ def test_a_language_with_few_toxic_texts_is_not_lost():
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.classify(none, spark.createDataFrame([], "doc_id long, toxic int")).collect() == []
+
+
+def test_all_labelled_rows_count(spark, monkeypatch):
+    """More rows than a part: each is learnt from, whatever its length and label, and reruns agree."""
+    monkeypatch.setattr(toxicity, "PART", 200)
+    rows = corpus(1500)
+    rows += [(i, "stone " * 6000 + "zwerkel", 1) for i in range(2000, 2060)]  # a word in long texts only
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    usable = [d for d, _, _ in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    taken = toxicity.training_rows(docs, labels)
+    assert sorted(r["id"] for r in taken.collect()) == usable
+    model = toxicity.fit(taken)
+    assert model == toxicity.fit(taken.repartition(7))
+    score = {r["doc_id"]: r["toxicity"] for r in toxicity.score_documents(docs, model).collect()}
+    held = [(score[d], y) for d, _, y in rows if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert sum((s >= toxicity.CUT) == bool(y) for s, y in held) >= 0.97 * len(held)
