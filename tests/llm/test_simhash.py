@@ -132,3 +132,20 @@ def test_the_pipelines_stage_drops_all_copies_alike_in_five_words(spark):
     assert len(want) < sum(d == c for d, c in near.items())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x["doc_id"] for x in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == want
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    r = random.Random(3)
+    nodes = r.sample(range(-(1 << 61), 1 << 61), 600)
+    chain = list(zip(nodes[:400], nodes[1:400]))
+    more = [(nodes[r.randrange(400, 600)], nodes[r.randrange(400, 600)]) for _ in range(120)]
+    edges = spark.createDataFrame([*chain, *more, *chain[:9], (nodes[5], nodes[5])], "x long, y long")
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "")
+    got = sorted(map(tuple, connected_components(edges).collect()))
+    jobs = len(context.statusTracker().getJobIdsForGroup("few-edges"))
+    context.setJobGroup("other", "")
+    assert jobs <= 6
+    # the rounds of stars alone, and those until 100 edges are left, say the same
+    assert got == sorted(map(tuple, connected_components(edges, few=0).collect())) == sorted(map(tuple, connected_components(edges, few=100).collect()))
+    assert {n for n, c in got if c == min(nodes[:400])} == set(nodes[:400])
