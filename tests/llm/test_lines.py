@@ -170,3 +170,29 @@ def test_sketches_differ_in_as_many_values(spark):
 
         got = spark.range(1).select(lines.apart(*[tuple(map(column, p)) for p in pairs], values)).first()[0]
         assert got == sum(x != y for x, y in zip(zip(*pairs[0]), zip(*pairs[1])))
+
+
+def test_most_of_a_large_group_is_joined_before_all_pairs_are_compared(spark, monkeypatch):
+    r = random.Random(8)
+    base = [r.getrandbits(62) for _ in range(60)]
+    sets = [sorted({*base, *(r.getrandbits(62) for _ in range(3 + i % 5))} - set(r.sample(base, 3))) for i in range(150)]
+    rows = [(7, 0, 0, 0, i, r.getrandbits(62), r.getrandbits(62)) for i in range(150)]
+    blocks = spark.createDataFrame(rows, "k long, lo int, hi int, part int, h1 long, sk long, s2 long")
+    texts = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(sets)], "h1 long, line array<long>, n int")
+    made, rest = [], lines.rest_links
+    monkeypatch.setattr(lines, "rest_links", lambda *a: made.append((x := rest(*a)).count()) or x)
+    got = [sorted(map(tuple, lines.settled(blocks, texts, 16, 16, 0.8, lambda s: s, passes=p).select("node", "component").collect())) for p in (0, lines.PASSES)]
+    assert got[0] == got[1] and got[0]
+    assert made[1] < made[0] / 2
+
+
+def test_bit_maps_rule_out_no_alike_sets(spark):
+    r, rows = random.Random(2), []
+    for _ in range(300):
+        a = {r.randrange(-(1 << 60), 1 << 60) for _ in range(r.choice([2, 30, 150, 900]))}
+        b = {x for x in a if r.random() > r.choice([0, 0.05, 0.1, 0.2, 0.6])} | {r.getrandbits(60) for _ in range(r.randrange(1 + len(a) // 8))}
+        rows.append((list(a), list(b), len(a), len(b), len(a & b) >= 0.8 * len(a | b)))
+    rows = spark.createDataFrame(rows, "a array<long>, b array<long>, na int, nb int, alike boolean")
+    told = rows.select("alike", lines.may_be_alike(lines.marks(F.col("a")), lines.marks(F.col("b")), F.col("na"), F.col("nb"), 0.8).alias("may")).collect()
+    assert all(x["may"] for x in told if x["alike"]) and sum(x["alike"] for x in told) > 20
+    assert sum(not x["may"] for x in told) > 60
