@@ -181,7 +181,7 @@ def test_most_of_a_large_group_is_joined_before_all_pairs_are_compared(spark, mo
     texts = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(sets)], "h1 long, line array<long>, n int")
     made, rest = [], lines.rest_links
     monkeypatch.setattr(lines, "rest_links", lambda *a: made.append((x := rest(*a)).count()) or x)
-    got = [sorted(map(tuple, lines.settled(blocks, texts, 16, 16, 0.8, lambda s: s, passes=p).select("node", "component").collect())) for p in (0, lines.PASSES)]
+    got = [sorted(map(tuple, lines.settled(blocks, texts, 16, 16, 0.8, lambda s: s, passes=p, worth=1).select("node", "component").collect())) for p in (0, lines.PASSES)]
     assert got[0] == got[1] and got[0]
     assert made[1] < made[0] / 2
 
