@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,3 +197,19 @@ def test_bit_maps_rule_out_no_alike_sets(spark):
     told = rows.select("alike", lines.may_be_alike(lines.marks(F.col("a")), lines.marks(F.col("b")), F.col("na"), F.col("nb"), 0.8).alias("may")).collect()
     assert all(x["may"] for x in told if x["alike"]) and sum(x["alike"] for x in told) > 20
     assert sum(not x["may"] for x in told) > 60
+
+
+def test_tables_of_finished_steps_go(spark):
+    """Of all tables stored on the way only that of the lines to remove stays, which the result reads."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("siltstone-*"))
+    rows = corpus()
+    done = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(set(folder.glob("siltstone-*")) - before) == 1
+    assert {r["doc_id"]: r["text"] for r in done.collect()} == dict(zip([d for d, _ in rows], plain(rows)))
+
+
+def test_bit_maps_by_an_aggregate_are_the_same(spark):
+    r = random.Random(3)
+    sets = spark.createDataFrame([(i, n, [r.randrange(-(1 << 63), 1 << 63) for _ in range(n)]) for i, n in enumerate([1, 2, 40, 900])], "h1 long, n int, hashes array<long>")
+    assert sorted(map(tuple, lines.marked(sets).collect())) == sorted(map(tuple, sets.select("h1", "n", *lines.marks(F.col("hashes"))).collect()))
