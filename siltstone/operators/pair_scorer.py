@@ -2,7 +2,7 @@
 
 ``model_scorer`` loads a model once a task and calls it with batches of pairs of like length, the way
 models that pad their input want it. ``fit`` learns a logistic regression over what a pair shares (terms,
-runs of two and three, the longest run, and lengths) from a bounded sample of labelled pairs.
+runs of two and three, the longest run, and lengths) from all labelled pairs, by sums that tasks work out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.rerank import Scorer
+from siltstone.sources.scratch import stored
 
 _TERM = re.compile("[a-z0-9]+")
 #: (questions, texts) -> scores
@@ -85,37 +86,61 @@ class Logistic:
         return model_scorer(lambda: self)
 
 
-def fit(pairs: DataFrame, most: int = 5000, seed: int = 7, penalty: float = 1.0) -> Logistic:
-    """Fitted to at most ``most`` pairs of each label of ``question, text, label`` (0 or 1; others and nulls are left out), by hash of the pair.
+def _sums(rows: DataFrame, values: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """Sums over all rows of ``values(features by column, labels)``, in whole steps of 2^-40, so that no order of the rows changes them."""
+    names = [f"x{i}" for i in range(len(FEATURES))]
 
-    The features are worked out by the tasks, so the driver holds ``most`` times two rows of numbers.
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: list[int] = []
+        for b in batches:
+            steps = [np.rint(v * 2.0**40) for v in values(b[names].to_numpy(float).T, b["label"].to_numpy(float))]
+            high = [np.floor(v / 2.0**32) for v in steps]
+            found = [(int(h.astype(np.int64).sum()) << 32) + int((v - h * 2.0**32).astype(np.int64).sum()) for v, h in zip(steps, high, strict=True)]
+            total = [t + f for t, f in zip(total or [0] * len(found), found, strict=True)]
+        if total:
+            yield pd.DataFrame({"total": [[str(t) for t in total]]})
+
+    parts = rows.mapInPandas(summed, "total array<string>").collect()  # a few numbers a task
+    return np.array([sum(map(int, column)) / 2**40 for column in zip(*(r["total"] for r in parts), strict=True)])
+
+
+def fit(pairs: DataFrame, penalty: float = 1.0) -> Logistic:
+    """Fitted to all pairs of ``question, text, label`` (0 or 1; others and nulls are left out).
+
+    The features of a pair are stored once; the mean, the spread and each of Newton's steps are sums
+    over all of them, so the driver holds a few numbers, however many pairs there are.
     """
-    known = pairs.where("label IN (0, 1) AND question IS NOT NULL AND text IS NOT NULL")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), "question", F.lit("\n"), "text"))
-    rows = None
-    for label in (0, 1):
-        some = known.where(F.col("label") == label).withColumn("_k", key).orderBy("_k").limit(most).select("question", "text", F.lit(label).alias("label"))
-        rows = some if rows is None else rows.unionByName(some)
+    known = pairs.where("label IN (0, 1) AND question IS NOT NULL AND text IS NOT NULL").select("question", "text", F.col("label").cast("int").alias("label"))
+    names = [f"x{i}" for i in range(len(FEATURES))]
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "x": list(features(b["question"].tolist(), b["text"].tolist()))})
+            yield pd.DataFrame(features(b["question"].tolist(), b["text"].tolist()), columns=names).assign(label=b["label"].to_numpy())
 
-    found = rows.repartition("question").mapInPandas(measured, "label int, x array<double>").toPandas()
-    if found["label"].nunique() < 2:
+    rows = stored(known.repartition("question", "text").mapInPandas(measured, ", ".join(f"{x} double" for x in names) + ", label int"))
+    n = dict.fromkeys((0, 1), 0) | {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not all(n.values()):
         raise ValueError("both labels are needed")
-    # the order of rows must not change the sums' last digits: sorted
-    table = np.array(sorted([y, *x] for y, x in zip(found["label"], found["x"], strict=True)))
-    y, x = table[:, 0], table[:, 1:]
-    mean, scale = x.mean(0), x.std(0)
-    mean[-1], scale[-1] = 0.0, 1.0
+    size = len(names)
+    mean = _sums(rows, lambda x, y: list(x)) / sum(n.values())
+    mean[-1] = 0.0
+    scale = np.sqrt(_sums(rows, lambda x, y: [(v - m) ** 2 for v, m in zip(x, mean, strict=True)]) / sum(n.values()))
     scale[scale < 1e-9] = 1.0
-    x, w = (x - mean) / scale, np.zeros(x.shape[1])
-    each = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum()))  # both labels weigh alike
+    each = [sum(n.values()) / 2 / n[label] for label in (0, 1)]  # both labels weigh alike
+    upper, w = np.triu_indices(size), np.zeros(size)
+
+    def slopes(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        x = [(v - m) / s for v, m, s in zip(x, mean, scale, strict=True)]
+        p = 1 / (1 + np.exp(-sum(v * u for v, u in zip(x, w, strict=True))))
+        own = np.where(y == 1, each[1], each[0])
+        return [own * (p - y) * v for v in x] + [own * p * (1 - p) * x[i] * x[j] for i, j in zip(*upper, strict=True)]
+
     for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (each * (p - y)) + penalty * w
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(w)), slope)
+        found = _sums(rows, slopes)
+        curve = np.zeros((size, size))
+        curve[upper] = found[size:]
+        curve = np.triu(curve) + np.triu(curve, 1).T
+        step = np.linalg.solve(curve + penalty * np.eye(size), found[:size] + penalty * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break

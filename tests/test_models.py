@@ -97,6 +97,25 @@ def test_a_fitted_scorer_is_better_than_shared_terms(spark):
         pair_scorer.fit(train.where("label = 1"))
 
 
+def test_every_pair_counts_in_the_fit(spark):
+    """One label has 6,000 pairs: weights are those of a plain regression over all of them, each as often as it is there."""
+    r = random.Random(3)
+    rows = [(" ".join(q := [f"w{r.randint(0, 30)}" for _ in range(6)]), " ".join(r.sample(q, r.randint(1, 6)) + [f"w{r.randint(0, 30)}" for _ in range(r.randint(5, 30))]), 0) for _ in range(6000)]
+    rows += [(q, f"{t} {q}" if i % 3 else t, 1) for i, (q, t, _) in enumerate(rows[:400])]
+    rows += [(None, "a", 1), ("a", None, 0), ("a b", "a b", 2), ("a b", "a b", None)]
+    model = pair_scorer.fit(spark.createDataFrame(rows, "question string, text string, label int"))
+    x = pair_scorer.features([q for q, _, _ in rows[:6400]], [t for _, t, _ in rows[:6400]])
+    y = np.array([v for _, _, v in rows[:6400]])
+    mean, scale = x.mean(0), x.std(0)
+    mean[-1], scale[-1] = 0, 1
+    scale[scale < 1e-9] = 1
+    x, w, each = (x - mean) / scale, np.zeros(7), np.where(y == 1, 6400 / 800, 6400 / 12000)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(7), x.T @ (each * (p - y)) + w)
+    assert np.allclose(model.mean, mean, atol=1e-9) and np.allclose(model.scale, scale, atol=1e-9) and np.allclose(model.weights, w, atol=1e-7)
+
+
 def test_features():
     x = pair_scorer.features(["a b c d", "", "a a"], ["x a b c y d", "some text", "A, a!"])
     assert x[0, :4].tolist() == [1.0, 2 / 3, 0.5, 0.75] and x[1, :4].tolist() == [0, 0, 0, 0] and x[2, :4].tolist() == [1.0, 1.0, 0.0, 1.0]
